@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import simhash
+from ragloom.llm import mixing, secrets, simhash
 from ragloom.tables import table
 
 
@@ -12,7 +12,70 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op5_source_mix": op5_source_mix,
+}
+
+
+def _span_sql(kind: str, number: int, pattern: str, least: int, value: str = "m") -> str:
+    """DuckDB: doc_id, kind and bounds of one rule's findings, from the pieces between its matches."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+    select doc_id, '{kind}' as kind, {number} as kind_no, stop - length(m) as start, stop
+    from (select doc_id, m, sum(length(gap) + length(m)) over (partition by doc_id order by i)::bigint as stop
+          from (select doc_id, unnest(range(1, len(ms) + 1)) as i, unnest(ms) as m, unnest(gaps[1:len(ms)]) as gap
+                from (select doc_id, regexp_extract_all(t, '{quoted}') as ms, string_split_regex(t, '{quoted}') as gaps
+                      from (select doc_id, coalesce(text, '') as t from documents)) where len(ms) > 0))
+    where length({value.replace('PATTERN', quoted)}) >= {least}"""
+
+
+_RULE_SQL = " union all ".join(
+    _span_sql(r.kind, k, r.pattern, r.least, f"regexp_extract(m, 'PATTERN', {r.group})") for k, r in enumerate(secrets.RULES)
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": f"""
+with spans as ({_RULE_SQL}),
+listed as (
+  select doc_id,
+    count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, kind_no) filter (kind_no < 3), '') as base,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, kind_no) as spans
+  from spans group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents d left join listed l on d.doc_id = l.doc_id
+""",
+    "op5_source_mix": r"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+per_source as (select source, sum(size)::bigint as source_size from sized group by source),
+weighed as (
+  select *, [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight, 2.0::double * source_size as most,
+    1.5::double * sum(source_size) over ()::double as total
+  from per_source),
+levels as (
+  select *, (total - coalesce(sum(most) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by most / weight, source nulls last rows between current row and unbounded following) as level
+  from weighed),
+goals as (
+  select *, case when most <= weight * level then most else weight * max(level) filter (most > weight * level) over () end as target from levels),
+ranked as (
+  select d.doc_id, d.size, d.source, g.source_size, g.target,
+    row_number() over (partition by d.source order by d.size, d.doc_id nulls first) as r,
+    case when g.source_size > 0 then least(2.0::double, g.target / g.source_size) else 0.0 end::double as p,
+    ('0x' || sha256('7:' || coalesce(d.source, chr(0) || 'null'))[1:8])::bigint::double / 4294967296.0::double as u
+  from sized d join goals g on d.source is not distinct from g.source)
+select doc_id, size, source_size, target, (least(floor(p * r + u) - floor(p * (r - 1) + u), 2)::bigint * size)::bigint as taken from ranked
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
