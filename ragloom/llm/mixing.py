@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ragloom.llm.ranks import ranked
 from ragloom.session import cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,34 +47,16 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("weight", F.element_at(turn, ((F.row_number().over(order) - 1) % len(weights)) + 1))
-    ranked = ranked.withColumn("most", F.lit(cap) * F.col("source_size"))
+    weighed = sizes.withColumn("weight", F.element_at(turn, ((F.row_number().over(order) - 1) % len(weights)) + 1))
+    weighed = weighed.withColumn("most", F.lit(cap) * F.col("source_size"))
     by_level = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     before, rest, whole = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    ranked = ranked.withColumn("total", F.lit(share) * F.sum("source_size").over(whole))
-    ranked = ranked.withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    ranked = ranked.withColumn("capped", F.col("most") <= F.col("weight") * F.col("level"))
+    weighed = weighed.withColumn("total", F.lit(share) * F.sum("source_size").over(whole))
+    weighed = weighed.withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
+    weighed = weighed.withColumn("capped", F.col("most") <= F.col("weight") * F.col("level"))
     # Levels fall from the first source that is not capped on, so none after it is capped; its level holds for them all.
-    ranked = ranked.withColumn("final", F.max(F.when(~F.col("capped"), F.col("level"))).over(whole))
-    return ranked.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(F.col("weight") * F.col("final")).alias("target"))
-
-
-def ranked_in_source(rows: DataFrame, order: list[Column], per_source: DataFrame) -> DataFrame:
-    """``rows`` with ``rank``, from 1 within ``source`` in ``order``, and the columns of ``per_source``.
-
-    No task holds a whole source. ``rows`` should be cheap to read twice.
-    """
-    spread = rows.repartitionByRange(F.col("source").asc_nulls_last(), *order).sortWithinPartitions(F.col("source").asc_nulls_last(), *order)
-    placed = cut(spread.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
-    counts = placed.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("source").alias("s"), F.col("part").alias("p"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift")
-    )
-    about = per_source.withColumnRenamed("source", "s_")
-    starts = starts.join(about, F.col("s").eqNullSafe(F.col("s_"))).drop("s_")
-    joined = placed.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-    return joined.withColumn("rank", F.col("place") + F.col("shift")).drop("s", "p", "shift", "part", "place")
+    weighed = weighed.withColumn("final", F.max(F.when(~F.col("capped"), F.col("level"))).over(whole))
+    return weighed.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(F.col("weight") * F.col("final")).alias("target"))
 
 
 def row_key(doc_id: Column, source: Column, text: Column) -> Column:
@@ -90,10 +73,10 @@ def copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7,
     key = [row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key")] if keyed else []
     rows = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *key))
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap)
-    ranked = ranked_in_source(rows, [F.col("size").asc(), F.col("doc_id").asc_nulls_first()], goal)
+    placed = ranked(rows, "source", [F.col("size").asc(), F.col("doc_id").asc_nulls_first()], per_group=goal)
     expected = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("expected") * F.col("rank") + F.col("start")) - F.floor(F.col("expected") * (F.col("rank") - 1) + F.col("start"))
-    out = ranked.withColumn("expected", expected).withColumn("start", offset(F.col("source"), seed))
+    out = placed.withColumn("expected", expected).withColumn("start", offset(F.col("source"), seed))
     out = out.withColumn("copies", F.least(crossed, F.lit(int(cap)).cast("long")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["key"] if keyed else []))
 
