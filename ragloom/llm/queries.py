@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import chat, langid, mixing, packing, secrets, simhash
+from ragloom.llm import ann, chat, edit_print, html_text, langid, mixing, packing, secrets, simhash, url_filter
 from ragloom.tables import table
 
 
@@ -31,6 +31,22 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op9_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_print.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +59,10 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_language_id": op4_language_id,
     "op5_source_mix": op5_source_mix,
+    "op6_html_text": op6_html_text,
+    "op7_url_filter": op7_url_filter,
+    "op8_permutation_ann": op8_permutation_ann,
+    "op9_edit_fingerprint": op9_edit_fingerprint,
     "op10_pack": op10_pack,
 }
 
@@ -97,5 +117,18 @@ ranked as (
     ('0x' || sha256('7:' || coalesce(d.source, chr(0) || 'null'))[1:8])::bigint::double / 4294967296.0::double as u
   from sized d join goals g on d.source is not distinct from g.source)
 select doc_id, size, source_size, target, (least(floor(p * r + u) - floor(p * (r - 1) + u), 2)::bigint * size)::bigint as taken from ranked
+""",
+    "op6_html_text": r"""
+with cut as (
+  select page_id, url, regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's') as a from pages),
+blocks as (
+  select page_id, url, list_transform(string_split_regex(a, '</?(p|h1)>'), lambda x:
+    replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')) as b
+  from cut),
+clean as (
+  select page_id, url, coalesce(array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)), '') as text
+  from blocks)
+select page_id, url, text, length(text)::bigint as n_chars from clean
 """,
 }
