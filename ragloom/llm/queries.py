@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from ragloom.llm import ann, chat, edit_print, html_text, langid, mixing, packing, secrets, simhash, url_filter
 from ragloom.tables import table
 
@@ -64,6 +65,7 @@ QUERIES = {
     "op8_permutation_ann": op8_permutation_ann,
     "op9_edit_fingerprint": op9_edit_fingerprint,
     "op10_pack": op10_pack,
+    "pipeline": corpus_pipeline.run,
 }
 
 
