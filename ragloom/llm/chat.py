@@ -48,27 +48,24 @@ def as_trees(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _jump(level: DataFrame) -> DataFrame:
-    """The next level of ancestor pointers: each reaches twice as far."""
-    far = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("size").alias("longer"))
-    joined = level.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-    return joined.select(
-        "tree", "node", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("size") + F.coalesce("longer", F.lit(0))).alias("size")
-    )
-
-
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """``tree``, ``leaf``, ``branch`` (1 is best), ``pos`` (1 is the root), ``node``: the best paths of each tree."""
     links = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = links.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     first = links.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    levels = [cut(first.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("size")))]
-    rounds = math.ceil(math.log2(levels[0].count() + 2)) + 1
-    while not levels[-1].where("up is not null").isEmpty() and len(levels) <= rounds:
-        levels.append(cut(_jump(levels[-1])))
-    whole = levels[-1].where("up is null")
-    parents = levels[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
-    leaves = whole.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+    first = cut(first.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("size")))
+    # Nodes whose pointer is past the root are ready; only the others are joined again, each time reaching twice as far.
+    ready, levels = first.where("up is null"), [first.where("up is not null")]
+    rounds = math.ceil(math.log2(first.count() + 2)) + 1
+    while len(levels) <= rounds and not levels[-1].isEmpty():
+        now = ready.unionByName(levels[-1])
+        far = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("size").alias("longer"))
+        joined = levels[-1].join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        grown = cut(joined.select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("size") + F.col("longer")).alias("size")))
+        ready = ready.unionByName(grown.where("up is null"))
+        levels.append(grown.where("up is not null"))
+    parents = first.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+    leaves = ready.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.col("total").desc(), F.col("node"))
     chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
     # A piece of a path is its lowest node, the position of that, and how many nodes it has, at most 2^(i+1) before step i.
@@ -76,7 +73,7 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     for i in range(len(levels) - 2, -1, -1):
         half = F.lit(1 << i).cast("long")
         jumps = levels[i].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        joined = pieces.join(jumps, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+        joined = pieces.join(jumps, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")) & (F.col("size") > half), "left")
         low = F.struct("pos", "node", F.least("size", half).alias("size"))
         high = F.struct((F.col("pos") - half).alias("pos"), F.col("up").alias("node"), (F.col("size") - half).alias("size"))
         split = F.when(F.col("size") > half, F.array(low, high)).otherwise(F.array(low))
