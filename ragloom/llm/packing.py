@@ -19,6 +19,7 @@ their own; a null doc_id is kept; an empty table gives an empty result. Only doc
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -32,36 +33,76 @@ from ragloom.session import cut
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a task keeps; beyond it the store starts anew, which costs time only.
-WORD_STORE = 400_000
+#: Words whose ids a Python worker keeps; beyond it, those met once are forgotten, which costs time only.
+WORD_STORE = 600_000
 
 
 class WordEncoder:
     """Encodes texts by their white-space-separated words, each once.
 
     The tokenizer drops white space and none of its tokens spans it, so the ids of a text are those of its words in order.
+    It also lower-cases, and always parts a letter from a full stop or comma after it, so a word with either at its end has the ids of the
+    bare word and of the mark.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads cost more than they bring
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.words: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        known = self.words
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > WORD_STORE:
-                known.clear()
-                new = list(set(words))
-            for low in range(0, len(new), 10_000):
-                part = new[low : low + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        self.once: set[bytes] = set()  # words that only one group of texts has had
+
+    def _learn(self, words: list[bytes]) -> None:
+        for low in range(0, len(words), 10_000):
+            part = words[low : low + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [t.split() for t in texts]
+        if len(self.words) > WORD_STORE:
+            for w in self.once:
+                del self.words[w]
+            self.once.clear()
+            if 2 * len(self.words) > WORD_STORE:
+                self.words.clear()
+        here, known = set().union(*split), self.words
+        self.once.difference_update(here)
+        new = here.difference(known)
+        marked = {w: (w[:-1].lower(), w[-1:]) for w in new if w.isascii() and w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
+        plain = new.difference(marked)
+        plain.update(x for pair in marked.values() for x in pair if x not in known)
+        self._learn(list(plain))
+        for w, (word, mark) in marked.items():
+            known[w] = known[word] + known[mark]
+        self.once.update(new, plain)
+        return [b"".join([known[w] for w in words]) for words in split]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(tokenizer_json: str) -> WordEncoder:
+    """One encoder for each Python worker, which outlives its tasks."""
+    if tokenizer_json not in _encoders:
+        _encoders.clear()
+        _encoders[tokenizer_json] = WordEncoder(tokenizer_json)
+    return _encoders[tokenizer_json]
+
+
+def _groups(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[bytes]]:
+    """The texts in lists of about ``most`` bytes."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py() or b"")
+        size += len(held[-1])
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -72,11 +113,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
     last = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer.value)
+        encoder = encoder_of(tokenizer.value)
         for batch in batches:
             rows, starts, lengths, sums, totals, ids = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                data = encoder.encode(text.as_py() or b"") + last
+            encoded = (ids_of for group in _groups(batch.column(1)) for ids_of in encoder.encode(group))
+            for row, data in enumerate(encoded):
+                data += last
                 n = len(data) // 4
                 for start in range(0, n, window):
                     part = data[4 * start : 4 * (start + window)]
