@@ -50,13 +50,30 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.once: set[bytes] = set()  # words that only one group of texts has had
 
     def _learn(self, words: list[bytes]) -> None:
-        for low in range(0, len(words), 10_000):
-            part = words[low : low + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+        """Add words to the store. Those of letters alone are one token run each, which ends with a word-end token, so many are encoded as one text."""
+        letters, others = [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            (letters if text.isalpha() else others).append((w, text))
+        runs = [letters[low : low + 500] for low in range(0, len(letters), 500)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(t for _, t in run) for run in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.word_end[ids]) + 1)).tolist()
+            if len(stops) != len(run):  # some letter falls apart when lower-cased
+                others += run
+                continue
+            data = ids.tobytes()
+            self.words.update(zip((w for w, _ in run), map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+        for low in range(0, len(others), 10_000):
+            part = others[low : low + 10_000]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
                 self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -178,8 +195,8 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, list[t
         longest = max(stock)
         rest = dict(stock)
         rest[longest] -= 1
-        # Plentiful lengths first: the fill is found early, and can be used often.
-        order = sorted(((k, n) for k, n in rest.items() if n > 0), key=lambda x: (-x[1], -x[0]))
+        # Long pieces first: short ones fit nearly anywhere and are left for later gaps.
+        order = sorted(((k, n) for k, n in rest.items() if n > 0), reverse=True)
         fits = [window - longest] + [p - longest for p in powers if p >= longest and p != window]
         used = best_fill(order, window - longest, fits)
         used[longest] = used.get(longest, 0) + 1
