@@ -32,6 +32,7 @@ from ragloom.session import cut, fresh
 
 BLOCKS = 8
 SEED = 42
+MASK = (1 << 64) - 1
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 CHUNK = 1 << 16
 
@@ -149,8 +150,10 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for members in batch.column(0) for x in shard_forest(sorted(members.as_py()), radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            # Trees compare unsigned integers: of a negative one, bit_count would count the bits of its absolute value.
+            found = [x for members in batch.column(0) for x in shard_forest(sorted(m & MASK for m in members.as_py()), radius)]
+            ends = [pa.array([_as_long(x[i]) for x in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
     return shards.mapInArrow(search, "a long, b long").distinct()
 
