@@ -140,8 +140,10 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     if not 0 <= radius <= 2:
         raise ValueError("shards hold every link of a radius of up to 2")
     keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_as_long(m))).alias("k")) for i, m in enumerate(shard_masks())])
+    # A fixed number of partitions: each row becomes many, which size-based coalescing of the input does not foresee.
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     shards = (
-        distinct.select("fp", F.explode(keys).alias("s"))
+        spread.select("fp", F.explode(keys).alias("s"))
         .groupBy("s.i", "s.k")
         .agg(F.collect_list("fp").alias("members"))
         .where(F.size("members") > 1)
