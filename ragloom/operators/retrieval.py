@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ragloom.functions.metrics import let
 from ragloom.functions.text import ascii_terms, words
 
 K1, B = 1.5, 0.75
@@ -83,11 +84,17 @@ def lexical_rerank(hits: DataFrame, k: int = 10) -> DataFrame:
 
     A word's weight falls with the number of the query's own hits that hold it.
     """
-    rows = hits.select("qid", "doc_id", F.lower("text").alias("text"), F.greatest(F.lit(1), F.size(words(F.col("text")))).alias("len"), F.explode(words(F.lower("query"))).alias("term"))
-    rows = rows.groupBy("qid", "doc_id", "text", "len", "term").agg(F.count(F.lit(1)).alias("q"))
     n = hits.groupBy("qid").agg(F.count_distinct("doc_id").alias("n"))
-    times = (F.length("text") - F.length(F.replace("text", F.col("term"), F.lit("")))) / F.length("term")
-    counted = rows.select("qid", "doc_id", "len", "term", "q", times.alias("tf"))
+
+    def counts(text: Column, terms: Column) -> Column:
+        """For each distinct query word its repeats in the query and its places in the text; the text stays in its row."""
+        one = lambda t: F.struct(
+            t.alias("term"), F.size(F.filter(terms, lambda x: x == t)).alias("q"), ((F.length(text) - F.length(F.replace(text, t, F.lit("")))) / F.length(t)).alias("tf")
+        )
+        return F.transform(F.array_distinct(terms), one)
+
+    rows = hits.select("qid", "doc_id", F.greatest(F.lit(1), F.size(words(F.col("text")))).alias("len"), F.explode(let(counts, F.lower("text"), words(F.lower("query")))).alias("x"))
+    counted = rows.select("qid", "doc_id", "len", "x.term", "x.q", "x.tf")
     df = counted.groupBy("qid", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
     scored = counted.join(df, ["qid", "term"]).join(n, "qid").groupBy("qid", "doc_id").agg(F.sum(F.col("q") * (F.col("tf") / F.col("len")) * idf).alias("score"))

@@ -11,7 +11,7 @@ from ragloom.tables import table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:

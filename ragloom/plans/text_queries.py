@@ -19,7 +19,7 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def norm_answer_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.norm_core(F.col("text")), 256).alias("norm_sha256"))
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", F.sha2(X.norm_core(F.col("text")), 256).alias("norm_sha256"))
 
 
 def norm_answer_toolkit(spark: SparkSession, sf_dir: str) -> DataFrame:
