@@ -10,9 +10,12 @@ from pyspark.sql.window import Window
 
 from ragloom.functions.metrics import let
 from ragloom.functions.text import ascii_terms, words
+from ragloom.session import cut
 
 K1, B = 1.5, 0.75
 RRF_K = 60
+#: Rows of (query, term) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def ranked_hits(scored: DataFrame, k: int, places: int = 6) -> DataFrame:
@@ -25,18 +28,19 @@ def ranked_hits(scored: DataFrame, k: int, places: int = 6) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """Top ``k`` by BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)); ``docs`` has doc_id, text, ``queries`` qid, text.
 
-    Only postings of query terms are shuffled; lengths come with each document, without a shuffle.
+    Only postings of query terms are shuffled; lengths come with each document, without a shuffle. Query terms are broadcast up
+    to ``BROADCAST_ROWS`` rows, which keeps frequent terms out of any one task; beyond that they are joined by shuffle.
     """
-    asked = queries.select("qid", F.explode(ascii_terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("q"))
-    read = docs.select("doc_id", ascii_terms(F.col("text")).alias("terms"))
-    sized = read.select("doc_id", "terms", F.size("terms").alias("dl"))
+    asked = cut(queries.select("qid", F.explode(ascii_terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("q")))
+    sent = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda side: side)
+    sized = docs.select("doc_id", ascii_terms(F.col("text")).alias("terms")).select("doc_id", "terms", F.size("terms").alias("dl"))
     whole = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    posts = sized.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    posts = sized.select("doc_id", "dl", F.explode("terms").alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi")
+    posts = cut(posts.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))  # read twice: for df and for the scores
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(whole))
     idf = df.select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(idf, "term").join(posts, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("q") * F.col("idf") * weight).alias("score"))
+    scored = posts.join(sent(asked.join(idf, "term")), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("q") * F.col("idf") * weight).alias("score"))
     return ranked_hits(scored, k)
 
 
@@ -84,7 +88,6 @@ def lexical_rerank(hits: DataFrame, k: int = 10) -> DataFrame:
 
     A word's weight falls with the number of the query's own hits that hold it.
     """
-    n = hits.groupBy("qid").agg(F.count_distinct("doc_id").alias("n"))
 
     def counts(text: Column, terms: Column) -> Column:
         """For each distinct query word its repeats in the query and its places in the text; the text stays in its row."""
@@ -93,22 +96,26 @@ def lexical_rerank(hits: DataFrame, k: int = 10) -> DataFrame:
         )
         return F.transform(F.array_distinct(terms), one)
 
-    rows = hits.select("qid", "doc_id", F.greatest(F.lit(1), F.size(words(F.col("text")))).alias("len"), F.explode(let(counts, F.lower("text"), words(F.lower("query")))).alias("x"))
+    # Few bytes but much work for each hit: a fixed number of partitions, which size-based coalescing would undo.
+    tasks = max(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), hits.sparkSession.sparkContext.defaultParallelism)
+    dealt = hits.select("qid", "doc_id", "text", "query").repartition(tasks, F.xxhash64("qid", "doc_id"))
+    rows = dealt.select("qid", "doc_id", F.greatest(F.lit(1), F.size(words(F.col("text")))).alias("len"), F.explode(let(counts, F.lower("text"), words(F.lower("query")))).alias("x"))
     counted = rows.select("qid", "doc_id", "len", "x.term", "x.q", "x.tf")
-    df = counted.groupBy("qid", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    scored = counted.join(df, ["qid", "term"]).join(n, "qid").groupBy("qid", "doc_id").agg(F.sum(F.col("q") * (F.col("tf") / F.col("len")) * idf).alias("score"))
+    # Every hit of a query has a row for each of its words, so a word's rows are the query's hits: as many as were retrieved.
+    word = Window.partitionBy("qid", "term")
+    idf = F.log((F.count(F.lit(1)).over(word) + 1) / (F.count_if(F.col("tf") > 0).over(word) + 1)) + 1
+    scored = counted.withColumn("idf", idf).groupBy("qid", "doc_id").agg(F.sum(F.col("q") * (F.col("tf") / F.col("len")) * F.col("idf")).alias("score"))
     return ranked_hits(scored, k)
 
 
-def pack_budget(hits: DataFrame, most: int, chars_per_token: int = 4, cut: int = 1200, least: int = 200) -> DataFrame:
+def pack_budget(hits: DataFrame, most: int, chars_per_token: int = 4, longest: int = 1200, least: int = 200) -> DataFrame:
     """Passages in order of rank while their tokens fit: qid, rank, text.
 
     The first that doesn't fit is cut to what is left if that is over ``least`` tokens, and nothing follows it. A query without any
     passage so far gets its first, cut.
     """
     order = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = hits.withColumn("part", F.substring("text", 1, cut)).withColumn("tokens", F.floor(F.length("part") / chars_per_token))
+    rows = hits.withColumn("part", F.substring("text", 1, longest)).withColumn("tokens", F.floor(F.length("part") / chars_per_token))
     rows = rows.withColumn("sum", F.sum("tokens").over(order)).withColumn("before", F.col("sum") - F.col("tokens"))
     left = F.lit(most) - F.col("before")
     fits, first = F.col("sum") <= most, F.col("before") == 0
