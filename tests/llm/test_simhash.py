@@ -110,7 +110,46 @@ def test_stage_keeps_one_of_each(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, keeper string")
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [3, 8, 11, 12, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [3, 8, 10, 11, 12, None]  # white space alone differs from no text
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randint(60, 400))
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 0, 1, 4])):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, len(copy) // 60))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += [texts[0], texts[0].upper(), "one two three", "one  two three", "", " ", "\t"]
+    sets = {}
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    def linked(a, b):
+        union = len(sets[a] | sets[b])
+        return texts[a] == texts[b] or (union > 0 and len(sets[a] & sets[b]) / union >= 0.8)
+
+    wanted = classes(list(sets), linked)
+    found = {r.doc_id: r.class_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == wanted and len(set(wanted.values())) < len(texts) - 10
+
+
+def test_large_shards_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_BLOCK", 3)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(25):
+        copy = list(base)
+        copy[10 * i % 300] = f"x{i}"
+        texts.append(" ".join(copy))
+    found = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(found) == 25 and {r.class_id for r in found} == {0}
 
 
 def test_empty_table(spark):
