@@ -120,6 +120,31 @@ def rouge_n(pred: Column, gold: Column, n: int) -> Column:
     return let(score, let(lambda w: ngrams(w, n), X.ascii_terms(pred)), let(lambda w: ngrams(w, n), X.ascii_terms(gold)))
 
 
+def bleu_tokens(text: Column) -> Column:
+    """Words with punctuation set apart, but for points and commas inside numbers."""
+    out = F.replace(F.replace(F.replace(text, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
+    for name, sign in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    out = F.concat(F.lit(" "), out, F.lit(" "))
+    for pattern, repl in ((r"([{-~\[-` -&(-+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
+        out = F.regexp_replace(out, pattern, repl)
+    return F.filter(F.split(out, r"\s+"), lambda w: w != "")
+
+
+def bleu(pairs: DataFrame, pred: str = "pred", gold: str = "gold", most: int = 4) -> DataFrame:
+    """Corpus BLEU of one reference each: clipped n-gram matches are counted in each row and summed up."""
+    tokens = pairs.select(bleu_tokens(F.col(pred)).alias("p"), bleu_tokens(F.col(gold)).alias("g"))
+    cells = [F.size("p").alias("lp"), F.size("g").alias("lg")]
+    for n in range(1, most + 1):
+        cells.append(overlap(ngrams(F.col("p"), n), ngrams(F.col("g"), n)).alias(f"m{n}"))
+        cells.append(F.greatest(F.size("p") - (n - 1), F.lit(0)).alias(f"c{n}"))
+    sums = tokens.select(*cells).groupBy().sum().toDF("lp", "lg", *[f"{k}{n}" for n in range(1, most + 1) for k in "mc"])
+    precision = [F.when(F.col(f"c{n}") > 0, F.col(f"m{n}") / F.col(f"c{n}")).otherwise(0.0) for n in range(1, most + 1)]
+    mean = F.when(F.least(*precision) > 0, F.exp(sum((F.log(p) / most for p in precision[1:]), F.log(precision[0]) / most))).otherwise(0.0)
+    ratio = F.col("lp") / F.col("lg")
+    return sums.select((mean * F.when(ratio > 1, 1.0).otherwise(F.exp(1 - 1 / ratio))).alias("bleu"), ratio.alias("ratio"), *[p.alias(f"p{i}") for i, p in enumerate(precision, 1)])
+
+
 #: name -> column function of (prediction, golden answers). Add to it to plug in a metric.
 REGISTRY: dict[str, Callable[[Column, Column], Column]] = {
     "em": em,

@@ -151,3 +151,48 @@ def link(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 def effective_graph(items: DataFrame) -> DataFrame:
     """Items with ``effective_kg``: the severed graph where there is one, else the original."""
     return items.withColumn("effective_kg", F.coalesce("modified_kg", "original_kg"))
+
+
+def link_scores(candidates: DataFrame) -> DataFrame:
+    """``score`` of each link candidate in [0, 1]: label match, words shared with the question, expected type, less for pages that are no entity.
+
+    Columns: mention, question, entity_id, label, description, expected_types.
+    """
+    label, mention, description = F.lower("label"), F.lower("mention"), F.lower("description")
+    match = F.when(label == mention, 0.30).when(F.contains(label, mention) | F.contains(mention, label), 0.20).otherwise(0.10)
+    split = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    words = split(description)
+    shared = F.size(F.array_intersect(words, split(F.lower("question"))))
+    context = F.lit(0.30) * F.least(F.lit(1.0), shared / F.greatest(F.lit(1), F.size(words)))
+    typed = F.when(F.coalesce(F.exists("expected_types", lambda t: F.contains(description, t)), F.lit(False)), 0.20).otherwise(0.0)
+    barred = F.when(F.col("entity_id").isin(*T.PAGE_ENTITIES) | description.isin(*T.PAGE_DESCRIPTIONS), 0.50).otherwise(0.0)
+    return candidates.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), match + context + typed - barred)))
+
+
+def link_decisions(scored: DataFrame, least_score: float = 0.15, least_margin: float = 0.05) -> DataFrame:
+    """The best candidate of each mention, with its margin over the second; too low a score or, of several candidates, margin abstains."""
+    order = Window.partitionBy("mention").orderBy(F.col("score").desc(), "entity_id")
+    rows = scored.withColumn("second", F.lead("score").over(order)).withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    margin = F.col("score") - F.coalesce("second", F.lit(0.0))
+    reason = F.when(F.col("score") < least_score, "low score").when(F.col("second").isNotNull() & (margin < least_margin), "low margin")
+    return rows.select("mention", F.when(reason.isNull(), F.col("entity_id")).alias("entity_id"), "score", margin.alias("margin"), reason.alias("abstained"))
+
+
+def relevant_triples(triples: DataFrame, contexts: DataFrame, top: int) -> DataFrame:
+    """The ``top`` triples of each question by words shared with its context, ties by position; in their own order if none shares any.
+
+    ``triples``: qid, pos, h, r, t; ``contexts``: qid, context.
+    """
+    terms = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    rows = triples.join(contexts.select("qid", terms(F.col("context")).alias("known")), "qid")
+    rows = rows.withColumn("overlap", F.size(F.array_intersect("known", terms(F.concat_ws(" ", "h", "r", "t"))))).drop("known")
+    best = Window.partitionBy("qid").orderBy(F.col("overlap").desc(), "pos")
+    return rows.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+
+
+def triples_in_graph(cited: DataFrame, graph: DataFrame) -> DataFrame:
+    """``cited`` with whether the triple is in its question's graph, case aside (qid, h, r, t)."""
+    keys = [F.lower(c).alias(f"k_{c}") for c in ("h", "r", "t")]
+    known = graph.select(F.col("qid").alias("k_q"), *keys).distinct().withColumn("found", F.lit(True))
+    on = (F.col("qid") == F.col("k_q")) & (F.lower("h") == F.col("k_h")) & (F.lower("r") == F.col("k_r")) & (F.lower("t") == F.col("k_t"))
+    return cited.join(known, on, "left").select(*cited.columns, F.coalesce("found", F.lit(False)).alias("verified"))

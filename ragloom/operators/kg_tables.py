@@ -61,3 +61,8 @@ RELATION_SHARE, TAXONOMIC_SHARE = 0.15, 0.20
 # What the parts of a severed triple are replaced by.
 NOISE_ENTITIES = ("Random Organization", "Unknown Person", "Fictional Place", "Unrelated Entity", "Placeholder Entity")
 NOISE_RELATIONS = ("unrelated_to", "does_not_affect", "is_irrelevant_to", "has_no_connection_with", "is_distinct_from")
+# Entities and descriptions of pages that are no entity.
+PAGE_ENTITIES = ("Q4167410", "Q11266439", "Q13406463")
+PAGE_DESCRIPTIONS = (
+    "wikimedia disambiguation page", "wikimedia category", "wikimedia list", "wikimedia template", "wikipedia disambiguation page", "wikipedia category",
+)
