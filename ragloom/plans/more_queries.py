@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import extract as E
 from ragloom.functions import metrics as M
-from ragloom.operators import kg
+from ragloom.operators import compress, kg
 from ragloom.plans import kg_queries, text_queries
+from ragloom.sources import sinks
 from ragloom.tables import table
 
 
@@ -65,7 +66,47 @@ def cited_triples_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kg.triples_in_graph(cited, graph).groupBy("qid").agg(F.count(F.lit(1)).alias("n_cited"), F.count_if("verified").alias("n_verified"))
 
 
-QUERIES = {f.__name__: f for f in (answer_extractors, bleu_corpus, link_candidates, link_decisions, relevant_triples, cited_triples_verified)}
+def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of a metric by method and dataset, as a report shows them."""
+    return sinks.mean_std_pivot(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_discount", ["F", "O"])
+
+
+def dropout_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples and severed triples of each relation, where those that touch ASIA are severed."""
+    hit = (F.lower("h") == "asia") | (F.lower("t") == "asia")
+    return kg_queries.edges(spark, sf_dir).groupBy("r").agg(F.count(F.lit(1)).alias("n_original"), F.count_if(hit).alias("n_severed"))
+
+
+def information_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("i"), "value")
+    return compress.information_mask(rows, 0.4).select("key", "i", "kept")
+
+
+def word_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as tokens, every third id starting a word, errors forced."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("i"), (F.col("event_id") % 100 / 100.0).alias("p"), "event_type")
+    out = compress.word_probabilities(rows, F.col("i") % 3 == 0, F.col("event_type") == "error")
+    return out.select("key", "word", "n_tokens", F.round("p", 9).alias("p"))
+
+
+def fitting_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as passages of so many tokens."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 97).alias("tokens"))
+    return compress.fitting_prefix(rows, 150)
+
+
+def sparkline_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "value")
+    return compress.scaled(rows, "key", "value").select("key", "event_id", "level")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        answer_extractors, bleu_corpus, link_candidates, link_decisions, relevant_triples, cited_triples_verified, metric_pivot, dropout_counts, information_mask, word_probabilities, fitting_prefix,
+        sparkline_levels,
+    )
+}
 
 _CAND = r"""
 c as (select p_name as mention, 'Which steel ' || p_name || ' is small and brushed' as question, 'Q' || k as entity_id, case when k % 2 = 0 then p_name else p_name || ' item' end as label,
@@ -93,4 +134,19 @@ o as (select m.*, len(list_intersect(list_distinct(regexp_extract_all(lower(ques
 select qid, rank, h, r, t, overlap from (select *, row_number() over (partition by qid order by overlap desc, pos) as rank from o) where rank <= 5""",
     "cited_triples_verified": f"""with {kg_queries._GRAPH}
 select qid, count(h) + 1 as n_cited, count(h) as n_verified from questions left join (select qid, h from one) o using (qid) group by qid""",
+    "metric_pivot": """
+select l_returnflag, max(case when l_linestatus = 'F' then c end) as "F", max(case when l_linestatus = 'O' then c end) as "O" from (
+  select l_returnflag, l_linestatus, printf('%.4f ± %.4f', avg(l_discount), coalesce(stddev_samp(l_discount), 0.0)) as c from lineitem group by 1, 2) group by 1""",
+    "dropout_counts": f"with {kg_queries._GRAPH} select r, count(*) as n_original, count(*) filter (lower(h) = 'asia' or lower(t) = 'asia') as n_severed from edges group by r",
+    "information_mask": """
+select user_id as key, event_id as i, value >= c as kept from events join (select user_id as u, quantile_cont(value, 0.4) as c from events group by 1) on u = user_id""",
+    "word_probabilities": """
+with w as (select user_id as key, sum((event_id % 3 = 0)::int) over (partition by user_id order by event_id)::bigint as word, (event_id % 100)::double / 100 as p, event_type = 'error' as f from events)
+select key, word, count(*) as n_tokens, round(case when bool_or(f) then 1.0 else avg(p) end, 9) as p from w group by 1, 2""",
+    "fitting_prefix": """
+with c as (select o_custkey as key, sum(o_orderkey % 97) over (partition by o_custkey order by o_orderkey) as s from orders)
+select key, count(*) filter (s <= 150) as n_fit, coalesce(max(s) filter (s <= 150), 0)::bigint as tokens from c group by key""",
+    "sparkline_levels": """
+with e as (select user_id as u, min(value) as lo, max(value) as hi from events group by 1)
+select user_id as key, event_id, case when hi > lo then floor((value - lo) / (hi - lo) * 7 + 0.5) else 0 end::bigint as level from events join e on u = user_id""",
 }
