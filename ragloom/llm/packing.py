@@ -60,20 +60,19 @@ class WordEncoder:
         """Add words to the store. Those of letters alone are one token run each, which ends with a word-end token, so many are encoded as one text."""
         letters, others = [], []
         for w in words:
-            text = w.decode("utf-8", "replace")
-            (letters if text.isalpha() else others).append((w, text))
+            (letters if w.isalpha() or not w.isascii() and w.decode("utf-8", "replace").isalpha() else others).append(w)
         runs = [letters[low : low + 500] for low in range(0, len(letters), 500)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(t for _, t in run) for run in runs], add_special_tokens=False)):
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b" ".join(run).decode("utf-8", "replace") for run in runs], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             stops = (4 * (np.flatnonzero(self.word_end[ids]) + 1)).tolist()
             if len(stops) != len(run):  # some letter falls apart when lower-cased
                 others += run
                 continue
             data = ids.tobytes()
-            self.words.update(zip((w for w, _ in run), map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+            self.words.update(zip(run, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))))
         for low in range(0, len(others), 10_000):
             part = others[low : low + 10_000]
-            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
