@@ -5,7 +5,8 @@ with their text, known by their tag or by the words of their class, id or role,
 lines. Over the lines' text lengths a window slides; text begins where the window's sum surges and ends where it dives to nothing,
 and the lines between are kept. A stripped element leaves a window of empty lines, so it parts what stands before it from what stands after it.
 Where a page marks its article (``article`` or ``main``), lines outside count as empty and any text inside is a surge. Elsewhere a surge needs
-``SURGE`` characters in a window, links not counted; if no window has them, the run with the most text is kept.
+``SURGE`` characters in a window, links not counted; if no window has them, the run with the most text is kept. Lines in the same
+container as a kept run belong to its text too, so a short end after a form or an advert stays.
 
 Character references are decoded once, white space inside a line becomes one space, and lines are joined by an empty line.
 
@@ -40,6 +41,7 @@ BLOCKS = set(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+CONTAINERS = set("article blockquote body div dd fieldset figure html main section table td".split())
 NEVER_STRIPPED = {"html", "body", "article", "main"}
 
 _MARKUP = re.compile(
@@ -66,22 +68,23 @@ def _is_stripped(tag: str, rest: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines in order: text, characters outside links, and whether the line is in the page's article.
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """The page's lines in order: text, characters outside links, whether the line is in the page's article, and its container's number.
 
     Stripped elements leave ``WINDOW`` empty lines.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, int]] = []
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is stripped by its own
-    stripped = articles = links = 0
+    stripped = articles = links = opened = 0
+    within = [0]  # numbers of the open containers
 
     def end_line() -> None:
         nonlocal linked
         words = " ".join(entities.unescape("".join(text)).split())
         if words:
-            lines.append((words, max(0, len(words) - linked), articles > 0))
+            lines.append((words, max(0, len(words) - linked), articles > 0, within[-1]))
         text.clear()
         linked = 0
 
@@ -93,7 +96,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if tag in ("article", "main"):
             end_line()
             articles -= 1
-            lines.extend([("", 0, False)] * WINDOW)
+            lines.extend([("", 0, False, 0)] * WINDOW)
+        if tag in CONTAINERS:
+            end_line()
+            within.pop()
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -125,11 +131,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     stack[:] = [(t, False) for t, _ in stack]  # what holds the article was not stripped after all
                     stripped = 0
                 end_line()
-                lines.extend([("", 0, False)] * WINDOW)
+                lines.extend([("", 0, False, 0)] * WINDOW)
                 articles += 1
             if cut:
                 end_line()
-                lines.extend([("", 0, articles > 0)] * WINDOW)
+                lines.extend([("", 0, articles > 0, 0)] * WINDOW)
+            if tag in CONTAINERS:
+                opened += 1
+                within.append(opened)
             stack.append((tag, cut))
             stripped += cut
             links += tag == "a"
@@ -143,8 +152,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not page:
         return ""
     lines = lines_of(page)
-    marked = any(inside and text for text, _, inside in lines)
-    sizes = [(len(text) if inside else 0) if marked else plain for text, plain, inside in lines]
+    marked = any(inside and text for text, _, inside, _ in lines)
+    sizes = [(len(text) if inside else 0) if marked else plain for text, plain, inside, _ in lines]
     least = 1 if marked else surge
     runs: list[tuple[int, int, int, int]] = []  # first line, line after the last, largest window, whole size
     i = 0
@@ -158,7 +167,9 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         peak = max(sum(sizes[k : k + window]) for k in range(first, i))
         runs.append((first, i, peak, sum(sizes[first:i])))
     kept = [r for r in runs if r[2] >= least] or [max(runs, key=lambda r: r[3])] if runs else []
-    return "\n\n".join(text for a, b, *_ in kept for text, _, inside in lines[a:b] if text and (inside or not marked))
+    places = {lines[k][3] for a, b, *_ in kept for k in range(a, b) if sizes[k]}
+    chosen = {k for a, b, *_ in kept for k in range(a, b)} | {k for a, b, *_ in runs for k in range(a, b) if lines[k][3] in places}
+    return "\n\n".join(lines[k][0] for k in sorted(chosen) if lines[k][0] and (lines[k][2] or not marked))
 
 
 def extract(pages: DataFrame) -> DataFrame:

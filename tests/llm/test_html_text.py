@@ -26,12 +26,18 @@ def test_unmarked_page_needs_a_surge():
     assert main_text("<p>tiny</p>") == "tiny"
 
 
+def test_short_end_after_a_form_stays():
+    story = "First paragraph of the story, long enough by itself to be a surge in the windows of this page."
+    page = f"<body><div class='header'>Site</div><div id='content'><h2>Title</h2><p>{story}</p><form>x</form><p>The end.</p></div><div id='footer'>f</div><p>tail</p></body>"
+    assert main_text(page) == f"Title\n\n{story}\n\nThe end."
+
+
 def test_stripped_parent_of_the_article_is_given_up():
     assert main_text("<div class='widget'><div><article><p>Inside.</p></article></div></div>") == "Inside."
 
 
 def test_lines_leave_a_gap_for_what_was_stripped():
-    assert [t for t, _, _ in lines_of("<p>a</p><nav>n</nav><p>b</p>")] == ["a", "", "", "", "b"]
+    assert [t for t, *_ in lines_of("<p>a</p><nav>n</nav><p>b</p>")] == ["a", "", "", "", "b"]
 
 
 def test_edge_rows(spark):
