@@ -29,10 +29,10 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 
 # Names of sites with a known verdict, from which the small labelled table of URLs is made.
 BLOCKED_SITES = (
-    "cheap-pills cheap-meds pills-online discount-pharmacy cheap-viagra spam-farm spam-links link-farm content-farm spam-blog casino-bonus casino-win "
-    "free-casino online-poker betting-tips free-bets best-bets sports-bets adult-cams adult-x adult-films adult-chat xxx-videos x-rated hot-singles "
+    "pills-online cheap-meds discount-pills buy-cheap-viagra pharmacy-pills spam-links spam-blog link-farm content-farm farm-of-links casino-bonus "
+    "casino-spins free-casino online-poker betting-tips free-spins sports-bets best-bets adult-cams adult-films adult-chat adult-zone xxx-videos x-rated hot-singles "
     "replica-watches fake-bags cheap-loans fast-cash win-a-prize win-big free-gift-cards miracle-diet crypto-doubler keygen-crack warez-free malware-drop "
-    "phish-login free-money ads-track ad-tracker click-ads track-pixel popup-ads"
+    "phish-login free-money ad-tracker click-ads track-pixel popup-ads pixel-track"
 ).split()
 ALLOWED_SITES = (
     "weather mother theatre northern station nation author thermal gathering reading history museum library gardens recipes science "
