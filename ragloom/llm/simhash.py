@@ -241,7 +241,7 @@ SHARD_BLOCK = 2048
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(text: bytes, words_per_shingle: int) -> tuple[int, list[int]]:
+def signature(text: bytes, words_per_shingle: int) -> tuple[bytes, list[int]]:
     """The fingerprint of a text, and its least shingle hash under each order; none without words."""
     ones, n, least = np.zeros(64, dtype=np.int64), 0, None
     for h in shingle_hashes(text, words_per_shingle):
@@ -250,16 +250,76 @@ def signature(text: bytes, words_per_shingle: int) -> tuple[int, list[int]]:
         with np.errstate(over="ignore"):
             here = np.array([(h * odd).min() for odd in _ODD])
         least = here if least is None else np.minimum(least, here)
-    return _majority(ones, n), [] if least is None else least.tolist()
+    return _majority(ones, n).to_bytes(8, "little"), [] if least is None else least.tolist()
+
+
+def _members(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
+    """The lists of shard members in a column, each as arrays by field; fingerprints as rows of 64-bit words, members in order of node."""
+    for members in column:
+        rows = members.values
+        out = {f.name: rows.field(f.name) for f in rows.type if f.name not in ("fp", "s")}
+        out = {name: x.to_numpy(zero_copy_only=False) for name, x in out.items()}
+        order = np.argsort(out["node"], kind="stable")
+        out = {name: x[order] for name, x in out.items()}
+        for name in ("fp", "s"):
+            if rows.type.get_field_index(name) >= 0 and name == "fp":
+                out["fp"] = np.frombuffer(b"".join(rows.field("fp").to_pylist()), dtype="<u8").reshape(len(order), -1)[order]
+            elif rows.type.get_field_index(name) >= 0:
+                sets = rows.field("s")
+                flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(x) for x in sets)])
+                out["s"] = [flat[ends[i] : ends[i + 1]] for i in order.tolist()]
+        yield out
+
+
+def _distances(fp: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of Hamming distances: members, members, and the distance of each to each.
+
+    Of one block, each is compared with those before it (the others are at 65,535); of two, those of one with those of the other, as pairs
+    within a block are compared elsewhere.
+    """
+    blocks = np.unique(block)
+    left, right = (np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[-1]))
+    step = max(1, (1 << 20) // max(1, len(right)))
+    for low in range(0, len(left), step):
+        some = left[low : low + step]
+        d = sum(np.bitwise_count(fp[some, None, k] ^ fp[None, right, k]).astype(np.uint16) for k in range(fp.shape[1]))
+        if len(blocks) == 1:
+            d[right[None, :] >= some[:, None]] = 65535
+        yield some, right, d
+
+
+def nearest_links(m: dict[str, np.ndarray], radius: int) -> list[tuple[int, int]]:
+    """Each member of a shard with the nearest of those that it is compared with, if that is within the radius."""
+    links = []
+    for some, right, d in _distances(m["fp"], m["block"]):
+        best = d.argmin(axis=1)
+        for i in np.flatnonzero(d[np.arange(len(some)), best] <= radius).tolist():
+            links.append((int(m["node"][right[best[i]]]), int(m["node"][some[i]])))
+    return links
+
+
+def undecided(m: dict[str, np.ndarray], radius: int) -> np.ndarray:
+    """The members of a shard that have another within the radius in another class."""
+    found = np.zeros(len(m["node"]), dtype=bool)
+    for some, right, d in _distances(m["fp"], m["block"]):
+        open_ = (d <= radius) & (m["root"][some][:, None] != m["root"][right][None, :])
+        found[some] |= open_.any(axis=1)
+        found[right] |= open_.any(axis=0)
+    return np.flatnonzero(found)
 
 
-def block_forest(members: list[tuple[int, int, int]], radius: int) -> list[tuple[int, int]]:
-    """Links that span the classes of a shard's members (node, fingerprint, block) within the radius, the nearest first.
+def verified_links(roots: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the classes of sets after all pairs have been decided by their Jaccard similarity, as pairs of roots.
 
-    A BK-tree holds the distinct fingerprints. A member is linked to the nearest member of each class that it meets.
-    Where members are of two blocks, links within a block are found elsewhere too, and only add to these.
+    Shared elements are counted along lists of the sets that have each element.
     """
-    tree, at, parent, links = BKTree(), {}, [], []
+    sizes = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    having = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(ids))))
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    parent = {r: r for r in roots}
+    links = []
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -267,74 +327,93 @@ def block_forest(members: list[tuple[int, int, int]], radius: int) -> list[tuple
             x = parent[x]
         return x
 
-    nodes: list[int] = []
-    for node, value, _ in sorted(members):
-        if value in at:
-            links.append((nodes[at[value]], node))
-            continue
-        nearest: dict[int, tuple[int, int]] = {}
-        for other in tree.within(value, radius):
-            near = ((tree.values[other] ^ value).bit_count(), other)
-            r = root(other)
-            if r not in nearest or near < nearest[r]:
-                nearest[r] = near
-        new = tree.add(value)
-        at[value] = new
-        nodes.append(node)
-        parent.append(new)
-        for r, (_, other) in nearest.items():
-            parent[root(new)] = r
-            links.append((nodes[other], node))
+    class_of = np.array(roots)
+    for i in range(1, len(sets)):
+        shared = np.zeros(i, dtype=np.int64)
+        for low in range(begin[i], begin[i + 1], CHUNK // 64):
+            mine = ids[low : min(low + CHUNK // 64, begin[i + 1])]
+            n = starts[mine + 1] - starts[mine]
+            at = np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared += np.bincount(having[at], minlength=len(sets))[:i]
+        near = shared >= similarity * (sizes[i] + sizes[:i] - shared) - 1e-9
+        for other in np.flatnonzero(near & (class_of[:i] != class_of[i])).tolist():
+            a, b = root(roots[other]), root(roots[i])
+            if a != b:
+                parent[b] = a
+                links.append((roots[other], roots[i]))
     return links
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = COPY_RADIUS) -> DataFrame:
     """``doc_id``, ``class_id``: documents linked by equal texts, or by a Jaccard similarity of their shingle sets, share the smallest doc_id.
 
-    Equal texts are one node, named by their smallest doc_id. Candidates come from BK-trees of fingerprints, a tree for each shard of nodes that share a least shingle hash, and
-    are verified on the whole sets of shingles. Each shard gives the candidates that span its classes, nearest first, not its pairs.
+    Equal texts are one node, named by their smallest doc_id. Candidates are nodes that share a least shingle hash (a shard) and whose fingerprints differ within the radius.
+    First each member's nearest candidate is verified on the whole sets of shingles, and verified pairs unite. Then every member that still has a candidate in another class
+    takes its set of shingles to the shard, where all pairs are decided. Classes merge on decided pairs only, and no shard gives out its pairs.
     Texts without words are linked to equal texts only. Rows without a doc_id take no part.
     """
 
-    @F.arrow_udf("fp long, least array<long>")
+    @F.arrow_udf("fp binary, least array<long>")
     def sign(texts: pa.Array) -> pa.Array:
         found = [signature(t.as_py() or b"", words_per_shingle) for t in texts.cast(pa.binary())]
-        return pa.StructArray.from_arrays(
-            [pa.array([_as_long(a) for a, _ in found], pa.int64()), pa.array([[_as_long(x) for x in b] for _, b in found], pa.list_(pa.int64()))], names=["fp", "least"]
-        )
+        return pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([[_as_long(x) for x in b] for _, b in found], pa.list_(pa.int64()))], names=["fp", "least"])
 
     @F.arrow_udf("array<long>")
     def shingles(texts: pa.Array) -> pa.Array:
         sets = ([*shingle_hashes(t.as_py() or b"", words_per_shingle)] for t in texts.cast(pa.binary()))
         return pa.array([np.unique(np.concatenate(x)).view(np.int64).tolist() if x else [] for x in sets], pa.list_(pa.int64()))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for members in batch.column(0) for x in block_forest([(m["node"], m["fp"] & MASK, m["block"]) for m in members.as_py()], radius)]
+            found = [x for m in _members(batch.column(0)) for x in nearest_links(m, radius)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, m in enumerate(_members(batch.column(4))):
+                found = undecided(m, radius)
+                keys = [pa.array([batch.column(c)[k].as_py()] * len(found), batch.schema.types[c]) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(m["node"][found]), pa.array(m["root"][found])], names=["i", "k", "low", "high", "node", "root"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for m in _members(batch.column(0)) for x in verified_links(m["root"].tolist(), m["s"], similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def with_sets(nodes: DataFrame) -> DataFrame:
+        return named.join(nodes.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingles("text").alias("s"))
+
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     signed = cut(named.select("doc_id", F.sha2("text", 256).alias("same"), sign("text").alias("x")).select("doc_id", "same", "x.*"))
     nodes = signed.groupBy("same").agg(F.min("doc_id").alias("node"))
     firsts = signed.join(nodes.select("node").withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = cut(firsts.select(F.col("doc_id").alias("node"), "fp", F.posexplode("least").alias("i", "k")))
-    shared = keyed.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / SHARD_BLOCK)
-    dealt = keyed.join(shared, ["i", "k"]).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    groups = dealt.groupBy("i", "k", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    shards = groups.agg(F.collect_list(F.struct("node", "fp", "block")).alias("members")).where(F.size("members") > 1)
-    pairs = cut(shards.select("members").mapInArrow(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = named.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingles("text").alias("s"))
-    sets = cut(sets)
+    firsts = firsts.select(F.col("doc_id").alias("node"), "fp", "least")
+    shared = firsts.select(F.posexplode("least").alias("i", "k")).groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(shared.select("i", "k", F.ceil(F.col("n") / SHARD_BLOCK).alias("blocks")))
+
+    def shards(rows: DataFrame, *more: str) -> DataFrame:
+        keyed = rows.select("node", "fp", *more, F.posexplode("least").alias("i", "k"))
+        dealt = keyed.join(shared, ["i", "k"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        groups = dealt.groupBy("i", "k", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        return groups.agg(F.collect_list(F.struct("node", "fp", "block", *more)).alias("members")).where(F.size("members") > 1)
+
+    pairs = shards(firsts).select("members").mapInArrow(nearest, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(pairs.distinct())
+    sets = cut(with_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     links = pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
-    roots = components(links).withColumnRenamed("node", "n")
-    classes = nodes.join(roots, nodes["node"] == roots["n"], "left").select("same", F.coalesce("root", "node").alias("class_id"))
-    return signed.select("doc_id", "same").join(classes, "same").select("doc_id", "class_id")
+    roots = cut(components(links).withColumnRenamed("node", "n"))
+    rooted = firsts.join(roots, firsts["node"] == roots["n"], "left").select("node", "fp", "least", F.coalesce("root", "node").alias("root"))
+    unsure = cut(shards(rooted, "root").mapInArrow(still_open, "i int, k long, low long, high long, node long, root long"))
+    met = unsure.join(with_sets(unsure.select(F.col("node").alias("doc_id"))), unsure["node"] == F.col("doc_id"))
+    met = met.groupBy("i", "k", "low", "high").agg(F.collect_list(F.struct("node", "root", "s")).alias("members"))
+    late = components(met.select("members").mapInArrow(decide, "a long, b long"))
+    late = late.select(F.col("node").alias("early"), F.col("root").alias("late"))
+    classes = nodes.join(roots, nodes["node"] == roots["n"], "left").select("same", F.coalesce("root", "node").alias("early")).join(late, "early", "left")
+    return signed.select("doc_id", "same").join(classes.select("same", F.coalesce("late", "early").alias("class_id")), "same").select("doc_id", "class_id")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:

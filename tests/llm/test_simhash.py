@@ -152,6 +152,44 @@ def test_large_shards_are_compared_in_blocks(spark, monkeypatch):
     assert len(found) == 25 and {r.class_id for r in found} == {0}
 
 
+def shingle_set(text):
+    w = text.lower().split()
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_classes(texts):
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    return classes(list(sets), lambda a, b: texts[a] == texts[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0)
+
+
+def found_classes(spark, texts):
+    return {r.doc_id: r.class_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_classes_merge_on_verified_pairs_at_the_edge(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "SHARD_BLOCK", block)
+    rng = random.Random(4)
+    texts = []
+    for f in range(12):
+        base = [f"f{f}w{i}" for i in range(230)]
+        for _ in range(14):
+            copy = list(base)
+            for k in rng.sample(range(230), 3 + f % 3):
+                copy[k] = f"x{rng.random()}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    assert found_classes(spark, texts) == brute_classes(texts)
+
+
+def test_equal_fingerprints_are_no_similarity(spark):
+    line = "the same line comes again and again " * 400
+    body = [f"b{i}" for i in range(100)]
+    texts = ["a " + line] + [line + " ".join([*body, f"y{i}"]) for i in range(3)] + [line + " ".join(f"c{i}" for i in range(100))]
+    wanted = brute_classes(texts)
+    assert found_classes(spark, texts) == wanted and len(set(wanted.values())) == 3
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
