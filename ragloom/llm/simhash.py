@@ -233,24 +233,39 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3
 #: Shards that a document joins: its least shingle hash under each of as many orders. Documents with a similarity of 0.8 share none of
 #: them in one case of 400,000.
 ORDERS = 8
-#: Bits in which the fingerprints of documents with a similarity of 0.8 may differ: 9.7 are expected, over 20 come up once in 5,000 times.
-COPY_RADIUS = 20
+#: 64-bit words of a near-copy fingerprint.
+WORDS = 4
+#: Bits of 256 in which the fingerprints of documents with a similarity of 0.8 may differ. A bit differs with a chance of 0.152 for large sets and of 0.1875 at
+#: most (four of five shingles shared), so a pair is missed once in 3e10 times for large sets and once in 1.8 million times at worst.
+COPY_RADIUS = 80
 #: Members of a shard that are compared in one task; larger shards are compared as pairs of blocks in tasks of their own.
 SHARD_BLOCK = 2048
 
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(text: bytes, words_per_shingle: int) -> tuple[bytes, list[int]]:
-    """The fingerprint of a text, and its least shingle hash under each order; none without words."""
-    ones, n, least = np.zeros(64, dtype=np.int64), 0, None
+def distinct_shingles(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    found = np.zeros(0, dtype="<u8")
     for h in shingle_hashes(text, words_per_shingle):
-        ones += _ones(h)
-        n += len(h)
-        with np.errstate(over="ignore"):
-            here = np.array([(h * odd).min() for odd in _ODD])
-        least = here if least is None else np.minimum(least, here)
-    return _majority(ones, n).to_bytes(8, "little"), [] if least is None else least.tolist()
+        found = np.union1d(found, h)
+    return found
+
+
+def signature(text: bytes, words_per_shingle: int) -> tuple[bytes, list[int], int]:
+    """The fingerprint of a text's distinct shingles, the least shingle hash under each order (none without words), and how many shingles there are."""
+    h = distinct_shingles(text, words_per_shingle)
+    prints = []
+    with np.errstate(over="ignore"):
+        for k in range(WORDS):
+            z = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & MASK)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+            ones = sum((_ones(z[low : low + CHUNK]) for low in range(0, len(z), CHUNK)), np.zeros(64, dtype=np.int64))
+            prints.append(_majority(ones, len(h)).to_bytes(8, "little"))
+        least = [int((h * odd).min()) for odd in _ODD] if len(h) else []
+    return b"".join(prints), least, len(h)
 
 
 def _members(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
@@ -271,12 +286,13 @@ def _members(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
         yield out
 
 
-def _distances(fp: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _distances(m: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of Hamming distances: members, members, and the distance of each to each.
 
     Of one block, each is compared with those before it (the others are at 65,535); of two, those of one with those of the other, as pairs
-    within a block are compared elsewhere.
+    within a block are compared elsewhere. Pairs whose numbers of shingles rule the similarity out are at 65,535 too.
     """
+    fp, block, size = m["fp"], m["block"], m["size"]
     blocks = np.unique(block)
     left, right = (np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[-1]))
     step = max(1, (1 << 20) // max(1, len(right)))
@@ -285,23 +301,25 @@ def _distances(fp: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray,
         d = sum(np.bitwise_count(fp[some, None, k] ^ fp[None, right, k]).astype(np.uint16) for k in range(fp.shape[1]))
         if len(blocks) == 1:
             d[right[None, :] >= some[:, None]] = 65535
+        a, b = size[some][:, None], size[right][None, :]
+        d[np.minimum(a, b) < similarity * np.maximum(a, b) - 1e-9] = 65535
         yield some, right, d
 
 
-def nearest_links(m: dict[str, np.ndarray], radius: int) -> list[tuple[int, int]]:
+def nearest_links(m: dict[str, np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
     """Each member of a shard with the nearest of those that it is compared with, if that is within the radius."""
     links = []
-    for some, right, d in _distances(m["fp"], m["block"]):
+    for some, right, d in _distances(m, similarity):
         best = d.argmin(axis=1)
         for i in np.flatnonzero(d[np.arange(len(some)), best] <= radius).tolist():
             links.append((int(m["node"][right[best[i]]]), int(m["node"][some[i]])))
     return links
 
 
-def undecided(m: dict[str, np.ndarray], radius: int) -> np.ndarray:
+def undecided(m: dict[str, np.ndarray], radius: int, similarity: float) -> np.ndarray:
     """The members of a shard that have another within the radius in another class."""
     found = np.zeros(len(m["node"]), dtype=bool)
-    for some, right, d in _distances(m["fp"], m["block"]):
+    for some, right, d in _distances(m, similarity):
         open_ = (d <= radius) & (m["root"][some][:, None] != m["root"][right][None, :])
         found[some] |= open_.any(axis=1)
         found[right] |= open_.any(axis=0)
@@ -353,25 +371,26 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     Texts without words are linked to equal texts only. Rows without a doc_id take no part.
     """
 
-    @F.arrow_udf("fp binary, least array<long>")
+    @F.arrow_udf("fp binary, least array<long>, size int")
     def sign(texts: pa.Array) -> pa.Array:
         found = [signature(t.as_py() or b"", words_per_shingle) for t in texts.cast(pa.binary())]
-        return pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([[_as_long(x) for x in b] for _, b in found], pa.list_(pa.int64()))], names=["fp", "least"])
+        least = pa.array([[_as_long(x) for x in b] for _, b, _ in found], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array([a for a, _, _ in found], pa.binary()), least, pa.array([n for *_, n in found], pa.int32())], names=["fp", "least", "size"])
 
     @F.arrow_udf("array<long>")
     def shingles(texts: pa.Array) -> pa.Array:
-        sets = ([*shingle_hashes(t.as_py() or b"", words_per_shingle)] for t in texts.cast(pa.binary()))
-        return pa.array([np.unique(np.concatenate(x)).view(np.int64).tolist() if x else [] for x in sets], pa.list_(pa.int64()))
+        sets = [distinct_shingles(t.as_py() or b"", words_per_shingle).view(np.int64) for t in texts.cast(pa.binary())]
+        return pa.array(sets, pa.list_(pa.int64()))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for m in _members(batch.column(0)) for x in nearest_links(m, radius)]
+            found = [x for m in _members(batch.column(0)) for x in nearest_links(m, radius, similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, m in enumerate(_members(batch.column(4))):
-                found = undecided(m, radius)
+                found = undecided(m, radius, similarity)
                 keys = [pa.array([batch.column(c)[k].as_py()] * len(found), batch.schema.types[c]) for c in range(4)]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(m["node"][found]), pa.array(m["root"][found])], names=["i", "k", "low", "high", "node", "root"])
 
@@ -388,16 +407,16 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     signed = cut(named.select("doc_id", F.sha2("text", 256).alias("same"), sign("text").alias("x")).select("doc_id", "same", "x.*"))
     nodes = signed.groupBy("same").agg(F.min("doc_id").alias("node"))
     firsts = signed.join(nodes.select("node").withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    firsts = firsts.select(F.col("doc_id").alias("node"), "fp", "least")
+    firsts = firsts.select(F.col("doc_id").alias("node"), "fp", "size", "least")
     shared = firsts.select(F.posexplode("least").alias("i", "k")).groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(shared.select("i", "k", F.ceil(F.col("n") / SHARD_BLOCK).alias("blocks")))
 
     def shards(rows: DataFrame, *more: str) -> DataFrame:
-        keyed = rows.select("node", "fp", *more, F.posexplode("least").alias("i", "k"))
+        keyed = rows.select("node", "fp", "size", *more, F.posexplode("least").alias("i", "k"))
         dealt = keyed.join(shared, ["i", "k"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         groups = dealt.groupBy("i", "k", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        return groups.agg(F.collect_list(F.struct("node", "fp", "block", *more)).alias("members")).where(F.size("members") > 1)
+        return groups.agg(F.collect_list(F.struct("node", "fp", "size", "block", *more)).alias("members")).where(F.size("members") > 1)
 
     pairs = shards(firsts).select("members").mapInArrow(nearest, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(pairs.distinct())
@@ -406,7 +425,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     both = F.size(F.array_intersect("sa", "sb"))
     links = pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
     roots = cut(components(links).withColumnRenamed("node", "n"))
-    rooted = firsts.join(roots, firsts["node"] == roots["n"], "left").select("node", "fp", "least", F.coalesce("root", "node").alias("root"))
+    rooted = firsts.join(roots, firsts["node"] == roots["n"], "left").select("node", "fp", "size", "least", F.coalesce("root", "node").alias("root"))
     unsure = cut(shards(rooted, "root").mapInArrow(still_open, "i int, k long, low long, high long, node long, root long"))
     met = unsure.join(with_sets(unsure.select(F.col("node").alias("doc_id"))), unsure["node"] == F.col("doc_id"))
     met = met.groupBy("i", "k", "low", "high").agg(F.collect_list(F.struct("node", "root", "s")).alias("members"))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -190,6 +191,25 @@ def test_equal_fingerprints_are_no_similarity(spark):
     assert found_classes(spark, texts) == wanted and len(set(wanted.values())) == 3
 
 
+def test_repeated_lines_and_short_texts_are_found(spark):
+    body = " ".join(f"b{i}" for i in range(200))
+    footer = " all rights reserved by the owner of this page"
+    texts = [body + footer, body + footer * 300, "short " + body]
+    rng = random.Random(8)
+    for i in range(300):  # eight words against nine: four shingles of five
+        words = [f"s{i}v{rng.random()}" for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+    wanted = brute_classes(texts)
+    assert found_classes(spark, texts) == wanted and len(set(wanted.values())) == 301
+
+
+def test_chance_of_a_missed_pair_is_as_stated():
+    def tail(p):
+        return sum(math.comb(256, k) * p**k * (1 - p) ** (256 - k) for k in range(simhash.COPY_RADIUS + 1, 257))
+
+    assert tail(0.1875) < 1 / 1.8e6 and tail(math.acos(8 / 9) / math.pi) < 1e-10
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
