@@ -77,3 +77,31 @@ def test_redaction(spark):
 def test_empty_table(spark):
     assert secrets.secret_spans(docs_of(spark, [])).collect() == []
     assert secrets.redact(docs_of(spark, [])).collect() == []
+
+
+def test_whole_private_keys_are_redacted(spark):
+    lines = [("MIIEpAIB+/" * 7)[k : k + 64] for k in range(6)] * 4 + ["Zx9/Tail+w=="]
+    body = "\n".join(lines)
+    keys = [
+        f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n{body}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----",
+        "-----BEGIN PRIVATE KEY-----\\n" + "\\n".join(lines) + "\\n-----END PRIVATE KEY-----",
+        f"-----BEGIN OPENSSH PRIVATE KEY-----\n{body}",
+        "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines * 200) + "\n-----END PRIVATE KEY-----",
+        f"-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}",
+        "-----BEGIN PRIVATE KEY-----\n" + "\n".join([*lines[:-1] * 100, lines[-1]]),
+    ]
+    ends = ["\nand then prose goes on as before.", " -----", ""]
+    rows = [(f"before {k}{end}", f"before [secret]{end}") for k in keys for end in ends if "-----END" in k or end != " -----"]
+    rows += [("a line -----BEGIN PRIVATE KEY----- alone in prose\nthat goes on", "a line [secret] alone in prose\nthat goes on")]
+    rows += [(f"{keys[0]} mid {keys[0]}", "[secret] mid [secret]"), ("-----BEGIN PUBLIC KEY-----\nabc", "-----BEGIN PUBLIC KEY-----\nabc")]
+    found = secrets.redact(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == {i: t for i, (_, t) in enumerate(rows)}
+
+
+def test_longer_findings_replace_those_of_an_older_rule(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    key = "-----BEGIN PRIVATE KEY-----\n" + "A1b+" * 16 + "\n-----END PRIVATE KEY-----"
+    secrets.secret_spans(docs_of(spark, [key]), path).collect()
+    assert [r.spans for r in secrets.secret_spans(docs_of(spark, [key]), path, secrets.CURRENT_RULES).collect()] == [f"pem:0:{len(key)}"]
