@@ -17,21 +17,33 @@ from ragloom.operators import kg_tables as T
 def one_hop(seeds: DataFrame, edges: DataFrame, limit: int = 30, relations: list[str] | None = None) -> DataFrame:
     """``qid``, ``hop``, ``pos``, ``h``, ``r``, ``t``: the first ``limit`` edges of each seed by relation and tail.
 
-    ``seeds`` has ``qid`` and ``seed``. A relation whitelist is pushed to the scan of the edges.
+    ``seeds`` has ``qid`` and ``seed``, and may have ``place``, the seed's place in its question; otherwise seeds go by name.
+    ``pos`` counts on over the seeds of a question. A relation whitelist is pushed to the scan of the edges.
     """
     if relations is not None:
         edges = edges.where(F.col("r").isin(relations))
-    found = seeds.join(edges, F.col("seed") == F.col("h")).select("qid", "h", "r", "t")
-    first = Window.partitionBy("qid").orderBy("r", "t", "h")
-    return found.withColumn("pos", F.row_number().over(first).cast("long")).where(F.col("pos") <= limit).select("qid", F.lit(1).alias("hop"), "pos", "h", "r", "t")
+    found = _placed(seeds).join(edges, F.col("seed") == F.col("h")).select("qid", "place", "seed", "h", "r", "t")
+    first = Window.partitionBy("qid", "seed").orderBy("r", "t", "h")
+    found = found.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
+    return found.withColumn("pos", _counted_on()).select("qid", F.lit(1).alias("hop"), "pos", "h", "r", "t")
+
+
+def _placed(seeds: DataFrame) -> DataFrame:
+    """``qid``, ``seed``, ``place``, each seed of a question once."""
+    place = F.min("place") if "place" in seeds.columns else F.lit(0)
+    return seeds.groupBy("qid", "seed").agg(place.alias("place"))
+
+
+def _counted_on() -> Column:
+    return F.row_number().over(Window.partitionBy("qid").orderBy("place", "seed", "nth")).cast("long")
 
 
 def two_hop(seeds: DataFrame, edges: DataFrame, limit: int = 30) -> DataFrame:
     """As ``one_hop`` over paths of two edges; both edges of a path are given, one after the other."""
     far = edges.select(F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
-    paths = seeds.join(edges, F.col("seed") == F.col("h")).join(far, F.col("t") == F.col("h2"))
-    first = Window.partitionBy("qid").orderBy("r", "t", "r2", "t2", "h")
-    paths = paths.withColumn("n", F.row_number().over(first).cast("long")).where(F.col("n") <= limit)
+    paths = _placed(seeds).join(edges, F.col("seed") == F.col("h")).join(far, F.col("t") == F.col("h2"))
+    first = Window.partitionBy("qid", "seed").orderBy("r", "t", "r2", "t2", "h")
+    paths = paths.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit).withColumn("n", _counted_on())
     both = F.array(
         F.struct((2 * F.col("n") - 1).alias("pos"), F.col("h").alias("h"), F.col("r").alias("r"), F.col("t").alias("t")),
         F.struct((2 * F.col("n")).alias("pos"), F.col("h2").alias("h"), F.col("r2").alias("r"), F.col("t2").alias("t")),

@@ -112,7 +112,7 @@ def _uniform(keys: np.ndarray, draw: int, seed: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 2.0**-54
 
 
-def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, resamples: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Mean difference, its bootstrap interval and a two-sided p, by Poisson resampling.
 
     Each task draws a Poisson(1) weight for each of its rows and resamples, from the row's key, and gives ``resamples`` sums; these are added up.

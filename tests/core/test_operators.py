@@ -222,3 +222,13 @@ def test_readers_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
     sinks.manifest(spark, str(tmp_path / "manifest"), {"seed": 1})
     assert json.loads(spark.read.text(str(tmp_path / "manifest")).first().value)["run"] == {"seed": 1}
+
+
+def test_each_seed_has_its_own_limit(spark):
+    edges = spark.createDataFrame([(h, r, f"{h}{i:02d}") for h, r in (("b", "a-first"), ("a", "z-last")) for i in range(40)] + [(f"{h}{i:02d}", "next", "x") for h in "ab" for i in range(40)], "h string, r string, t string")
+    seeds = spark.createDataFrame([("q", "b", 1), ("q", "a", 0)], "qid string, seed string, place int")
+    one = [(r.pos, r.h, r.t) for r in kg.one_hop(seeds, edges).orderBy("pos").collect()]
+    assert one == [(k + 1, h, f"{h}{i:02d}") for k, (h, i) in enumerate((h, i) for h in "ab" for i in range(30))]
+    two = kg.two_hop(seeds, edges).orderBy("pos").collect()
+    assert [r.pos for r in two] == list(range(1, 121)) and [r.t for r in two if r.t != "x"] == [t for *_, t in one]
+    assert kg.merged_hops(seeds, edges).count() == 120
