@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.session import cut, fresh
@@ -230,9 +230,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3
 
 # Near copies by similarity: fingerprints find the candidates, the shingle sets decide.
 
-#: Shards that a document joins: its least shingle hash under each of as many orders. Documents with a similarity of 0.8 share none of
-#: them in one case of 400,000.
-ORDERS = 8
+#: Shards that a document joins, and least shingle hashes (each under an order of its own) that the key of one is made of. Documents with a similarity of 0.8
+#: share a key with a chance of 0.512, so they share none in one case of 400,000; at a similarity of 0.2, as from a common passage, they meet in one shard of 125.
+TABLES, ROWS = 18, 3
 #: 64-bit words of a near-copy fingerprint.
 WORDS = 4
 #: Bits of 256 in which the fingerprints of documents with a similarity of 0.8 may differ. A bit differs with a chance of 0.152 for large sets and of 0.1875 at
@@ -240,207 +240,329 @@ WORDS = 4
 COPY_RADIUS = 80
 #: Members of a shard that are compared in one task; larger shards are compared as pairs of blocks in tasks of their own.
 SHARD_BLOCK = 2048
+#: Texts that are signed at a time.
+SIGNED = 256
 
-_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, TABLES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FP = [f"f{i}" for i in range(WORDS)]
 
 
-def distinct_shingles(text: bytes, words_per_shingle: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, in order."""
-    found = np.zeros(0, dtype="<u8")
-    for h in shingle_hashes(text, words_per_shingle):
-        found = np.union1d(found, h)
+_RANDOM = np.random.default_rng(SEED)
+#: A number for each byte, A-Z as a-z, and powers of an odd number and of its inverse: a word's hash is a sum over its bytes, found from running sums over a whole text.
+_BYTE_VALUE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_VALUE[np.arange(ord("A"), ord("Z") + 1)] = _BYTE_VALUE[np.arange(ord("a"), ord("z") + 1)]
+_IS_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes of which the running sums are made at a time.
+SPAN = 1 << 20
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base & MASK, dtype=np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash for each word of a text, whatever the case of A-Z; words are runs of other bytes than ASCII white space."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    found = []
+    low = 0
+    while low < len(data):
+        high = min(len(data), low + SPAN)
+        if high < len(data):  # cut after white space, or else take the word in whole
+            spaces = np.flatnonzero(_IS_SPACE[data[low:high]])
+            while not len(spaces) and high < len(data):
+                high = min(len(data), high + SPAN)
+                spaces = np.flatnonzero(_IS_SPACE[data[low:high]])
+            if high < len(data):
+                high = low + int(spaces[-1]) + 1
+        part = data[low:high]
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], _IS_SPACE[part], [True]))))
+        starts, ends = edges[::2], edges[1::2]
+        with np.errstate(over="ignore"):
+            up, down = (_UP, _DOWN) if len(part) <= SPAN else (_powers(_BASE, len(part) + 1), _powers(pow(_BASE, -1, 1 << 64), len(part) + 1))
+            sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE_VALUE[part] * up[: len(part)])))
+            found.append(_mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        low = high
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BASE, SPAN + 1), _powers(pow(_BASE, -1, 1 << 64), SPAN + 1)
+
+
+def shingles_of(words: np.ndarray, words_per_shingle: int) -> np.ndarray:
+    """The shingle that starts at each word, folded from the words' hashes; the last ones run over the end."""
+    found = np.full(len(words), words_per_shingle, dtype=np.uint64)
+    padded = np.concatenate((words, np.zeros(words_per_shingle, dtype=np.uint64)))
+    with np.errstate(over="ignore"):
+        for k in range(words_per_shingle):
+            found = _mixed(found + padded[k : k + len(words)])
     return found
 
 
-def signature(text: bytes, words_per_shingle: int) -> tuple[bytes, list[int], int]:
-    """The fingerprint of a text's distinct shingles, the least shingle hash under each order (none without words), and how many shingles there are."""
-    h = distinct_shingles(text, words_per_shingle)
-    prints = []
+def shingle_sets(texts: list[bytes], words_per_shingle: int) -> list[np.ndarray]:
+    """The hashes of the distinct shingles of each text, in order; of fewer words, that of them all."""
+    out: list[np.ndarray] = []
+    low = 0
+    while low < len(texts):
+        high, size = low, 0
+        while high < len(texts) and (high == low or size + len(texts[high]) <= SPAN):
+            size += len(texts[high])
+            high += 1
+        some = texts[low:high]
+        words = word_hashes(b"\n".join(some))
+        counts = [len(t.split()) for t in some] if len(some) > 1 else [len(words)]
+        shingles = shingles_of(words, words_per_shingle)
+        at = 0
+        for n in counts:
+            if n < words_per_shingle:
+                found = shingles_of(words[at : at + n], n)[:1] if n else words[:0]
+            else:
+                found = np.sort(shingles[at : at + n - words_per_shingle + 1])
+                found = found[np.concatenate(([True], found[1:] != found[:-1]))]
+            out.append(found)
+            at += n
+        low = high
+    return out
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of shingle hashes, none of them empty: ``WORDS`` words of fingerprint and ``TABLES`` shard keys each, as rows of signed longs."""
+    sizes = np.array([len(s) for s in sets])
+    h, starts, owner = np.concatenate(sets), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sets)), sizes)
+    prints = np.zeros((len(sets), WORDS), dtype=np.int64)
     with np.errstate(over="ignore"):
-        for k in range(WORDS):
-            z = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & MASK)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
-            ones = sum((_ones(z[low : low + CHUNK]) for low in range(0, len(z), CHUNK)), np.zeros(64, dtype=np.int64))
-            prints.append(_majority(ones, len(h)).to_bytes(8, "little"))
-        least = [int((h * odd).min()) for odd in _ODD] if len(h) else []
-    return b"".join(prints), least, len(h)
+        for w in range(WORDS):
+            counts = np.zeros(len(sets) * 2048, dtype=np.int64)
+            for low in range(0, len(h), CHUNK):
+                part = _mixed(h[low : low + CHUNK] + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & MASK))
+                places = part.view(np.uint8).reshape(-1, 8) + (_BYTE_POS + owner[low : low + CHUNK, None] * 2048)
+                counts += np.bincount(places.ravel(), minlength=len(counts))
+            ones = counts.reshape(len(sets), 8, 256).astype(np.float64) @ _BYTE_BITS.astype(np.float64)
+            bits = 2 * ones > sizes[:, None, None]
+            prints[:, w] = np.packbits(bits.reshape(len(sets), 64), axis=1, bitorder="little").view("<i8").ravel()
+        keys = np.zeros((TABLES, len(sets)), dtype=np.uint64)
+        for n, odd in enumerate(_ODD):
+            table = n // ROWS
+            keys[table] = _mixed(keys[table] + np.minimum.reduceat(h * odd, starts) + np.uint64(table + 1))
+    return prints, keys.T.astype(np.int64)
+
+
+def sign_texts(texts: list[bytes], words_per_shingle: int) -> tuple[np.ndarray, list[list[int]], list[int]]:
+    """Fingerprint words, shard keys (none without words) and numbers of distinct shingles of texts."""
+    sets = shingle_sets(texts, words_per_shingle)
+    some = [i for i, s in enumerate(sets) if len(s)]
+    prints, keys = np.zeros((len(texts), WORDS), dtype=np.int64), [[] for _ in texts]
+    if some:
+        prints[some], found = signatures([sets[i] for i in some])
+        for i, k in zip(some, found.tolist()):
+            keys[i] = k
+    return prints, keys, [len(s) for s in sets]
 
 
 def _members(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
     """The lists of shard members in a column, each as arrays by field; fingerprints as rows of 64-bit words, members in order of node."""
     for members in column:
         rows = members.values
-        out = {f.name: rows.field(f.name) for f in rows.type if f.name not in ("fp", "s")}
-        out = {name: x.to_numpy(zero_copy_only=False) for name, x in out.items()}
-        order = np.argsort(out["node"], kind="stable")
-        out = {name: x[order] for name, x in out.items()}
-        for name in ("fp", "s"):
-            if rows.type.get_field_index(name) >= 0 and name == "fp":
-                out["fp"] = np.frombuffer(b"".join(rows.field("fp").to_pylist()), dtype="<u8").reshape(len(order), -1)[order]
-            elif rows.type.get_field_index(name) >= 0:
-                sets = rows.field("s")
-                flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(x) for x in sets)])
-                out["s"] = [flat[ends[i] : ends[i + 1]] for i in order.tolist()]
+        numbers = {f.name: rows.field(f.name).to_numpy(zero_copy_only=False) for f in rows.type if f.name != "s"}
+        order = np.argsort(numbers["node"], kind="stable")
+        out = {name: x[order] for name, x in numbers.items() if name not in _FP}
+        if _FP[0] in numbers:
+            out["fp"] = np.stack([numbers[f][order] for f in _FP], axis=1).view(np.uint64)
+        if rows.type.get_field_index("s") >= 0:
+            sets = rows.field("s")
+            flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(x) for x in sets)])
+            out["s"] = [flat[ends[i] : ends[i + 1]] for i in order.tolist()]
         yield out
 
 
-def _distances(m: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of Hamming distances: members, members, and the distance of each to each.
+def undecided(m: dict[str, np.ndarray], radius: int, similarity: float) -> np.ndarray:
+    """The members of a group that have another within the radius in another class, and with a number of shingles that allows the similarity.
 
-    Of one block, each is compared with those before it (the others are at 65,535); of two, those of one with those of the other, as pairs
-    within a block are compared elsewhere. Pairs whose numbers of shingles rule the similarity out are at 65,535 too.
+    Members of one side are compared with each other, those of two sides with those of the other side only.
     """
-    fp, block, size = m["fp"], m["block"], m["size"]
-    blocks = np.unique(block)
-    left, right = (np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[-1]))
+    fp, side, size, root = m["fp"], m["side"], m["size"], m["root"]
+    sides = np.unique(side)
+    left, right = np.flatnonzero(side == sides[0]), np.flatnonzero(side == sides[-1])
+    found = np.zeros(len(fp), dtype=bool)
     step = max(1, (1 << 20) // max(1, len(right)))
     for low in range(0, len(left), step):
         some = left[low : low + step]
         d = sum(np.bitwise_count(fp[some, None, k] ^ fp[None, right, k]).astype(np.uint16) for k in range(fp.shape[1]))
-        if len(blocks) == 1:
-            d[right[None, :] >= some[:, None]] = 65535
         a, b = size[some][:, None], size[right][None, :]
-        d[np.minimum(a, b) < similarity * np.maximum(a, b) - 1e-9] = 65535
-        yield some, right, d
-
-
-def nearest_links(m: dict[str, np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Each member of a shard with the nearest of those that it is compared with, if that is within the radius."""
-    links = []
-    for some, right, d in _distances(m, similarity):
-        best = d.argmin(axis=1)
-        for i in np.flatnonzero(d[np.arange(len(some)), best] <= radius).tolist():
-            links.append((int(m["node"][right[best[i]]]), int(m["node"][some[i]])))
-    return links
-
-
-def undecided(m: dict[str, np.ndarray], radius: int, similarity: float) -> np.ndarray:
-    """The members of a shard that have another within the radius in another class."""
-    found = np.zeros(len(m["node"]), dtype=bool)
-    for some, right, d in _distances(m, similarity):
-        open_ = (d <= radius) & (m["root"][some][:, None] != m["root"][right][None, :])
-        found[some] |= open_.any(axis=1)
-        found[right] |= open_.any(axis=0)
+        near = (d <= radius) & (root[some][:, None] != root[right][None, :]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
+        found[some] |= near.any(axis=1)
+        found[right] |= near.any(axis=0)
     return np.flatnonzero(found)
 
 
-def verified_links(roots: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that span the classes of sets after all pairs have been decided by their Jaccard similarity, as pairs of roots.
+def verified_links(roots: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between classes, as pairs of roots, that span what the Jaccard similarities of all pairs of sets join.
 
-    Shared elements are counted along lists of the sets that have each element.
+    With two sides the pairs are those of a set of one side with one of the other. Shared elements are counted along lists of the sets that have each element.
     """
     sizes = np.array([len(x) for x in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     having = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
     starts = np.concatenate(([0], np.cumsum(np.bincount(ids))))
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    parent = {r: r for r in roots}
-    links = []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    class_of = np.array(roots)
-    for i in range(1, len(sets)):
-        shared = np.zeros(i, dtype=np.int64)
+    sides, counts = np.unique(side, return_counts=True)
+    asked = np.flatnonzero(side == sides[np.argmin(counts)])
+    class_of, links = np.array(roots), []
+    for i in asked.tolist():
+        others = class_of != class_of[i]
+        others &= side != side[i] if len(sides) > 1 else np.arange(len(sets)) < i
+        if not others.any():
+            continue
+        shared = np.zeros(len(sets), dtype=np.int64)
         for low in range(begin[i], begin[i + 1], CHUNK // 64):
             mine = ids[low : min(low + CHUNK // 64, begin[i + 1])]
             n = starts[mine + 1] - starts[mine]
             at = np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            shared += np.bincount(having[at], minlength=len(sets))[:i]
-        near = shared >= similarity * (sizes[i] + sizes[:i] - shared) - 1e-9
-        for other in np.flatnonzero(near & (class_of[:i] != class_of[i])).tolist():
-            a, b = root(roots[other]), root(roots[i])
-            if a != b:
-                parent[b] = a
-                links.append((roots[other], roots[i]))
+            shared += np.bincount(having[at], minlength=len(sets))
+        near = others & (shared >= similarity * (sizes[i] + sizes - shared) - 1e-9)
+        for other in np.flatnonzero(near).tolist():
+            if class_of[other] != class_of[i]:
+                links.append((int(roots[other]), int(roots[i])))
+                class_of[class_of == class_of[other]] = class_of[i]
     return links
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = COPY_RADIUS) -> DataFrame:
-    """``doc_id``, ``class_id``: documents linked by equal texts, or by a Jaccard similarity of their shingle sets, share the smallest doc_id.
+def _digest(text: Column) -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256), 1, 32))
+
+
+def _partitions(df: DataFrame) -> int:
+    """A fixed number, for groups whose cost doesn't follow from their bytes."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
-    Equal texts are one node, named by their smallest doc_id. Candidates are nodes that share a least shingle hash (a shard) and whose fingerprints differ within the radius.
-    First each member's nearest candidate is verified on the whole sets of shingles, and verified pairs unite. Then every member that still has a candidate in another class
-    takes its set of shingles to the shard, where all pairs are decided. Classes merge on decided pairs only, and no shard gives out its pairs.
-    Texts without words are linked to equal texts only. Rows without a doc_id take no part.
+
+def copy_classes(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = COPY_RADIUS) -> DataFrame:
+    """``same`` (a text's digest), ``least`` (its smallest doc_id) and ``class`` for each distinct text of ``docs``: texts with a Jaccard similarity of their shingle sets
+    of at least ``similarity`` share a class, and so do those that a chain of such pairs joins. Texts without words are classes of their own.
+
+    Nodes are texts, whatever their doc_ids. Texts that share a shard key are candidates if their fingerprints differ within the radius.
+    First each member of a shard is held against the shard's first one, and pairs unite once their whole shingle sets have been compared: work in proportion to the members,
+    which gathers a large group of copies. Then members of different classes in one shard are compared, in blocks: all those outside the shard's largest class with one
+    another and with that class, whose members aren't compared among themselves. Of these, members with a candidate in another class take their shingle sets to the shard, where all
+    pairs are decided. So classes merge on decided pairs only, and no shard gives out its pairs.
     """
 
-    @F.arrow_udf("fp binary, least array<long>, size int")
+    @F.arrow_udf(", ".join(f"{f} long" for f in _FP) + ", keys array<long>, size int")
     def sign(texts: pa.Array) -> pa.Array:
-        found = [signature(t.as_py() or b"", words_per_shingle) for t in texts.cast(pa.binary())]
-        least = pa.array([[_as_long(x) for x in b] for _, b, _ in found], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array([a for a, _, _ in found], pa.binary()), least, pa.array([n for *_, n in found], pa.int32())], names=["fp", "least", "size"])
+        raw = texts.cast(pa.binary())
+        parts = [sign_texts([t.as_py() or b"" for t in raw[low : low + SIGNED]], words_per_shingle) for low in range(0, len(raw), SIGNED)]
+        prints = np.concatenate([p for p, _, _ in parts]) if parts else np.zeros((0, WORDS), dtype=np.int64)
+        columns = [*(pa.array(prints[:, w]) for w in range(WORDS)), pa.array([k for _, keys, _ in parts for k in keys], pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays([*columns, pa.array([n for *_, sizes in parts for n in sizes], pa.int32())], names=[*_FP, "keys", "size"])
 
     @F.arrow_udf("array<long>")
     def shingles(texts: pa.Array) -> pa.Array:
-        sets = [distinct_shingles(t.as_py() or b"", words_per_shingle).view(np.int64) for t in texts.cast(pa.binary())]
-        return pa.array(sets, pa.list_(pa.int64()))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [x for m in _members(batch.column(0)) for x in nearest_links(m, radius, similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        sets = shingle_sets([t.as_py() or b"" for t in texts.cast(pa.binary())], words_per_shingle)
+        ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)))
 
     def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, m in enumerate(_members(batch.column(4))):
+            for at, m in enumerate(_members(batch.column(4))):
                 found = undecided(m, radius, similarity)
-                keys = [pa.array([batch.column(c)[k].as_py()] * len(found), batch.schema.types[c]) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(m["node"][found]), pa.array(m["root"][found])], names=["i", "k", "low", "high", "node", "root"])
+                keys = [pa.array([batch.column(c)[at].as_py()] * len(found), batch.schema.types[c]) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(m[x][found]) for x in ("node", "root", "side"))], names=["k", "top", "low", "high", "node", "root", "side"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for m in _members(batch.column(0)) for x in verified_links(m["root"].tolist(), m["s"], similarity)]
+            found = [x for m in _members(batch.column(0)) for x in verified_links(m["root"], m["side"], m["s"], similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    def with_sets(nodes: DataFrame) -> DataFrame:
-        return named.join(nodes.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingles("text").alias("s"))
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    signed = cut(named.select("doc_id", F.sha2("text", 256).alias("same"), sign("text").alias("x")).select("doc_id", "same", "x.*"))
-    nodes = signed.groupBy("same").agg(F.min("doc_id").alias("node"))
-    firsts = signed.join(nodes.select("node").withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    firsts = firsts.select(F.col("doc_id").alias("node"), "fp", "size", "least")
-    shared = firsts.select(F.posexplode("least").alias("i", "k")).groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(shared.select("i", "k", F.ceil(F.col("n") / SHARD_BLOCK).alias("blocks")))
-
-    def shards(rows: DataFrame, *more: str) -> DataFrame:
-        keyed = rows.select("node", "fp", "size", *more, F.posexplode("least").alias("i", "k"))
-        dealt = keyed.join(shared, ["i", "k"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        groups = dealt.groupBy("i", "k", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        return groups.agg(F.collect_list(F.struct("node", "fp", "size", "block", *more)).alias("members")).where(F.size("members") > 1)
-
-    pairs = shards(firsts).select("members").mapInArrow(nearest, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.distinct())
-    sets = cut(with_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    texts = docs.select(F.col("doc_id"), _digest(F.col("text")).alias("same"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    signed = texts.select("doc_id", "same", sign("text").alias("x"))
+    nodes = signed.groupBy("same").agg(F.min("doc_id").alias("least"), F.first("x").alias("x"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "least", "x.*"))
+    prints = nodes.select("node", "size", *_FP)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The shingle sets of nodes, each from one row that holds its text."""
+        at = wanted.distinct().join(nodes, "node").select("node", "same", F.xxhash64("least").alias("at"))
+        rows = texts.select(F.xxhash64("doc_id").alias("at"), "same", "text").join(at, ["at", "same"]).dropDuplicates(["at", "same"])
+        return cut(rows.select("node", shingles("text").alias("s")))
+
+    def alike(size_a: str, size_b: str) -> Column:
+        return F.least(size_a, size_b) >= F.lit(similarity) * F.greatest(size_a, size_b) - 1e-9
+
+    keyed = nodes.select("node", F.explode("keys").alias("k"))
+    shards = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
+    members = cut(keyed.join(shards.select("k", "first"), "k"))
+
+    pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(prints.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), *(F.col(f).alias(f"{f}_{end}") for f in _FP)), end)
+    far = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in _FP), F.lit(0))
+    pairs = cut(pairs.where((far <= radius) & alike("size_a", "size_b")).select("a", "b"))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     links = pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
-    roots = cut(components(links).withColumnRenamed("node", "n"))
-    rooted = firsts.join(roots, firsts["node"] == roots["n"], "left").select("node", "fp", "size", "least", F.coalesce("root", "node").alias("root"))
-    unsure = cut(shards(rooted, "root").mapInArrow(still_open, "i int, k long, low long, high long, node long, root long"))
-    met = unsure.join(with_sets(unsure.select(F.col("node").alias("doc_id"))), unsure["node"] == F.col("doc_id"))
-    met = met.groupBy("i", "k", "low", "high").agg(F.collect_list(F.struct("node", "root", "s")).alias("members"))
+    roots = cut(components(links))
+
+    rooted = members.select("k", "node").join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
+    cells = rooted.groupBy("k", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("k")
+    cells = cells.agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+    blocks = lambda n: F.ceil(n / SHARD_BLOCK)
+    cells = cut(cells.select("k", F.col("most.root").alias("top_root"), blocks(F.col("most.n")).alias("top_blocks"), blocks(F.col("n") - F.col("most.n")).alias("blocks")))
+    dealt = rooted.join(cells, "k").withColumn("is_top", F.col("root") == F.col("top_root"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("top_blocks")).otherwise(F.col("blocks"))))
+    count_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    group = lambda top, low, high, side: F.struct(F.lit(top).alias("top"), low.alias("low"), high.alias("high"), side.alias("side"))
+    own, zero, one = F.col("own"), F.lit(0).cast("long"), F.lit(1).cast("long")
+    with_rest = F.transform(count_to("blocks"), lambda x: group(False, F.least(own, x), F.greatest(own, x), own))
+    with_top = F.transform(count_to("top_blocks"), lambda x: group(True, own, x, zero))
+    from_top = F.transform(count_to("blocks"), lambda x: group(True, x, own, one))
+    dealt = dealt.select("k", "node", "root", F.explode(F.when(F.col("is_top"), from_top).otherwise(F.concat(with_rest, with_top))).alias("g")).select("k", "g.*", "node", "root")
+    key = ["k", "top", "low", "high"]
+    groups = dealt.join(prints, "node").repartition(_partitions(docs), *key).groupBy(*key).agg(F.collect_list(F.struct("node", "root", "side", "size", *_FP)).alias("members"))
+    unsure = cut(groups.where(F.size("members") > 1).mapInArrow(still_open, "k long, top boolean, low long, high long, node long, root long, side long"))
+    met = unsure.join(sets_of(unsure.select("node")), "node").repartition(_partitions(docs), *key)
+    met = met.groupBy(*key).agg(F.collect_list(F.struct("node", "root", "side", "s")).alias("members"))
     late = components(met.select("members").mapInArrow(decide, "a long, b long"))
+
+    early = nodes.select("node", "same", "least").join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("early"))
     late = late.select(F.col("node").alias("early"), F.col("root").alias("late"))
-    classes = nodes.join(roots, nodes["node"] == roots["n"], "left").select("same", F.coalesce("root", "node").alias("early")).join(late, "early", "left")
-    return signed.select("doc_id", "same").join(classes.select("same", F.coalesce("late", "early").alias("class_id")), "same").select("doc_id", "class_id")
+    return early.join(late, "early", "left").select("same", "least", F.coalesce("late", "early").alias("class"))
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = COPY_RADIUS) -> DataFrame:
+    """``doc_id``, ``class_id``: a row for each row of ``docs``, with the smallest doc_id of its class of near copies; null for a class of rows without one.
+
+    A null text is the empty text.
+    """
+    classes = copy_classes(docs, similarity, words_per_shingle, radius)
+    named = classes.groupBy("class").agg(F.min("least").alias("class_id"))
+    named = classes.join(named, "class").select("same", "class_id")
+    return docs.select("doc_id", _digest(F.col("text")).alias("same")).join(named, "same").select("doc_id", "class_id")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class of near copies, each doc_id once.
+    """One row of ``docs`` for each class of near copies: of its smallest doc_id (nulls last); if several texts of the class have that one, the text with the smallest digest.
 
-    Rows without a doc_id cannot be named as a copy and stay.
+    Texts that share a doc_id but aren't similar are kept each by its own. Of rows that repeat doc_id and text, one stays, the least by its other columns.
     """
-    key = fresh("keeper", docs)
-    keepers = near_copies(docs, similarity, words_per_shingle).select(F.col("class_id").alias(key)).distinct()
-    named = docs.join(keepers, docs["doc_id"] == keepers[key], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    at, same, keeper, row, rest = (fresh(x, docs) for x in ("at", "same", "keeper", "row", "rest"))
+    classes = copy_classes(docs, similarity, words_per_shingle)
+    kept = classes.groupBy("class").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "same")).alias("x"))
+    kept = kept.select(F.xxhash64("x.least").alias(at), F.col("x.same").alias(same), F.col("x.least").alias(keeper))
+    rows = docs.withColumn(at, F.xxhash64("doc_id")).withColumn(same, _digest(F.col("text")))
+    rows = rows.join(kept, [at, same]).where(F.col("doc_id").eqNullSafe(F.col(keeper)))
+    quoted = [f"`{c}`" for c in docs.columns]
+    others = F.to_json(F.struct(F.col("text").isNull().alias("none"), *(F.col(q) for c, q in zip(docs.columns, quoted) if c not in ("doc_id", "text"))))
+    one = rows.groupBy(at, same).agg(F.min_by(F.struct(*quoted), others).alias(row))
+    return one.select(f"`{row}`.*")

@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -111,7 +112,60 @@ def test_stage_keeps_one_of_each(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, keeper string")
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [3, 8, 10, 11, 12, None]  # white space alone differs from no text
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [3, 8, 10, 11, 12]  # white space alone differs from no text; the row without an id is a copy of 3
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    a, b, c = ("first text of one id", "another text of the same id", "a text without an id")
+    rows = [(5, a, "x"), (5, b, "y"), (7, b, "z"), (None, c, "n"), (None, c, "m"), (None, a, "n"), (5, a, "w"), (9, None, "q"), (9, "", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keeper string")
+    assert sorted(map(tuple, simhash.keep_one_of_each(docs).collect()), key=str) == sorted([(5, a, "w"), (5, b, "y"), (None, c, "m"), (9, "", "r")], key=str)
+    named = sorted(((r.doc_id, r.class_id) for r in simhash.near_copies(docs).collect()), key=str)
+    assert named == sorted([(5, 5)] * 3 + [(7, 5), (None, None), (None, None), (None, 5), (9, 9), (9, 9)], key=str)
+
+
+def test_a_true_link_beside_a_nearer_false_one(spark):
+    """Of three texts, the middle one is nearest to a text that it isn't similar enough to."""
+    rng = random.Random(12)
+    texts = []
+    for f in range(30):
+        base = [f"f{f}w{i}" for i in range(300)]
+        for changes in (0, 5, 6, 7, 8):  # similarities from below 0.8 to above it between them
+            copy = list(base)
+            for k in rng.sample(range(10, 290), changes):
+                copy[k] = f"x{rng.random()}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    wanted = brute_classes(texts)
+    assert found_classes(spark, texts) == wanted and 30 < len(set(wanted.values())) < 150
+
+
+def test_word_hashes_know_words():
+    texts = [b"One two  THREE\tfour\x0bfive six", b"", b" \n", b"x", "gr\u00fc\u00df dich \u00a0 a\u2003b".encode(), b"w" * (1 << 21) + b" end"]
+    for t in texts:
+        words = t.lower().split()
+        assert len(simhash.word_hashes(t)) == len(words)
+        assert (simhash.word_hashes(t) == np.concatenate([np.zeros(0, np.uint64), *(simhash.word_hashes(w) for w in words)])).all()
+    assert [len(s) for s in simhash.shingle_sets(texts, 5)] == [2, 0, 0, 1, 1, 1]
+    assert all((a == simhash.shingle_sets([t], 5)[0]).all() for a, t in zip(simhash.shingle_sets(texts, 5), texts))
+
+
+def test_decisions_of_groups_equal_brute_force():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 40, 60)
+    sets = [np.unique(np.concatenate((rng.permutation(base)[: rng.integers(45, 60)], rng.integers(1, 1 << 40, rng.integers(0, 6))))) for _ in range(40)]
+    for side in (np.zeros(40, dtype=int), np.arange(40) % 7 == 0):
+        roots = np.arange(40) // 2 * 2
+        links = simhash.verified_links(roots, np.asarray(side, dtype=int), sets, 0.8)
+
+        def alike(i, j):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            return both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+
+        pairs = [(i, j) for i in range(40) for j in range(i) if len(set(side)) == 1 or side[i] != side[j]]
+        wanted = classes(list(range(40)), lambda i, j: roots[i] == roots[j] or ((i, j) in pairs or (j, i) in pairs) and alike(i, j))
+        got = classes(list(range(40)), lambda i, j: roots[i] == roots[j] or (roots[i], roots[j]) in links or (roots[j], roots[i]) in links)
+        assert got == wanted
 
 
 def test_near_copies_equal_brute_force(spark):
