@@ -1,9 +1,10 @@
 """Secret scanning with an incremental blob ledger, in DataFrame operations only.
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger has a row for each blob that a run
-scanned: the rule versions applied, and the findings. A run scans only the pairs of blob and
+scanned: the rule versions applied, and the findings, each with the rule version that made it. A run scans only the pairs of blob and
 rule version that the ledger doesn't have, appends its rows, and joins findings back to all paths (rows)
-that hold the blob. Copies are thus scanned once, in one run or over many.
+that hold the blob. Copies are thus scanned once, in one run or over many. A report takes the findings of the rule versions it is asked
+for alone, so those of older versions and of removed rules stay in the ledger without being counted, and the order of the rules doesn't matter to it.
 
 Offsets are code points, end exclusive. Matches are leftmost and non-overlapping for each rule.
 
@@ -64,10 +65,12 @@ PEM = (
     rf"|(?:(?:{_BREAK}*+[A-Za-z][A-Za-z-]*+: [^\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{32,}}+={{0,2}}+)++"
     rf"""(?:{_BREAK}++=?[A-Za-z0-9+/]{{1,63}}+={{0,2}}+(?=\s*(?:[\n"'\\]|$)))*+)?)"""
 )
-#: The rules of redaction. Version 1 of pem, which the scan's SQL fixes, matches the header of a key only; its findings in a ledger give way to the longer ones.
+#: The rules of redaction. Version 1 of pem, which the scan's SQL fixes, matches the header of a key only.
 CURRENT_RULES = BASE_RULES + tuple(Rule("pem", 2, PEM, 0, 1, "-----BEGIN ") if r.kind == "pem" else r for r in MORE_RULES)
 
-LEDGER = "blob string, scanned array<string>, findings array<struct<start:bigint,kind_no:int,stop:bigint>>"
+LEDGER = "blob string, scanned array<string>, findings array<struct<start:bigint,rule:string,stop:bigint>>"
+#: Findings as reported: ``kind_no`` is the rule's place among those asked for.
+FINDINGS = "array<struct<start:bigint,kind_no:int,stop:bigint>>"
 
 
 def blob_id(text: Column) -> Column:
@@ -118,21 +121,32 @@ def scan(versions: DataFrame, text_col: str = "text", ledger: DataFrame | None =
     matches = blobs.select("blob", "scanned", F.explode_outer(F.concat(*per_rule)).alias("x")).select("blob", "scanned", "x.*")
     before = Window.partitionBy("blob", "kind_no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = matches.withColumn("stop", F.sum(F.col("gap") + F.col("len")).over(before))
-    finding = F.when(F.col("ok"), F.struct((F.col("stop") - F.col("len")).alias("start"), "kind_no", "stop"))
+    rule_key = F.element_at(keys, F.col("kind_no") + 1).alias("rule")
+    finding = F.when(F.col("ok"), F.struct((F.col("stop") - F.col("len")).alias("start"), rule_key, "stop"))
     return placed.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.array_sort(F.collect_list(finding)).alias("findings"))
 
 
 def report(versions: DataFrame, ledger: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols``, ``blob`` and all ``findings`` of the ledger, for every row of ``versions``."""
+    """``id_cols``, ``blob`` and all ``findings`` of ``known_findings``, for every row of ``versions``."""
     known = ledger.select("blob", "findings")
     paths = versions.select(*id_cols, blob_id(F.col(text_col)).alias("blob"))
-    return paths.join(known, "blob", "left").select(*id_cols, "blob", F.coalesce("findings", F.expr(f"cast(array() as {LEDGER.split('findings ')[1]})")).alias("findings"))
+    return paths.join(known, "blob", "left").select(*id_cols, "blob", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings"))
+
+
+def known_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES, one_row_each: bool = False) -> DataFrame:
+    """``blob`` and its ``findings`` under the given rule versions, in order of start and rule; ``one_row_each`` if the ledger has one row for a blob."""
+    if not one_row_each:
+        ledger = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    asked = F.filter("findings", lambda f: F.array_contains(keys, f["rule"]))
+    placed = F.transform(asked, lambda f: F.struct(f["start"].alias("start"), (F.array_position(keys, f["rule"]) - 1).cast("int").alias("kind_no"), f["stop"].alias("stop")))
+    return ledger.select("blob", F.array_sort(placed).alias("findings"))
 
 
 def scanned_ledger(versions: DataFrame, text_col: str = "text", ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scan what the ledger at ``ledger_path`` lacks, append it there, and return one row for each blob.
+    """Scan what the ledger at ``ledger_path`` lacks, append it there, and return one row for each blob, as ``known_findings``.
 
-    Without a path the ledger starts empty, in the shared folder.
+    Without a path the ledger starts empty, in the shared folder. Pairs that two runs have scanned at a time count once.
     """
     spark = versions.sparkSession
     if ledger_path is None:
@@ -142,12 +156,7 @@ def scanned_ledger(versions: DataFrame, text_col: str = "text", ledger_path: str
         spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)
         old = spark.read.schema(LEDGER).parquet(path)
     scan(versions, text_col, old, rules).write.mode("append").parquet(path)
-    now = spark.read.schema(LEDGER).parquet(path)
-    if old is None:
-        return now
-    merged = now.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
-    longer = lambda f: F.exists("findings", lambda g: (g["kind_no"] == f["kind_no"]) & (g["start"] == f["start"]) & (g["stop"] > f["stop"]))
-    return merged.select("blob", F.filter("findings", lambda f: ~longer(f)).alias("findings"))
+    return known_findings(spark.read.schema(LEDGER).parquet(path), rules, one_row_each=old is None)
 
 
 def _rendered(findings: Column, rules: tuple[Rule, ...]) -> Column:
@@ -174,19 +183,15 @@ def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, .
 
     No row goes. A text without findings is unchanged, a null text stays null.
     """
-    blob, spans = fresh("blob", docs), fresh("findings", docs)
-    ledger = scanned_ledger(docs, "text", ledger_path, rules).where(F.size("findings") > 0)
-    found = docs.withColumn(blob, blob_id(F.col("text"))).join(ledger.select(F.col("blob").alias(blob), F.col("findings").alias(spans)), blob, "left")
-
-    def step(state: Column, f: Column) -> Column:
-        kept = F.when(f["start"] >= state["at"], F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, f["start"] - state["at"]), F.lit(mark)))
-        return F.struct(kept.otherwise(state["out"]).alias("out"), F.greatest(state["at"], f["stop"]).alias("at"))
-
-    rebuilt = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        step,
-        lambda state: F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text"))),
-    )
-    text = F.when(F.col(spans).isNull() | F.col("text").isNull(), F.col("text")).otherwise(rebuilt)
-    return found.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    blob, pieces, tail = fresh("blob", docs), fresh("pieces", docs), fresh("tail", docs)
+    found = scanned_ledger(docs, "text", ledger_path, rules).select("blob", F.explode("findings").alias("f")).select("blob", "f.*")
+    # A finding that starts after all before it have ended begins a mark; the text before the mark starts where the last of those ended.
+    before = Window.partitionBy("blob").orderBy("start", "kind_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn("at", F.coalesce(F.max("stop").over(before), F.lit(0)))
+    piece = F.when(F.col("start") >= F.col("at"), F.struct("start", "at"))
+    marks = placed.groupBy("blob").agg(F.array_sort(F.collect_list(piece)).alias(pieces), F.max("stop").alias(tail)).withColumnRenamed("blob", blob)
+    rows = docs.withColumn(blob, blob_id(F.col("text"))).join(marks, blob, "left")
+    kept = F.transform(pieces, lambda p: F.substring(F.col("text"), p["at"] + 1, p["start"] - p["at"]))
+    rebuilt = F.array_join(F.concat(kept, F.array(F.substring(F.col("text"), F.col(tail) + 1, F.length("text")))), mark)
+    text = F.when(F.col(pieces).isNull() | F.col("text").isNull(), F.col("text")).otherwise(rebuilt)
+    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
