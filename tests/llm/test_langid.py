@@ -48,13 +48,38 @@ def test_nothing_learned_and_empty(spark):
 
 def test_chunks_do_not_change_the_vector(monkeypatch):
     text = "The und  ..  où été 12 über " * 9
-    whole = langid.bundle(text)
+    whole, size = langid.bundle(text)
     monkeypatch.setattr(langid, "CHUNK", 5)
-    assert np.array_equal(langid.bundle(text), whole)
+    again, again_size = langid.bundle(text)
+    assert np.array_equal(again, whole) and size == again_size
 
 
 def test_bundle_is_the_sum_of_bound_letters():
     letters = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], dtype=np.int8), size=(langid.SYMBOLS, langid.DIMENSIONS)).astype(int)
     codes = [0, 1, 2, 0]
     wanted = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(codes, codes[1:], codes[2:]))
-    assert np.array_equal(langid.bundle("ab"), wanted)
+    assert np.array_equal(langid.bundle("ab")[0], wanted)
+
+
+def test_letters_beyond_the_table_are_told_apart(spark):
+    words = {"ru": "который было только сказал время была этого человек есть если".split(), "bg": "която беше само каза време имаше този човек има ако".split()}
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(words[lang], 12)), lang) for i in range(80) for lang in [("ru", "bg")[i % 2]]]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == ("ru", "bg")[r.doc_id % 2] for r in found)
+
+
+def test_stage_rejects_languages_that_were_not_learned(spark):
+    other = ["мама мыла раму и потом пошла домой через лес " * 5, "人人生而自由在尊严和权利上一律平等 " * 9, "kjqx zvwpk qqzx vvkj xjqz pkwv " * 9]
+    rows = make() + [(500 + i, t, None) for i, t in enumerate(other)] + [(600, "и лес", None), (601, "que les des eau " * 9, None)]
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(90), 600, 601]  # too short to be told from chance: stays
+
+
+def test_more_languages_than_a_task_holds(spark, monkeypatch):
+    rows = make()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    whole = langid.train(docs)
+    monkeypatch.setattr(langid, "HELD", 1)
+    some = langid.train(docs)
+    assert whole.keys() == some.keys() and all(np.array_equal(whole[k], some[k]) for k in whole)
