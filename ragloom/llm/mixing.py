@@ -59,10 +59,11 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]
     return weighed.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(F.col("weight") * F.col("final")).alias("target"))
 
 
-def row_key(doc_id: Column, source: Column, text: Column) -> Column:
-    """Equal for rows with the same id, source and text alone."""
-    head = F.to_json(F.struct(doc_id.alias("i"), source.alias("s"), text.isNull().alias("n")))
-    return F.sha2(F.concat(head, F.coalesce(text.cast("string"), F.lit(""))), 256)
+def row_key(docs: DataFrame) -> Column:
+    """Equal for rows that are equal in every column alone."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    head = F.to_json(F.struct(*others, F.col("text").isNull().alias("none")))
+    return F.sha2(F.concat(head, F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
 
 
 def copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7, keyed: bool = False) -> DataFrame:
@@ -70,10 +71,10 @@ def copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7,
 
     With ``keyed``, also ``key``, by which ``mixed_rows`` finds the rows again.
     """
-    key = [row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key")] if keyed else []
+    key = [row_key(docs).alias("key")] if keyed else []
     rows = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *key))
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap)
-    placed = ranked(rows, "source", [F.col("size").asc(), F.col("doc_id").asc_nulls_first()], per_group=goal)
+    placed = ranked(rows, "source", [F.col("size").asc(), F.col("doc_id").asc_nulls_first(), *(["key"] if keyed else [])], per_group=goal)
     expected = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("expected") * F.col("rank") + F.col("start")) - F.floor(F.col("expected") * (F.col("rank") - 1) + F.col("start"))
     out = placed.withColumn("expected", expected).withColumn("start", offset(F.col("source"), seed))
@@ -88,9 +89,9 @@ def mixture(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7
 def mixed_rows(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``.
 
-    Rows with the same id, source and text share the sum of their copies.
+    Rows that are equal in every column share the sum of their copies; rows that differ in any column are documents of their own.
     """
     key, n, turn = (fresh(x, docs) for x in ("mix_key", "mix_copies", "mix_turn"))
     plan = copies(docs, share, cap, seed, keyed=True).where("copies > 0").groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(n))
-    taken = docs.withColumn(key, row_key(docs["doc_id"], docs["source"], docs["text"])).join(plan, key).dropDuplicates([key])
+    taken = docs.withColumn(key, row_key(docs)).join(plan, key).dropDuplicates([key])
     return taken.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)

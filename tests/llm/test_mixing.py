@@ -75,6 +75,17 @@ def test_mixed_rows_repeat_documents(spark):
     assert {k: v for k, v in count.items() if v} == dict(found)
 
 
+def test_rows_that_differ_in_another_column_alone(spark):
+    rows = [(1, "one two", "a", x) for x in ("p", "q", None, "p")] + [(2, "three", "b", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_key string")
+    count = defaultdict(int)
+    for r in mixing.mixed_rows(docs).collect():
+        count[r.mix_key] += r.doc_id == 1
+    taken = sum(r.copies for r in mixing.copies(docs).where("source = 'a'").collect())
+    assert sum(count.values()) == taken and set(count) <= {"p", "q", None} and len(count) == 3
+    assert sorted(map(str, mixing.mixed_rows(docs).collect())) == sorted(map(str, mixing.mixed_rows(docs.repartition(5)).collect()))
+
+
 def test_empty_tables(spark):
     docs = docs_of(spark, [])
     assert mixing.mixture(docs).collect() == [] and mixing.mixed_rows(docs).collect() == []
