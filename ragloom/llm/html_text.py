@@ -1,16 +1,20 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped first: scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and reader comments go
-with their text, known by their tag or by the words of their class, id or role, and block elements cut what is left into
-lines. Over the lines' text lengths a window slides; text begins where the window's sum surges and ends where it dives to nothing,
-and the lines between are kept. A stripped element leaves a window of empty lines, so it parts what stands before it from what stands after it.
-Where a page marks its article (``article`` or ``main``), lines outside count as empty and any text inside is a surge. Elsewhere a surge needs
-``SURGE`` characters in a window, links not counted; if no window has them, the run with the most text is kept. Lines in the same
-container as a kept run belong to its text too, so a short end after a form or an advert stays.
+Markup is stripped first: scripts, styles, forms, menus, headers, footers and sidebars go with their text, known by their tag, and block elements cut
+what is left into lines. Over the lines' text lengths a window slides; text begins where the window's sum surges and ends where it dives to nothing. Runs of lines
+with ``SURGE`` characters in a window are kept, or the run with the most text if there is none. Lines in the same container as a kept run belong to its text too, so a short
+end after a form or an advert stays. An element that is taken out leaves a window of empty lines, so it parts what stands before it from what stands after it.
+
+Elements whose class, id or role has a word for notices, adverts, comments and the like are suspects, no more: one is taken out unless it holds an article or, with no
+word for comments, at least half of the page's text. Words count as parts of a name in containers and as whole names elsewhere, so a heading
+``related-work`` or a paragraph ``share-price`` is text.
+
+``article`` and ``main`` are a weight: if the text in them is at least as long as all text outside that isn't taken out, lines outside count as empty. Otherwise the tag
+(as of a teaser card) decides nothing. Links count as text inside an article that weighs, and not elsewhere.
 
 Character references are decoded once, white space inside a line becomes one space, and lines are joined by an empty line.
 
-Edge cases: a null or empty page, and a page without text, give the empty string; broken, unclosed or truncated markup is read as far as it goes;
+Edge cases: a null or empty page, and a page without text, give the empty string; broken, unclosed or truncated markup is read as far as it goes, in time in proportion to its length;
 repeated rows are kept; an empty table gives an empty result; only page_id, url and html are read. Pages of any length are read whole.
 """
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +32,9 @@ WINDOW = 3
 SURGE = 80
 
 # Elements whose text is never an article's.
-RAW = ("script", "style", "noscript", "template", "textarea", "select", "iframe", "object", "svg", "canvas", "title", "math")
+RAW = ("script", "style", "noscript", "template", "textarea", "select", "iframe", "object", "svg", "canvas", "title")
 STRIPPED = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "head", "header", "datalist", "audio", "video"}
-# Words in class, id or role of an element that is not part of the article.
+# Words in class, id or role of an element that may not be part of the article; those of reader comments.
 STRIPPED_WORDS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar aside footer header masthead notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
@@ -40,9 +45,15 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+COMMENTS = set("comment comments disqus replies respond".split())
+# Open elements that an element of the same row ends, if they are the last to be opened.
+ENDS = {"li": {"li", "p"}, "p": {"p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = set("article blockquote body div dd fieldset figure html main section table td".split())
 NEVER_STRIPPED = {"html", "body", "article", "main"}
+ARTICLES = {"article", "main"}
+#: Elements in whose class, id or role a word counts as part of a name.
+PARTED = CONTAINERS | {"aside", "dl", "footer", "header", "iframe", "ol", "ul"}
 
 _MARKUP = re.compile(
     r"<!--(?:.*?-->|.*$)"
@@ -55,51 +66,86 @@ _MARKUP = re.compile(
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-def _is_stripped(tag: str, rest: str, in_article: bool) -> bool:
-    if tag in NEVER_STRIPPED:
-        return False
-    if tag in STRIPPED and not (tag == "header" and in_article):
-        return True
-    for found in _NAMED.findall(rest):
-        for name in "".join(found).lower().split():
-            parts = re.split(r"[-_]+", name)
-            if parts[0] not in ("has", "no", "with", "without") and STRIPPED_WORDS.intersection(parts):
-                return True
-    return False
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """The page's lines in order: text, characters outside links, whether the line is in the page's article, and its container's number.
-
-    Stripped elements leave ``WINDOW`` empty lines.
-    """
-    lines: list[tuple[str, int, bool, int]] = []
+def _suspect_words(tag: str, rest: str) -> set[str]:
+    """The words for what is no article in an element's class, id or role."""
+    found: set[str] = set()
+    for name in (n for x in _NAMED.findall(rest) for n in "".join(x).lower().split()):
+        parts = re.split(r"[-_]+", name) if tag in PARTED else [name]
+        if parts[0] not in ("has", "no", "with", "without"):
+            found |= STRIPPED_WORDS.intersection(parts)
+    return found
+
+
+class Lines:
+    """The lines of a page in order, each with its characters outside links, whether it is in an article, and the numbers of its container and of its innermost suspect (0: none)."""
+
+    def __init__(self) -> None:
+        self.text: list[str] = []
+        self.plain: list[int] = []
+        self.inside: list[bool] = []
+        self.container: list[int] = []
+        self.suspect: list[int] = []
+        #: Of each suspect: the one around it, whether it holds an article, whether it is one of comments.
+        self.around, self.holds_article, self.comments = [0], [False], [False]
+
+    def add(self, text: str, plain: int, inside: bool, container: int, suspect: int) -> None:
+        for column, value in ((self.text, text), (self.plain, plain), (self.inside, inside), (self.container, container), (self.suspect, suspect)):
+            column.append(value)
+
+    def taken_out(self) -> list[bool]:
+        """Of each suspect, whether its lines go."""
+        size = [0] * len(self.around)
+        for plain, at in zip(self.plain, self.suspect):
+            size[at] += plain
+        holds = list(self.holds_article)
+        for at in range(len(size) - 1, 0, -1):  # a suspect has a larger number than the one around it
+            size[self.around[at]] += size[at]
+            holds[self.around[at]] |= holds[at]
+        gone = [False] * len(size)
+        for at in range(1, len(size)):
+            main = holds[at] or not self.comments[at] and 2 * size[at] >= size[0] > 0
+            gone[at] = gone[self.around[at]] or not main
+        return gone
+
+
+def lines_of(page: str) -> Lines:
+    lines = Lines()
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is stripped by its own
-    stripped = articles = links = opened = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements; whether each is stripped by its tag; whether it is a suspect
+    open_tags: Counter[str] = Counter()
+    stripped = articles = links = opened = suspect = 0
     within = [0]  # numbers of the open containers
 
     def end_line() -> None:
         nonlocal linked
         words = " ".join(entities.unescape("".join(text)).split())
         if words:
-            lines.append((words, max(0, len(words) - linked), articles > 0, within[-1]))
+            lines.add(words, max(0, len(words) - linked), articles > 0, within[-1], suspect)
         text.clear()
         linked = 0
 
+    def gap() -> None:
+        end_line()
+        for _ in range(WINDOW):
+            lines.add("", 0, articles > 0, 0, suspect)
+
     def pop() -> None:
-        nonlocal stripped, articles, links
-        tag, cut = stack.pop()
+        nonlocal stripped, articles, links, suspect
+        tag, cut, suspected = stack.pop()
+        open_tags[tag] -= 1
         stripped -= cut
         links -= tag == "a"
-        if tag in ("article", "main"):
+        if tag in CONTAINERS or suspected:
             end_line()
-            articles -= 1
-            lines.extend([("", 0, False, 0)] * WINDOW)
         if tag in CONTAINERS:
-            end_line()
             within.pop()
+        if suspected:
+            suspect = lines.around[suspect]
+        if tag in ARTICLES:
+            end_line()
+            articles -= 1
+            gap()
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -120,26 +166,33 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         elif tag == "br":
             add(" ")
         if m["close"]:
-            if any(t == tag for t, _ in stack):
+            if open_tags[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
         elif tag not in VOID and not m["rest"].endswith("/"):
-            cut = not stripped and _is_stripped(tag, m["rest"], articles > 0)
-            if tag in ("article", "main"):
-                if not articles and stripped and not any(c and t in STRIPPED for t, c in stack):
-                    stack[:] = [(t, False) for t, _ in stack]  # what holds the article was not stripped after all
-                    stripped = 0
-                end_line()
-                lines.extend([("", 0, False, 0)] * WINDOW)
+            while stack and stack[-1][0] in ENDS.get(tag, ()):
+                pop()
+            cut = tag in STRIPPED and not (tag == "header" and articles > 0)
+            words = set() if cut or stripped or tag in NEVER_STRIPPED else _suspect_words(tag, m["rest"])
+            if tag in ARTICLES:
+                lines.holds_article[suspect] = True
+                gap()
                 articles += 1
-            if cut:
-                end_line()
-                lines.extend([("", 0, articles > 0, 0)] * WINDOW)
+            if cut and not stripped:
+                gap()
+            if words:
+                gap()
+                lines.around.append(suspect)
+                lines.holds_article.append(False)
+                lines.comments.append(bool(words & COMMENTS))
+                suspect = len(lines.around) - 1
             if tag in CONTAINERS:
+                end_line()
                 opened += 1
                 within.append(opened)
-            stack.append((tag, cut))
+            stack.append((tag, cut, bool(words)))
+            open_tags[tag] += 1
             stripped += cut
             links += tag == "a"
     add(page[at:])
@@ -152,9 +205,12 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not page:
         return ""
     lines = lines_of(page)
-    marked = any(inside and text for text, _, inside, _ in lines)
-    sizes = [(len(text) if inside else 0) if marked else plain for text, plain, inside, _ in lines]
-    least = 1 if marked else surge
+    gone = lines.taken_out()
+    # The gap before a suspect stands outside it and stays.
+    left = [k for k, at in enumerate(lines.suspect) if not gone[at]]
+    inside = sum(len(lines.text[k]) for k in left if lines.inside[k])
+    marked = inside > 0 and inside >= sum(lines.plain[k] for k in left if not lines.inside[k])
+    sizes = [(len(lines.text[k]) if lines.inside[k] else 0) if marked else lines.plain[k] for k in left]
     runs: list[tuple[int, int, int, int]] = []  # first line, line after the last, largest window, whole size
     i = 0
     while i < len(sizes):
@@ -166,10 +222,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             i += 1
         peak = max(sum(sizes[k : k + window]) for k in range(first, i))
         runs.append((first, i, peak, sum(sizes[first:i])))
-    kept = [r for r in runs if r[2] >= least] or [max(runs, key=lambda r: r[3])] if runs else []
-    places = {lines[k][3] for a, b, *_ in kept for k in range(a, b) if sizes[k]}
-    chosen = {k for a, b, *_ in kept for k in range(a, b)} | {k for a, b, *_ in runs for k in range(a, b) if lines[k][3] in places}
-    return "\n\n".join(lines[k][0] for k in sorted(chosen) if lines[k][0] and (lines[k][2] or not marked))
+    kept = [r for r in runs if r[2] >= surge] or [max(runs, key=lambda r: r[3])] if runs else []
+    places = {lines.container[left[k]] for a, b, *_ in kept for k in range(a, b) if sizes[k]}
+    chosen = {k for a, b, *_ in kept for k in range(a, b)} | {k for a, b, *_ in runs for k in range(a, b) if lines.container[left[k]] in places}
+    return "\n\n".join(lines.text[left[k]] for k in sorted(chosen) if lines.text[left[k]] and (lines.inside[left[k]] or not marked))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 from ragloom.llm.html_text import extract, lines_of, main_text
 
 PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>A title</title><style>p{margin:0}</style>
@@ -37,7 +39,38 @@ def test_stripped_parent_of_the_article_is_given_up():
 
 
 def test_lines_leave_a_gap_for_what_was_stripped():
-    assert [t for t, *_ in lines_of("<p>a</p><nav>n</nav><p>b</p>")] == ["a", "", "", "", "b"]
+    assert lines_of("<p>a</p><nav>n</nav><p>b</p>").text == ["a", "", "", "", "b"]
+
+
+STORY = "A line of the story of this page, as long as such lines are, and then some more of it to make it long."
+
+
+def test_a_teaser_marked_as_article_decides_nothing():
+    page = f"<body><nav>Menu</nav><div id='content'><h2>Title</h2><p>{STORY}</p><p>{STORY}</p></div><article class='card'><p>Read this next.</p></article><footer>f</footer>"
+    assert main_text(page) == f"Title\n\n{STORY}\n\n{STORY}"
+
+
+def test_names_alone_strip_nothing_that_holds_the_story():
+    assert main_text(f"<body><div class='layout-sidebar-right'><p>{STORY}</p><div class='ads-box'>Buy.</div><p>{STORY}</p></div>") == f"{STORY}\n\n{STORY}"
+    page = f"<article><h2 id='related-work'>Related work</h2><p class='share-price'>{STORY}</p><p class='notice'>No text.</p><math>x = 1</math></article>"
+    assert main_text(page) == f"Related work\n\n{STORY}\n\nx = 1"
+
+
+def test_reader_comments_go_even_if_they_are_longer():
+    assert main_text(f"<body><div id='text'><p>{STORY}</p></div><div class='comments'>" + f"<p>{STORY} Says a reader.</p>" * 5 + "</div>") == STORY
+
+
+def test_surge_and_dive_decide_in_an_article_too():
+    page = f"<main><div><a href='/'>Home</a></div><p>By.</p><section><h1>Title</h1><p>{STORY}</p></section>" + "<nav>n</nav><div><p>Tags: x</p></div></main>"
+    assert main_text(page) == f"Home\n\nBy.\n\nTitle\n\n{STORY}"
+
+
+def test_unclosed_elements_take_linear_time():
+    began = time.time()
+    for piece in ("<li>a</b>", "<div class='ad'><p>x", "<b>x</i>", "<td>x", "<article>x"):
+        main_text(piece * 50_000)
+    assert time.time() - began < 30
+    assert main_text("<ul><li>One<li>Two</ul><table><tr><td>a<td>b<tr><td>c</table>") == "One\n\nTwo\n\na\n\nb\n\nc"
 
 
 def test_edge_rows(spark):
