@@ -12,6 +12,7 @@ Repeated rows are kept; an empty table gives an empty result; only page_id and u
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Sequence
 
@@ -27,30 +28,52 @@ MAX_LABELS = 100_000
 # Rules as (what to do, host and path prefix).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-# Names of sites with a known verdict, from which the small labelled table of URLs is made.
-BLOCKED_SITES = (
-    "pills-online cheap-meds discount-pills buy-cheap-viagra pharmacy-pills spam-links spam-blog link-farm content-farm farm-of-links casino-bonus "
-    "casino-spins free-casino online-poker betting-tips free-spins sports-bets best-bets adult-cams adult-films adult-chat adult-zone xxx-videos x-rated hot-singles "
-    "replica-watches fake-bags cheap-loans fast-cash win-a-prize win-big free-gift-cards miracle-diet crypto-doubler keygen-crack warez-free malware-drop "
-    "phish-login free-money ad-tracker click-ads track-pixel popup-ads pixel-track"
+# Words of unwanted sites by kind, and words of other sites. The labelled table's site names are made of them by rule; none was taken from a table of pages.
+BLOCKED_WORDS = {
+    "pharmacy": "pharmacy pills meds tablets viagra cialis steroids xanax slimming diet dosage rx",
+    "gambling": "casino poker slots roulette jackpot bets betting bookie lottery bingo wager gamble",
+    "adult": "adult porn sex xxx nude escort webcam cams hookup milf fetish erotic",
+    "money": "loans payday cash credit forex bitcoin profit earn rich prize winner win giveaway gift bonus free",
+    "goods": "cheap discount replica fake outlet clearance knockoff bargain",
+    "links": "spam links backlinks farm seo autopost doorway cloaker",
+    "adverts": "ads adserver banner popup popunder track tracker pixel click clicks affiliate",
+    "malware": "crack keygen warez torrent phish malware virus trojan hack exploit",
+}
+ALLOWED_WORDS = (
+    "news times herald gazette journal weather museum library school college university science physics history music concert theatre cinema film art gallery garden recipes "
+    "kitchen bread travel rail station airport city village county council parish health clinic sport football cricket rowing chess docs wiki forum atlas maps river forest lake mountain "
+    "ocean radio books poetry letters archive market bakery workshop tools code software data lab studio design craft family school energy water church bridge tower harbour"
 ).split()
-ALLOWED_SITES = (
-    "weather mother theatre northern station nation author thermal gathering reading history museum library gardens recipes science "
-    "school university atlas rivers harvest kitchen orchestra railway village parish farmers-market city-hall health-office film-archive news "
-    "docs maps music travel archive forum sport code father other anthem tinder ringwood thinking shoulder ouest andere thistle within"
-).split()
-# Parts that the table's URLs go through in turn, the same for both verdicts.
-PREFIXES, ENDINGS = ("", "www.", "m.", "blog."), (".example.com", ".example.net", ".example.org")
-PATHS = ("/en/7", "/fr/45.html", "/de/310/", "/es/98?page=2&ref=x", "/en/2044#top", "/fr/12?utm_source=feed", "/de/5", "/es/731", "/")
+# Syllables of invented names, and parts that the table's URLs go through in turn, the same for both verdicts.
+ONSETS, VOWELS, CODAS = "b c d f g h k l m n p r s t v w br ch cl dr gr pl sh st th tr".split(), "a e i o u ai ea ie ou".split(), " n r s l t m nd st th ng".split(" ")
+PREFIXES, ENDINGS = ("", "www.", "m.", "blog."), (".com", ".net", ".org", ".info", ".co.uk", ".de", ".fr", ".es", ".io", ".example.com", ".example.net", ".example.org")
+PATHS = ("/", "/index.html", "/en/12", "/de/310/", "/fr/45.html", "/es/98?page=2", "/2021/05/a-title", "/tag/x", "/p?id=7#top")
+SITES = 600
+
+
+def labelled_sites(count: int = SITES, seed: int = 11) -> list[tuple[str, int]]:
+    """Site names with their label, 1 for those to be blocked: two words of a list, with or without a hyphen or a number; two of three allowed sites have an invented name."""
+    draw = random.Random(seed)
+    bad = [w for words in BLOCKED_WORDS.values() for w in words.split()]
+
+    def pair(words: list[str]) -> str:
+        return draw.choice(words) + draw.choice(("-", "", "-")) + draw.choice(words) + draw.choice(("", "", "", str(draw.randint(1, 99))))
+
+    def invented() -> str:
+        return "".join(draw.choice(ONSETS) + draw.choice(VOWELS) + draw.choice(CODAS) for _ in range(draw.randint(1, 4)))
+
+    made = [(pair(bad), 1) for _ in range(count)] + [(invented() if k % 3 else pair(ALLOWED_WORDS), 0) for k in range(3 * count)]
+    return list(dict(made).items())
 
 
-def labelled_urls(blocked: Sequence[str] = BLOCKED_SITES, allowed: Sequence[str] = ALLOWED_SITES) -> list[tuple[str, int]]:
-    """The labelled table: every site under each prefix, ending and path in turn; 1 is to be blocked."""
+def labelled_urls(sites: Sequence[tuple[str, int]] | None = None) -> list[tuple[str, int]]:
+    """The labelled table: every site under prefixes, endings and paths in turn; 1 is to be blocked. The empty URL is allowed."""
+    sites = labelled_sites() if sites is None else sites
     table = [("", 0)]
-    for label, sites in ((1, blocked), (0, allowed)):
-        for i, site in enumerate(sites):
-            for j, prefix in enumerate(PREFIXES):
-                table.append((f"https://{prefix}{site}{ENDINGS[(i + j) % len(ENDINGS)]}{PATHS[(i + 2 * j) % len(PATHS)]}", label))
+    for i, (site, label) in enumerate(sites):
+        for j in range(2):
+            k = 5 * i + 7 * j
+            table.append((f"https://{PREFIXES[k % len(PREFIXES)]}{site}{ENDINGS[k % len(ENDINGS)]}{PATHS[k % len(PATHS)]}", label))
     return table
 
 
