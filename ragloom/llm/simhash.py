@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.session import cut, fresh
+from ragloom.session import cut, fresh, release
 
 BLOCKS = 8
 SEED = 42
@@ -240,6 +240,8 @@ WORDS = 4
 COPY_RADIUS = 80
 #: Members of a shard that are compared in one task; larger shards are compared as pairs of blocks in tasks of their own.
 SHARD_BLOCK = 2048
+#: Candidate pairs for each member up to which a group gives out its pairs, to be decided one by one; of a group with more, the members meet with their shingle sets.
+PAIRS_EACH = 4
 #: Texts that are signed at a time.
 SIGNED = 256
 
@@ -384,15 +386,16 @@ def _members(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
         yield out
 
 
-def undecided(m: dict[str, np.ndarray], radius: int, similarity: float) -> np.ndarray:
-    """The members of a group that have another within the radius in another class, and with a number of shingles that allows the similarity.
+def undecided(m: dict[str, np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray | None]:
+    """The members of a group that have another within the radius in another class, with a number of shingles that allows the similarity; and all such pairs, or
+    None if there are more than ``PAIRS_EACH`` for a member of the group.
 
     Members of one side are compared with each other, those of two sides with those of the other side only.
     """
     fp, side, size, root = m["fp"], m["side"], m["size"], m["root"]
     sides = np.unique(side)
     left, right = np.flatnonzero(side == sides[0]), np.flatnonzero(side == sides[-1])
-    found = np.zeros(len(fp), dtype=bool)
+    found, pairs, count = np.zeros(len(fp), dtype=bool), [], 0
     step = max(1, (1 << 20) // max(1, len(right)))
     for low in range(0, len(left), step):
         some = left[low : low + step]
@@ -401,7 +404,13 @@ def undecided(m: dict[str, np.ndarray], radius: int, similarity: float) -> np.nd
         near = (d <= radius) & (root[some][:, None] != root[right][None, :]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
         found[some] |= near.any(axis=1)
         found[right] |= near.any(axis=0)
-    return np.flatnonzero(found)
+        if len(sides) == 1:
+            near &= some[:, None] > right[None, :]
+        count += int(near.sum())
+        if count <= PAIRS_EACH * len(fp):
+            x, y = np.nonzero(near)
+            pairs.append(np.stack((some[x], right[y]), axis=1))
+    return np.flatnonzero(found), np.concatenate(pairs) if count <= PAIRS_EACH * len(fp) else None
 
 
 def verified_links(roots: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -454,8 +463,9 @@ def copy_classes(docs: DataFrame, similarity: float = 0.8, words_per_shingle: in
     Nodes are texts, whatever their doc_ids. Texts that share a shard key are candidates if their fingerprints differ within the radius.
     First each member of a shard is held against the shard's first one, and pairs unite once their whole shingle sets have been compared: work in proportion to the members,
     which gathers a large group of copies. Then members of different classes in one shard are compared, in blocks: all those outside the shard's largest class with one
-    another and with that class, whose members aren't compared among themselves. Of these, members with a candidate in another class take their shingle sets to the shard, where all
-    pairs are decided. So classes merge on decided pairs only, and no shard gives out its pairs.
+    another and with that class, whose members aren't compared among themselves. Where that leaves few candidate pairs for a member they are decided one by one, each once for all shards;
+    elsewhere the members with a candidate in another class take their shingle sets to the shard, where all pairs are decided. So classes merge on decided pairs only, and what
+    is given out stays in proportion to the members.
     """
 
     @F.arrow_udf(", ".join(f"{f} long" for f in _FP) + ", keys array<long>, size int")
@@ -475,9 +485,12 @@ def copy_classes(docs: DataFrame, similarity: float = 0.8, words_per_shingle: in
     def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, m in enumerate(_members(batch.column(4))):
-                found = undecided(m, radius, similarity)
-                keys = [pa.array([batch.column(c)[at].as_py()] * len(found), batch.schema.types[c]) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(m[x][found]) for x in ("node", "root", "side"))], names=["k", "top", "low", "high", "node", "root", "side"])
+                found, pairs = undecided(m, radius, similarity)
+                left, right = (found, None) if pairs is None else (pairs[:, 0], pairs[:, 1])
+                others = [pa.nulls(len(left), pa.int64()) if right is None else pa.array(m[x][right]) for x in ("node", "root")]
+                keys = [pa.array([batch.column(c)[at].as_py()] * len(left), batch.schema.types[c]) for c in range(4)]
+                names = ["k", "top", "low", "high", "node", "root", "side", "other", "other_root"]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(m[x][left]) for x in ("node", "root", "side")), *others], names=names)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -489,12 +502,14 @@ def copy_classes(docs: DataFrame, similarity: float = 0.8, words_per_shingle: in
     nodes = signed.groupBy("same").agg(F.min("doc_id").alias("least"), F.first("x").alias("x"))
     nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "least", "x.*"))
     prints = nodes.select("node", "size", *_FP)
+    release(docs.sparkSession)
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """The shingle sets of nodes, each from one row that holds its text."""
-        at = wanted.distinct().join(nodes, "node").select("node", "same", F.xxhash64("least").alias("at"))
-        rows = texts.select(F.xxhash64("doc_id").alias("at"), "same", "text").join(at, ["at", "same"]).dropDuplicates(["at", "same"])
-        return cut(rows.select("node", shingles("text").alias("s")))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs ``a``, ``b`` those that are similar enough."""
+        left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        near = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-9
+        return pairs.join(left, "a").join(right, "b").where(near).select(*pairs.columns)
 
     def alike(size_a: str, size_b: str) -> Column:
         return F.least(size_a, size_b) >= F.lit(similarity) * F.greatest(size_a, size_b) - 1e-9
@@ -508,11 +523,13 @@ def copy_classes(docs: DataFrame, similarity: float = 0.8, words_per_shingle: in
         pairs = pairs.join(prints.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), *(F.col(f).alias(f"{f}_{end}") for f in _FP)), end)
     far = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in _FP), F.lit(0))
     pairs = cut(pairs.where((far <= radius) & alike("size_a", "size_b")).select("a", "b"))
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
-    roots = cut(components(links))
+    # The shingle sets of all nodes that share a shard, each from one row that holds the text.
+    at = members.select("node").distinct().join(nodes, "node").select("node", "same", F.xxhash64("least").alias("at"))
+    rows = texts.select(F.xxhash64("doc_id").alias("at"), "same", "text").join(at, ["at", "same"]).dropDuplicates(["at", "same"])
+    sets = cut(rows.select("node", shingles("text").alias("s")))
+    release(docs.sparkSession)
+    roots = cut(components(verified(pairs)))
+    release(docs.sparkSession)
 
     rooted = members.select("k", "node").join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
     cells = rooted.groupBy("k", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("k")
@@ -530,10 +547,15 @@ def copy_classes(docs: DataFrame, similarity: float = 0.8, words_per_shingle: in
     dealt = dealt.select("k", "node", "root", F.explode(F.when(F.col("is_top"), from_top).otherwise(F.concat(with_rest, with_top))).alias("g")).select("k", "g.*", "node", "root")
     key = ["k", "top", "low", "high"]
     groups = dealt.join(prints, "node").repartition(_partitions(docs), *key).groupBy(*key).agg(F.collect_list(F.struct("node", "root", "side", "size", *_FP)).alias("members"))
-    unsure = cut(groups.where(F.size("members") > 1).mapInArrow(still_open, "k long, top boolean, low long, high long, node long, root long, side long"))
-    met = unsure.join(sets_of(unsure.select("node")), "node").repartition(_partitions(docs), *key)
+    schema = "k long, top boolean, low long, high long, node long, root long, side long, other long, other_root long"
+    unsure = cut(groups.where(F.size("members") > 1).mapInArrow(still_open, schema))
+    single = unsure.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.col("root").alias("ra"), F.col("other_root").alias("rb"))
+    single = single.dropDuplicates(["a", "b"]).join(pairs, ["a", "b"], "left_anti")
+    met = unsure.where("other is null").select(*key, "node", "root", "side").join(sets, "node").repartition(_partitions(docs), *key)
     met = met.groupBy(*key).agg(F.collect_list(F.struct("node", "root", "side", "s")).alias("members"))
-    late = components(met.select("members").mapInArrow(decide, "a long, b long"))
+    late = verified(single).select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionAll(met.select("members").mapInArrow(decide, "a long, b long"))
+    late = components(cut(late))
+    release(docs.sparkSession)
 
     early = nodes.select("node", "same", "least").join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("early"))
     late = late.select(F.col("node").alias("early"), F.col("root").alias("late"))
