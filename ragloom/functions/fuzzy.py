@@ -47,24 +47,53 @@ def rouge_l(pred: pa.Array, gold: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def blocks(label: Column) -> Column:
-    """Blocking keys of a cleaned label: its words and its first three letters.
+def word_sorted(text: Column) -> Column:
+    """A text with its words sorted, as ``token_sort_ratio`` compares it."""
+    return F.array_join(F.array_sort(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), " ")
 
-    A pair over a ratio of 85 that shares neither isn't found; single-word names that differ at the start are such.
+
+def _segment_keys(text: Column, cutoff: float, whole: bool) -> Column:
+    """Keys of which every pair of texts at the cutoff shares one.
+
+    For lengths a and b the cutoff allows d = (1 - cutoff / 100) (a + b) insertions and deletions. Of d + 1 segments of the one text at least one is left whole, so it
+    stands in the other, d places away at most. A key names both lengths and a segment: ``whole`` gives the segments of a text for each length of the other,
+    otherwise the substrings where they may stand.
     """
-    return F.array_distinct(F.concat(F.split(label, " "), F.array(F.concat(F.lit("^"), F.substring(label, 1, 3)))))
+    share = 1.0 - cutoff / 100.0
+    size = F.length(text)
+    low = F.ceil(size * F.lit((1 - share) / (1 + share)) - 1e-9).cast("int")
+    others = F.sequence(F.greatest(F.lit(1), low), F.greatest(F.lit(1), F.floor(size * F.lit((1 + share) / (1 - share)) + 1e-9).cast("int")))
+
+    def keys(other: Column) -> Column:
+        a, b = (size, other) if whole else (other, size)
+        d = F.floor(F.lit(share) * (a + b) + 1e-9).cast("int")
+        n = F.least(d + 1, a)
+        begin = lambda k: F.floor(k * a / n).cast("int")
+
+        def segment(k: Column) -> Column:
+            at, length = begin(k), begin(k + 1) - begin(k)
+            name = F.concat_ws("|", a, b, k)
+            if whole:
+                return F.array(F.concat_ws("|", name, F.substring(text, at + 1, length)))
+            first, last = F.greatest(F.lit(0), at - d), F.least(b - length, at + d)
+            places = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.expr("cast(array() as array<int>)"))
+            return F.transform(places, lambda p: F.concat_ws("|", name, F.substring(text, p + 1, length)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), segment))
+
+    return F.array_distinct(F.flatten(F.transform(others, keys)))
 
 
 def fuzzy_link(mentions: DataFrame, labels: DataFrame, cutoff: float = 85.0) -> DataFrame:
-    """The best label for each mention at a ratio of ``cutoff`` or more, ties to the smaller label: mention, label, ratio.
+    """The best label for each mention at a ratio of ``cutoff`` (over 50) or more, ties to the smaller label: mention, label, ratio.
 
-    Candidates share a block; lengths that rule the ratio out are dropped before the comparison.
+    Complete: candidates share a segment that no pair at the cutoff can be without. Empty texts are linked to none.
     """
-    left = mentions.select("mention").distinct().select("mention", F.explode(blocks(F.col("mention"))).alias("block"))
-    right = labels.select("label").distinct().select("label", F.explode(blocks(F.col("label"))).alias("block"))
-    a, b = F.length("mention"), F.length("label")
-    near = 2 * F.least(a, b) * 100.0 >= F.lit(cutoff) * (a + b)
-    pairs = left.join(right, "block").where(near).select("mention", "label").distinct()
+    left = mentions.select("mention").distinct().withColumn("a", word_sorted(F.col("mention"))).where("a <> ''")
+    right = labels.select("label").distinct().withColumn("b", word_sorted(F.col("label"))).where("b <> ''")
+    left = left.select("mention", F.explode(_segment_keys(F.col("a"), cutoff, False)).alias("key"))
+    right = right.select("label", F.explode(_segment_keys(F.col("b"), cutoff, True)).alias("key"))
+    pairs = left.join(right, "key").select("mention", "label").distinct()
     scored = pairs.withColumn("ratio", token_sort("mention", "label")).where(F.col("ratio") >= cutoff)
     best = Window.partitionBy("mention").orderBy(F.col("ratio").desc(), "label")
     found = scored.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ragloom.functions import text as X
+from ragloom.session import fresh
 
 # Initial gate, and conclusions that abstain rather than contradict.
 GATE_WEIGHTS, GATE_BIAS, GATE_TAU, LEAST_TAU = (1.0, 1.5, -0.8), -2.0, 0.5, 0.1
@@ -75,12 +76,29 @@ def outcome_adjusted(steps: DataFrame, outcomes: DataFrame, weight: float = 10.0
     return rows.select("key", F.coalesce("step", F.lit(0)).alias("step"), (F.coalesce("reward", F.lit(0.0)) + extra).alias("reward"))
 
 
+#: Steps whose powers of gamma are summed at a time, so that none underflows.
+BLOCK_STEPS = 256
+
+
 def discounted_returns(steps: DataFrame, gamma: float, key: str = "key", order: str = "step", reward: str = "reward", out: str = "ret") -> DataFrame:
-    """R_t = r_t + gamma R_{t+1}, as a sum over the rest of the trajectory scaled by powers of gamma."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    rest = Window.partitionBy(key).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    rows = steps.withColumn("place", place).withColumn("weight", F.pow(F.lit(gamma), F.col("place")))
-    return rows.withColumn(out, F.sum(F.col(reward) * F.col("weight")).over(rest) / F.col("weight")).drop("place", "weight")
+    """R_t = r_t + gamma R_{t+1}, over the rest of the trajectory.
+
+    Within a block of ``BLOCK_STEPS`` steps as a sum scaled by powers of gamma; what follows a block is folded from the blocks' sums.
+    """
+    place, block, weight, k, b, later = (fresh(x, steps) for x in ("place", "block", "weight", "k", "b", "later"))
+    rows = steps.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).withColumn(block, F.floor(F.col(place) / BLOCK_STEPS))
+    rows = rows.withColumn(weight, F.pow(F.lit(gamma), F.col(place) % BLOCK_STEPS))
+    sums = rows.groupBy(F.col(key).alias(k), F.col(block).alias(b)).agg(F.sum(F.col(reward) * F.col(weight)).alias("total"), F.count(F.lit(1)).alias("n"))
+    listed = sums.groupBy(k).agg(F.reverse(F.array_sort(F.collect_list(F.struct(b, "total", "n")))).alias("blocks"))
+    step = lambda s, x: F.concat(s, F.array(F.coalesce(x["total"], F.lit(0.0)) + F.pow(F.lit(gamma), x["n"]) * F.element_at(s, -1)))
+    folded = F.aggregate("blocks", F.array(F.lit(0.0)), step)
+    # The n-th entry from the end is what the n-th block from the start is followed by.
+    after = listed.select(k, F.posexplode(F.slice(F.reverse(folded), 2, F.size("blocks"))).alias(b, later))
+    rest = Window.partitionBy(key, block).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    left = F.count(F.lit(1)).over(rest)
+    rows = rows.withColumn(out, F.sum(F.col(reward) * F.col(weight)).over(rest) / F.col(weight)).withColumn(weight, left)
+    rows = rows.join(after, F.col(key).eqNullSafe(F.col(k)) & (F.col(block) == F.col(b)))
+    return rows.withColumn(out, F.col(out) + F.pow(F.lit(gamma), F.col(weight)) * F.col(later)).drop(place, block, weight, k, b, later)
 
 
 def gae(steps: DataFrame, gamma: float, lam: float, key: str = "key", order: str = "step") -> DataFrame:

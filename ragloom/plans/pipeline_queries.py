@@ -52,9 +52,10 @@ def keep_ratio_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names with their letters changed, linked back to part names."""
+    """Part names with a letter changed at any place, linked back to part names."""
     labels = table(spark, sf_dir, "part").select(F.lower("p_name").alias("label")).distinct()
-    mentions = labels.select(F.concat(F.substring("label", 1, 4), F.lit("x"), F.substring("label", 5, 200)).alias("mention")).distinct()
+    at = F.pmod(F.xxhash64("label"), F.length("label")).cast("int")
+    mentions = labels.select(F.concat(F.substring("label", F.lit(1), at), F.lit("x"), F.substring("label", at + 2, F.length("label"))).alias("mention")).distinct()
     return fuzzy.fuzzy_link(mentions, labels)
 
 

@@ -147,7 +147,7 @@ def variance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("key").orderBy("step")
     trend = F.avg("size").over(order.rowsBetween(-23, 0))
     before, last = F.max("size").over(order.rowsBetween(Window.unboundedPreceding, -4)), F.max("size").over(order.rowsBetween(-3, 0))
-    return rows.select("key", "step", F.round(trend, 9).alias("trend"), F.coalesce((before > 0.05) & (last <= 0.2), F.lit(False)).alias("collapsed"))
+    return rows.select("key", "step", F.round(trend, 9).alias("trend"), F.coalesce((before > 0.05) & (last <= 1e-6), F.lit(False)).alias("collapsed"))
 
 
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +279,7 @@ select round(-avg(y * (case when p <= 0 then -100.0 else ln(p) end) + (1 - y) *
 select coalesce(l_returnflag, 'all') as subject, coalesce(l_linestatus, 'all') as part, count(*) as n, round(sum((l_quantity > 25)::int)::double / count(*), 9) as accuracy from lineitem group by rollup (l_returnflag, l_linestatus)""",
     "variance_log": f"""with {_STEPS}, s as (select key, step, abs(reward) as size from steps)
 select key, step, round(avg(size) over (partition by key order by step rows between 23 preceding and current row), 9) as trend,
-  coalesce(max(size) over (partition by key order by step rows between unbounded preceding and 4 preceding) > 0.05 and max(size) over (partition by key order by step rows between 3 preceding and current row) <= 0.2, false) as collapsed from s""",
+  coalesce(max(size) over (partition by key order by step rows between unbounded preceding and 4 preceding) > 0.05 and max(size) over (partition by key order by step rows between 3 preceding and current row) <= 1e-6::double, false) as collapsed from s""",
     "silver_filter": f"with {_TRACES} select doc_id, source from traces where steps between 3 and 7 and coverage >= 0.5::double and f1 >= 0.5::double and triple_rate >= 0.4::double",
     "silver_quota": f"with {_QUOTA} select doc_id, source, bucket, accepted from fold where n > 0",
     "bucket_distribution": f"with {_QUOTA} select coalesce(bucket, 'rejected_quality') as bucket, count(*) as n, count(*) filter (accepted) as n_accepted from fold where n > 0 group by 1",
