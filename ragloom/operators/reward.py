@@ -94,8 +94,8 @@ def discounted_returns(steps: DataFrame, gamma: float, key: str = "key", order:
     folded = F.aggregate("blocks", F.array(F.lit(0.0)), step)
     # The n-th entry from the end is what the n-th block from the start is followed by.
     after = listed.select(k, F.posexplode(F.slice(F.reverse(folded), 2, F.size("blocks"))).alias(b, later))
-    rest = Window.partitionBy(key, block).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    left = F.count(F.lit(1)).over(rest)
+    rest = Window.partitionBy(key, block).orderBy(order).rowsBetween(0, Window.unboundedFollowing)  # a block bounds what is summed for each row
+    left = F.count(F.lit(1)).over(Window.partitionBy(key, block)) - F.col(place) % BLOCK_STEPS
     rows = rows.withColumn(out, F.sum(F.col(reward) * F.col(weight)).over(rest) / F.col(weight)).withColumn(weight, left)
     rows = rows.join(after, F.col(key).eqNullSafe(F.col(k)) & (F.col(block) == F.col(b)))
     return rows.withColumn(out, F.col(out) + F.pow(F.lit(gamma), F.col(weight)) * F.col(later)).drop(place, block, weight, k, b, later)

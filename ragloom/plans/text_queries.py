@@ -89,8 +89,8 @@ def passage_pool_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the benchmark as passages, each once (the first counts), with new ids in order of first sight."""
     lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(X.sentences(F.col("text"), 1)).alias("pos", "passage"))
     first = lines.groupBy("passage").agg(F.min(F.struct("item_id", "pos")).alias("at"))
-    placed = ranked(first.select(F.lit(0).alias("all"), "passage", "at.item_id", "at.pos"), "all", [F.col("item_id").asc(), F.col("pos").asc()], "place")
-    return placed.select((F.col("place") - 1).alias("id"), "passage")
+    placed = ranked(first.select(F.lit(0).alias("all"), "passage", "at.item_id", "at.pos"), "all", [F.col("item_id").asc(), F.col("pos").asc()], "number")
+    return placed.select((F.col("number") - 1).alias("id"), "passage")
 
 
 def step_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
