@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ragloom.operators.ranks import ranked
 
@@ -25,26 +29,31 @@ def quality_ok(steps: Column, answer_score: Column) -> Column:
 
 
 def stratified_quota(rows: DataFrame, stream: str, order: str) -> DataFrame:
-    """Sequential acceptance within each stream: rows have ``bucket`` (null: below quality).
+    """Sequential acceptance within each stream: rows have ``bucket`` (null: below quality); adds ``accepted``.
 
     A sparse or medium row is accepted while its bucket is under its share of the accepted rows plus one; the first row ever is. The decision depends on all
-    rows before it, so a stream is folded in order; streams run in parallel.
+    rows before it, so one task folds a stream, sorted by ``order`` (which may spill), batch by batch with three counters for state; streams run in parallel.
+    A null stream is one of its own.
     """
 
-    def step(s: Column, x: Column) -> Column:
-        total = s["rich"] + s["medium"] + s["sparse"]
-        full = ((x["bucket"] == "kg_sparse") & (s["sparse"] >= F.lit(SPARSE_QUOTA) * (total + 1))) | ((x["bucket"] == "kg_medium") & (s["medium"] >= F.lit(MEDIUM_QUOTA) * (total + 1)))
-        ok = x["bucket"].isNotNull() & ((total == 0) | ~full)
-        one = lambda name, bucket: (s[name] + (ok & (x["bucket"] == bucket)).cast("int")).alias(name)
-        kept = F.when(F.coalesce(ok, F.lit(False)), F.concat(s["kept"], F.array(x["at"]))).otherwise(s["kept"])
-        safe = lambda c, name: F.coalesce(c, s[name]).alias(name)
-        return F.struct(safe(one("rich", "kg_rich"), "rich"), safe(one("medium", "kg_medium"), "medium"), safe(one("sparse", "kg_sparse"), "sparse"), kept.alias("kept"))
-
-    at_type = rows.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("rich"), F.lit(0).alias("medium"), F.lit(0).alias("sparse"), F.expr(f"cast(array() as array<{at_type}>)").alias("kept"))
-    lists = rows.groupBy(stream).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "bucket"))).alias("x"))
-    kept = lists.select(stream, F.explode(F.aggregate("x", start, step, lambda s: s["kept"])).alias(order)).withColumn("accepted", F.lit(True))
-    return rows.join(kept, [stream, order], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts = None, {}
+        for batch in batches:
+            accepted = []
+            for name, bucket in zip(batch.column(place).to_pylist(), batch.column(kind).to_pylist()):
+                if at is None or at[0] != name:
+                    at, counts = (name,), dict.fromkeys(("kg_rich", "kg_medium", "kg_sparse"), 0)
+                total = sum(counts.values())
+                share = {"kg_sparse": SPARSE_QUOTA, "kg_medium": MEDIUM_QUOTA}.get(bucket)
+                ok = bucket is not None and (total == 0 or share is None or counts[bucket] < share * (total + 1))
+                if ok and bucket in counts:
+                    counts[bucket] += 1
+                accepted.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_())], names=[*batch.schema.names, "accepted"])
+
+    place, kind = rows.columns.index(stream), rows.columns.index("bucket")
+    dealt = rows.repartition(stream).sortWithinPartitions(stream, order, "bucket")
+    return dealt.mapInArrow(fold, StructType([*rows.schema.fields, StructField("accepted", BooleanType())]))
 
 
 def resume(work: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -39,9 +39,15 @@ def _counted_on() -> Column:
 
 
 def two_hop(seeds: DataFrame, edges: DataFrame, limit: int = 30) -> DataFrame:
-    """As ``one_hop`` over paths of two edges; both edges of a path are given, one after the other."""
-    far = edges.select(F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
-    paths = _placed(seeds).join(edges, F.col("seed") == F.col("h")).join(far, F.col("t") == F.col("h2"))
+    """As ``one_hop`` over paths of two edges; both edges of a path are given, one after the other.
+
+    The first ``limit`` paths of a seed go over its first ``limit`` edges that lead on, and over the first ``limit`` edges of each node there, so a hub adds no more than these.
+    """
+    near = _placed(seeds).join(edges, F.col("seed") == F.col("h")).join(edges.select(F.col("h").alias("t")), "t", "left_semi")
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("qid", "seed").orderBy("r", "t", "h"))).where(F.col("nth") <= limit).drop("nth")
+    far = edges.select(F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("t").alias("t2")).join(near.select(F.col("t").alias("h2")), "h2", "left_semi")
+    far = far.withColumn("nth", F.row_number().over(Window.partitionBy("h2").orderBy("r2", "t2"))).where(F.col("nth") <= limit).drop("nth")
+    paths = near.join(far, F.col("t") == F.col("h2"))
     first = Window.partitionBy("qid", "seed").orderBy("r", "t", "r2", "t2", "h")
     paths = paths.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit).withColumn("n", _counted_on())
     both = F.array(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,25 +26,46 @@ def ranked_hits(scored: DataFrame, k: int, places: int = 6) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("qid", "doc_id", "rank", "score")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """Top ``k`` by BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)); ``docs`` has doc_id, text, ``queries`` qid, text.
+class Postings(NamedTuple):
+    """What BM25 scores need of documents and queries, whatever the parameters and ``k`` are."""
+
+    posts: DataFrame  # term, doc_id, dl, tf: query terms only
+    asked: DataFrame  # qid, term, q
+    whole: DataFrame  # n, avgdl: one row
+    small: bool  # whether ``asked`` may be broadcast
+
+
+def postings(docs: DataFrame, queries: DataFrame) -> Postings:
+    """One pass over the texts: ``docs`` has doc_id, text, ``queries`` qid, text.
 
-    Only postings of query terms are shuffled; lengths come with each document, without a shuffle. Query terms are broadcast up
-    to ``BROADCAST_ROWS`` rows, which keeps frequent terms out of any one task; beyond that they are joined by shuffle.
+    Only postings of query terms are shuffled, and one row for each document with its length, from which the number of documents and their mean length come
+    without a second pass. Query terms are broadcast up to ``BROADCAST_ROWS`` rows, which keeps frequent terms out of any one task; beyond that they are joined by shuffle.
     """
     asked = cut(queries.select("qid", F.explode(ascii_terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("q")))
-    sent = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda side: side)
-    sized = docs.select("doc_id", ascii_terms(F.col("text")).alias("terms")).select("doc_id", "terms", F.size("terms").alias("dl"))
-    whole = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    posts = sized.select("doc_id", "dl", F.explode("terms").alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi")
-    posts = cut(posts.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))  # read twice: for df and for the scores
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(whole))
+    small = asked.count() <= BROADCAST_ROWS
+    terms = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term")))  # no word is empty
+    sized = docs.select("doc_id", ascii_terms(F.col("text")).alias("terms")).select("doc_id", F.size("terms").alias("dl"), F.concat(F.coalesce("terms", F.array()), F.array(F.lit(""))).alias("terms"))
+    posts = sized.select("doc_id", "dl", F.explode("terms").alias("term")).join(F.broadcast(terms) if small else terms, "term", "left_semi")
+    posts = cut(posts.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    whole = posts.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl"))
+    return Postings(posts.where("term <> ''"), asked, whole, small)
+
+
+def bm25_scored(p: Postings, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """Top ``k`` by BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)), from ``postings``."""
+    df = p.posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(p.whole))
     idf = df.select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    scored = posts.join(sent(asked.join(idf, "term")), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("q") * F.col("idf") * weight).alias("score"))
+    weighed = p.asked.join(idf, "term")
+    scored = p.posts.join(F.broadcast(weighed) if p.small else weighed, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("q") * F.col("idf") * weight).alias("score"))
     return ranked_hits(scored, k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25_scored`` of fresh ``postings``; make the postings once where several settings are scored."""
+    return bm25_scored(postings(docs, queries), k, k1, b)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -57,13 +79,17 @@ def cosine(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = 4096) -> DataFrame:
     """Exact top ``k`` by inner product: ``vectors`` has doc_id, v; ``queries`` qid, v.
 
-    The queries are dealt into blocks of a bounded size, the vectors are scanned once for each block, and each task keeps its best.
+    The queries are dealt into blocks of a bounded size and the vectors into parts. A block meets each part in a task of its own, where only the ``k`` best of each
+    query go on; so neither many queries nor one block gathers all vectors.
     """
     blocks = max(1, -(-queries.count() // query_rows))
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    asked = queries.select("qid", F.col("v").alias("q"), block.alias("block"))
-    found = vectors.select("doc_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    return ranked_hits(found.join(asked, "block").select("qid", "doc_id", dot(F.col("q"), F.col("v")).alias("score")), k)
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), vectors.sparkSession.sparkContext.defaultParallelism)
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    asked = queries.select("qid", F.col("v").alias("q"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")).select("*", each(parts, "part"))
+    found = vectors.select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")).select("*", each(blocks, "block"))
+    scored = found.join(asked, ["block", "part"]).select("qid", "doc_id", "part", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    best = Window.partitionBy("qid", "part").orderBy(F.col("score").desc(), "doc_id")
+    return ranked_hits(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), k)
 
 
 def rrf(hits: DataFrame, k: int = 50, constant: int = RRF_K) -> DataFrame:

@@ -26,17 +26,20 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir))
 
 
+def _two_settings(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Hits of two parameter settings from the same postings."""
+    p = R.postings(_docs(spark, sf_dir), _asked(spark, sf_dir))
+    b = R.bm25_scored(p, k, k1=0.9, b=0.4).withColumn("source", F.lit("b"))
+    return R.bm25_scored(p, k).withColumn("source", F.lit("a")).unionByName(b)
+
+
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two parameter settings of BM25 as two sources."""
-    a = R.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir)).withColumn("source", F.lit("a"))
-    b = R.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), k1=0.9, b=0.4).withColumn("source", F.lit("b"))
-    return R.rrf(a.unionByName(b), 10)
+    return R.rrf(_two_settings(spark, sf_dir, 10), 10)
 
 
 def hits_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = R.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), 5).withColumn("source", F.lit("a"))
-    b = R.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), 5, k1=0.9, b=0.4).withColumn("source", F.lit("b"))
-    return R.concat_hits(a.unionByName(b))
+    return R.concat_hits(_two_settings(spark, sf_dir, 5))
 
 
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,9 +173,9 @@ def bucket_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order: the work that is left."""
+    """Customers without an urgent order: the work that is left."""
     work = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return C.resume(work, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return C.resume(work, table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def cache_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +283,7 @@ select key, step, round(avg(size) over (partition by key order by step rows betw
     "silver_filter": f"with {_TRACES} select doc_id, source from traces where steps between 3 and 7 and coverage >= 0.5::double and f1 >= 0.5::double and triple_rate >= 0.4::double",
     "silver_quota": f"with {_QUOTA} select doc_id, source, bucket, accepted from fold where n > 0",
     "bucket_distribution": f"with {_QUOTA} select coalesce(bucket, 'rejected_quality') as bucket, count(*) as n, count(*) filter (accepted) as n_accepted from fold where n > 0 group by 1",
-    "resume_anti": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+    "resume_anti": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
     "cache_missing": """
 with a as (select distinct c_custkey as k from customer), b as (select distinct o_custkey * 2 as k from orders)
 select (select count(*) from a where k in (select k from b)) as both, (select count(*) from a where k not in (select k from b)) as only_a, (select count(*) from b where k not in (select k from a)) as only_b""",
