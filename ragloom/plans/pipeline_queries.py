@@ -89,10 +89,12 @@ def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact, case-blind membership of two-hop triples in the graph's own edges reversed: a triple-in-subgraph semi join."""
+    """Case-blind membership of cited triples in the graph: some cite a tail that the graph lacks, and only its country edges are known."""
     edges = kg_queries.edges(spark, sf_dir)
-    known = edges.where("r = 'country'").select(F.lower("h").alias("kh"), F.lower("t").alias("kt"))
-    return edges.join(known, (F.lower("h") == F.col("kh")) & (F.lower("t") == F.col("kt")), "left_semi")
+    tail = F.when(F.right("h", F.lit(1)).isin("0", "5"), F.lit("nowhere")).otherwise(F.col("t"))
+    cited = edges.select(F.upper("h").alias("h"), "r", tail.alias("t"))
+    known = edges.where("r = 'country'").select(*[F.lower(c).alias(f"k{c}") for c in ("h", "r", "t")])
+    return cited.join(known, (F.lower("h") == F.col("kh")) & (F.lower("r") == F.col("kr")) & (F.lower("t") == F.col("kt")), "left_semi")
 
 
 QUERIES = {
@@ -122,6 +124,7 @@ select p.key, p.i, p.value from p join (select key, value as cutoff from p where
     "stream_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2",
     "stream_quota": training_queries.ORACLE_SQL["silver_quota"],
     "entity_links": """
-select distinct c_name as h, 'country' as r, n_name as t from customer join nation on c_nationkey = n_nationkey
-union select s_name, 'country', n_name from supplier join nation on s_nationkey = n_nationkey""",
+select upper(h) as h, 'country' as r, t from (
+  select distinct c_name as h, n_name as t from customer join nation on c_nationkey = n_nationkey union select s_name, n_name from supplier join nation on s_nationkey = n_nationkey)
+where right(h, 1) not in ('0', '5')""",
 }

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ragloom.functions import metrics as M
 from ragloom.operators import retrieval as R
+from ragloom.plans.text_queries import _toolkit
 from ragloom.tables import table
 
 
@@ -52,11 +54,11 @@ def pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hit is right if its document holds the query's text."""
+    """A hit is right if its document holds the query's text, both normalised."""
     rows = _with_text(bm25_topk(spark, sf_dir), spark, sf_dir)
-    return rows.groupBy("qid").agg(
-        F.max(F.contains("text", "query").cast("double")).alias("recall_at_10"), F.round(F.avg(F.contains("text", "query").cast("double")), 9).alias("precision_at_10")
-    )
+    ranked = rows.groupBy("qid").agg(F.array(F.first("query")).alias("golds"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("docs"))
+    docs, golds = F.col("docs"), F.col("golds")
+    return ranked.select("qid", M.recall_at(docs, golds, 3).alias("recall_at_3"), M.recall_at(docs, golds, 10).alias("recall_at_10"), F.round(M.precision_at(docs, golds, 10), 9).alias("precision_at_10"))
 
 
 def retrieval_cache_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +165,9 @@ c as (select *, sum(tokens) over (partition by qid order by rank) as s, row_numb
 k as (select *, case when s <= 1000 then text when s - tokens <= 1000 and 1000 - (s - tokens) > 200 then part[1:(1000 - (s - tokens)) * 4] || ' ...'
   when nth = 1 then part[1:4000] end as packed from c)
 select qid, rank, sha256(packed) as packed_sha256, s <= 1000 as whole from k where packed is not null""",
-    "recall_precision_at_k": f"""{_HITS}, {_TEXTS}
-select qid, max(contains(text, query)::int::double) as recall_at_10, round(avg(contains(text, query)::int::double), 9) as precision_at_10 from texts group by qid""",
+    "recall_precision_at_k": f"""{_HITS}, {_TEXTS},
+held as (select qid, rank, contains({_toolkit('text')}, {_toolkit('query')})::int::double as hit from texts)
+select qid, coalesce(max(hit) filter (rank <= 3), 0.0) as recall_at_3, max(hit) as recall_at_10, round(avg(hit), 9) as precision_at_10 from held group by qid""",
     "retrieval_cache_aside": f"""with {_POSTS}, {_bm25('c', 20, where='length(qtext) < 120')}, {_bm25('m', 3, where='length(qtext) >= 120')}
 select qid, doc_id, rank, score, true as cached from c where rank <= 3 union all select qid, doc_id, rank, score, false from m""",
     "dense_topk": f"{_DENSE} select qid, doc_id, rank, score from hits",

@@ -1,10 +1,13 @@
 """Training tables and agent loops against plain Python."""
 
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from ragloom.functions import metrics
 from ragloom.functions.fuzzy import token_sort_ratio
 from ragloom.operators import curate, kg, retrieval, training
 from ragloom.operators import kg_tables as T
@@ -139,3 +142,24 @@ def test_self_ask(spark):
     got = {r.qid: (r.pred, r.n_rounds) for r in agents.self_ask(docs, asked, model, rounds=4, k=1).collect()}
     assert got["b"] == ("", 1) and got["a"][1] == 2
     assert re.fullmatch(r"Context1: rome is in italy\n\nQuestion: where is paris\nAre follow up questions needed here: No\.\nFollow up: romeSo the final answer is: Italy", got["a"][0])
+
+
+def test_bleu_of_four_words(spark):
+    pairs = [("The cat, it sat on 3.5 mats - all of it!", "The cat sat on 3.5 mats; all of it!"), ("a b c d e", "a b c d e f"), ("x", "y z")]
+
+    def tokens(text):
+        out = f" {text} "
+        for pattern, put in ((r"([{-~\[-` -&(-+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+            out = re.sub(pattern, put, out)
+        return out.split()
+
+    match, total, lengths = [0] * 4, [0] * 4, [0, 0]
+    for p, g in ((tokens(p), tokens(g)) for p, g in pairs):
+        lengths = [lengths[0] + len(p), lengths[1] + len(g)]
+        for n in range(1, 5):
+            grams = [Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (p, g)]
+            match[n - 1] += sum((grams[0] & grams[1]).values())
+            total[n - 1] += sum(grams[0].values())
+    wanted = math.exp(sum(math.log(m / t) for m, t in zip(match, total)) / 4) * min(1.0, math.exp(1 - lengths[1] / lengths[0]))
+    row = metrics.bleu(spark.createDataFrame(pairs, "pred string, gold string")).first()
+    assert abs(row.bleu - wanted) < 1e-9 and abs(row.p4 - match[3] / total[3]) < 1e-9
