@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ragloom.operators.ranks import ranked
+from ragloom.session import fresh
 
 # Quotas of the accepted traces by bucket, and the buckets' least triple rates.
 SPARSE_QUOTA, MEDIUM_QUOTA, RICH_RATE, MEDIUM_RATE = 0.25, 0.35, 0.5, 0.15
@@ -74,11 +75,11 @@ def hash_order(key: Column, seed: int) -> Column:
 
 def hash_sample(rows: DataFrame, key: str, n: Column, seed: int = 42, group: str | None = None) -> DataFrame:
     """The first ``n`` rows in hash order, of all rows or of each group; ranks are computed without gathering a group in one task."""
-    own = "sample_group" if group is None else group
-    marked = rows.withColumn("sample_hash", hash_order(F.col(key), seed))
+    own, digest, rank = fresh("sample_group", rows) if group is None else group, fresh("sample_hash", rows), fresh("sample_rank", rows)
+    marked = rows.withColumn(digest, hash_order(F.col(key), seed))
     marked = marked.withColumn(own, F.lit(0)) if group is None else marked
-    kept = ranked(marked, own, [F.col("sample_hash"), F.col(key)], "sample_rank").where(F.col("sample_rank") <= n)
-    return kept.drop("sample_hash", "sample_rank", *([own] if group is None else []))
+    kept = ranked(marked, own, [F.col(digest), F.col(key)], rank).where(F.col(rank) <= n)
+    return kept.drop(digest, rank, *([own] if group is None else []))
 
 
 def hard_mix(hard: DataFrame, easy: DataFrame, key: str, ratio: float = 0.7, seed: int = 42) -> DataFrame:

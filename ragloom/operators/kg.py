@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ragloom.operators import kg_tables as T
+from ragloom.session import fresh
 
 
 def one_hop(seeds: DataFrame, edges: DataFrame, limit: int = 30, relations: list[str] | None = None) -> DataFrame:
@@ -59,8 +60,8 @@ def two_hop(seeds: DataFrame, edges: DataFrame, limit: int = 30) -> DataFrame:
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """DISTINCT on ``keys`` that keeps the first row in ``order``."""
-    first = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    first, nth = Window.partitionBy(*keys).orderBy(*order), fresh("nth", rows)
+    return rows.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
 
 
 def merged_hops(seeds: DataFrame, edges: DataFrame, limit: int = 30) -> DataFrame:

@@ -163,3 +163,9 @@ def test_bleu_of_four_words(spark):
     wanted = math.exp(sum(math.log(m / t) for m, t in zip(match, total)) / 4) * min(1.0, math.exp(1 - lengths[1] / lengths[0]))
     row = metrics.bleu(spark.createDataFrame(pairs, "pred string, gold string")).first()
     assert abs(row.bleu - wanted) < 1e-9 and abs(row.p4 - match[3] / total[3]) < 1e-9
+
+
+def test_samples_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(i, i * 10, "h", 0) for i in range(20)], "id long, sample_rank long, sample_hash string, sample_group int")
+    got = curate.hash_sample(rows, "id", F.lit(5)).collect()
+    assert len(got) == 5 and all(r.sample_rank == r.id * 10 and r.sample_hash == "h" and r.sample_group == 0 for r in got)
