@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ragloom.llm import ann, chat, edit_print, html_text, langid, mixing, packing, secrets, simhash, url_filter
+from ragloom.llm import ann, chat, edit_print, fill_middle, html_text, kd_clusters, langid, mixing, packing, resharding, secrets, simhash, url_filter
 from ragloom.tables import table
 
 
@@ -54,6 +54,18 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents", spread=True))
+
+
+def op12_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_clusters.cluster(table(spark, sf_dir, "embeddings", spread=True))
+
+
+def op13_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -65,6 +77,9 @@ QUERIES = {
     "op8_permutation_ann": op8_permutation_ann,
     "op9_edit_fingerprint": op9_edit_fingerprint,
     "op10_pack": op10_pack,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_kd_clusters": op12_kd_clusters,
+    "op13_flow_reshard": op13_flow_reshard,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -85,6 +100,19 @@ _RULE_SQL = " union all ".join(
     _span_sql(r.kind, k, r.pattern, r.least, f"regexp_extract(m, 'PATTERN', {r.group})") for k, r in enumerate(secrets.RULES)
 )
 
+
+def _lloyd_round(n: int) -> str:
+    """DuckDB: from centroids c{n} (c, z) the vectors' assignment a{n} (r, d, c) and the next centroids."""
+    return f"""
+a{n} as materialized (
+  select r, unnest(min(struct_pack(d := list_sum(list_transform(list_zip(v, z), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, c := c))) from kept cross join c{n} group by r),
+m{n} as (
+  select c, list(z order by i) as z from (
+    select c, i, ((s - ((s % n) + n) % n) // n)::bigint as z from (
+      select c, i, sum(v[i]) as s, count(*) as n from a{n} join kept using (r) cross join unnest(range(1, 65)) as dims(i) group by c, i)) group by c),
+c{n + 1} as materialized (select c{n}.c, coalesce(m{n}.z, c{n}.z) as z from c{n} left join m{n} using (c)),"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": f"""
 with spans as ({_RULE_SQL}),
@@ -132,5 +160,32 @@ clean as (
   select page_id, url, coalesce(array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)), '') as text
   from blocks)
 select page_id, url, text, length(text)::bigint as n_chars from clean
+""",
+    "op11_fill_middle": r"""
+with cut as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w,
+    list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), k, 8))::bigint) as h
+  from documents),
+drawn as (
+  select doc_id, t, w, len(w)::bigint as n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) as a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 50 then 'plain' when h[4] % 100 < 80 then 'spm' else 'psm' end as form
+  from cut),
+parts as (
+  select *, array_to_string(w[1:a], '') as p, array_to_string(w[a + 1:b], '') as m, array_to_string(w[b + 1:n], '') as s from drawn)
+select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from parts
+""",
+    "op12_kd_clusters": f"""
+with kept as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 as materialized (
+  select row_number() over (order by sha256('2:' || vec_id) nulls last, v) - 1 as c, v as z from kept qualify c < 40),
+{"".join(map(_lloyd_round, range(6)))}
+inertias as (select c, sum(d)::bigint as cluster_inertia from a5 group by c)
+select vec_id, c::int as cluster, d as distance, cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(z, ',')) as centroid_sha256
+from a5 join kept using (r) join inertias using (c) join c5 using (c)
 """,
 }
