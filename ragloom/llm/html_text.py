@@ -5,12 +5,13 @@ what is left into lines. Over the lines' text lengths a window slides; text begi
 with ``SURGE`` characters in a window are kept, or the run with the most text if there is none. Lines in the same container as a kept run belong to its text too, so a short
 end after a form or an advert stays. An element that is taken out leaves a window of empty lines, so it parts what stands before it from what stands after it.
 
-Elements whose class, id or role has a word for notices, adverts, comments and the like are suspects, no more: one is taken out unless it holds an article or, with no
-word for comments, at least half of the page's text. Words count as parts of a name in containers and as whole names elsewhere, so a heading
+Elements whose class, id or role has a word for adverts, notices, comments and the like are taken out, however long they are. Words of layout (``sidebar``, ``widget``) make a suspect, no more: it is
+taken out unless it holds an article that counts, or at least half of the page's text. Words count as parts of a name in containers and as whole names elsewhere, so a heading
 ``related-work`` or a paragraph ``share-price`` is text.
 
-``article`` and ``main`` are a weight: if the text in them is at least as long as all text outside that isn't taken out, lines outside count as empty. Otherwise the tag
-(as of a teaser card) decides nothing. Links count as text inside an article that weighs, and not elsewhere.
+An ``article`` is the text, whatever else the page holds and however short it is, unless it is a card: one whose text is mostly links, whose class says so, or one of several none of which has
+over half of their text. All its lines are kept but those taken out. ``main`` is weaker: if the text in it is at least as long as all other text, lines outside count as empty, and the windows decide inside; else
+it decides nothing. Without either the windows decide over the whole page. Links count as text only inside an article or ``main`` that counts.
 
 Character references are decoded once, white space inside a line becomes one space, and lines are joined by an empty line.
 
@@ -34,7 +35,7 @@ SURGE = 80
 # Elements whose text is never an article's.
 RAW = ("script", "style", "noscript", "template", "textarea", "select", "iframe", "object", "svg", "canvas", "title")
 STRIPPED = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "head", "header", "datalist", "audio", "video"}
-# Words in class, id or role of an element that may not be part of the article; those of reader comments.
+# Words in class, id or role of an element that may not be part of the article; those of reader comments; those of layout, which may hold the article.
 STRIPPED_WORDS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar aside footer header masthead notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
@@ -46,6 +47,9 @@ BLOCKS = set(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 COMMENTS = set("comment comments disqus replies respond".split())
+LAYOUT = set("header masthead sidebar aside widget banner overlay modal toolbar complementary pagination pager".split())
+# Words of an article that only leads to another one.
+CARDS = set("card cards teaser teasers preview related recommended promo".split())
 # Open elements that an element of the same row ends, if they are the last to be opened.
 ENDS = {"li": {"li", "p"}, "p": {"p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,46 +70,79 @@ _MARKUP = re.compile(
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-def _suspect_words(tag: str, rest: str) -> set[str]:
-    """The words for what is no article in an element's class, id or role."""
+def _words(tag: str, rest: str) -> set[str]:
+    """The words of an element's class, id or role."""
     found: set[str] = set()
     for name in (n for x in _NAMED.findall(rest) for n in "".join(x).lower().split()):
         parts = re.split(r"[-_]+", name) if tag in PARTED else [name]
         if parts[0] not in ("has", "no", "with", "without"):
-            found |= STRIPPED_WORDS.intersection(parts)
+            found.update(parts)
     return found
 
 
 class Lines:
-    """The lines of a page in order, each with its characters outside links, whether it is in an article, and the numbers of its container and of its innermost suspect (0: none)."""
+    """The lines of a page in order, each with its characters outside links and the numbers of its container, its innermost suspect and its innermost article or ``main`` (0: none)."""
 
     def __init__(self) -> None:
         self.text: list[str] = []
         self.plain: list[int] = []
-        self.inside: list[bool] = []
         self.container: list[int] = []
         self.suspect: list[int] = []
-        #: Of each suspect: the one around it, whether it holds an article, whether it is one of comments.
-        self.around, self.holds_article, self.comments = [0], [False], [False]
+        self.article: list[int] = []
+        #: Of each suspect: the one around it, whether it may hold the article.
+        self.around, self.layout = [0], [True]
+        #: Of each article or main: the one around it, its suspect, whether it is an article, whether it may count.
+        self.outer, self.within, self.is_article, self.open = [0], [0], [False], [False]
 
-    def add(self, text: str, plain: int, inside: bool, container: int, suspect: int) -> None:
-        for column, value in ((self.text, text), (self.plain, plain), (self.inside, inside), (self.container, container), (self.suspect, suspect)):
+    def add(self, text: str, plain: int, container: int, suspect: int, article: int) -> None:
+        for column, value in ((self.text, text), (self.plain, plain), (self.container, container), (self.suspect, suspect), (self.article, article)):
             column.append(value)
 
-    def taken_out(self) -> list[bool]:
-        """Of each suspect, whether its lines go."""
-        size = [0] * len(self.around)
+    def decided(self) -> tuple[list[bool], list[bool], bool]:
+        """Of each suspect, whether its lines go; of each article or main, whether its lines are the text's; whether the latter are articles."""
+        size, tied = [0] * len(self.around), [False] * len(self.around)
         for plain, at in zip(self.plain, self.suspect):
             size[at] += plain
-        holds = list(self.holds_article)
-        for at in range(len(size) - 1, 0, -1):  # a suspect has a larger number than the one around it
-            size[self.around[at]] += size[at]
-            holds[self.around[at]] |= holds[at]
         gone = [False] * len(size)
+        for at in range(1, len(size)):  # a suspect has a larger number than the one around it
+            gone[at] = gone[self.around[at]] or not self.layout[at]
+        text, plain = [0] * len(self.outer), [0] * len(self.outer)
+        for words, n, at, suspect in zip(self.text, self.plain, self.article, self.suspect):
+            if not gone[suspect]:
+                text[at] += len(words)
+                plain[at] += n
+        for at in range(len(text) - 1, 0, -1):
+            text[self.outer[at]] += text[at]
+            plain[self.outer[at]] += plain[at]
+        top = [at for at in range(1, len(text)) if self.is_article[at] and text[at] and not self._in_article(at)]
+        most = sum(text[at] for at in top)
+        counts = [False] * len(text)
+        for at in top:
+            counts[at] = self.open[at] and 2 * plain[at] >= text[at] and 2 * text[at] > most
+        articles = any(counts)
+        if not articles:
+            mains = [at for at in range(1, len(text)) if not self.is_article[at] and not counts[self.outer[at]] and text[at]]
+            if mains and 2 * sum(plain[at] for at in mains if not self.outer[at]) >= plain[0]:
+                for at in mains:
+                    counts[at] = True
+        inside = [False] * len(text)
+        for at in range(1, len(text)):
+            inside[at] = counts[at] or inside[self.outer[at]]
+            if counts[at]:
+                tied[self.within[at]] = True
+        for at in range(len(size) - 1, 0, -1):
+            size[self.around[at]] += size[at]
+            tied[self.around[at]] |= tied[at]
         for at in range(1, len(size)):
-            main = holds[at] or not self.comments[at] and 2 * size[at] >= size[0] > 0
+            main = self.layout[at] and (tied[at] or 2 * size[at] >= size[0] > 0)
             gone[at] = gone[self.around[at]] or not main
-        return gone
+        return gone, inside, articles
+
+    def _in_article(self, at: int) -> bool:
+        while at := self.outer[at]:
+            if self.is_article[at]:
+                return True
+        return False
 
 
 def lines_of(page: str) -> Lines:
@@ -114,24 +151,24 @@ def lines_of(page: str) -> Lines:
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # open elements; whether each is stripped by its tag; whether it is a suspect
     open_tags: Counter[str] = Counter()
-    stripped = articles = links = opened = suspect = 0
+    stripped = article = links = opened = suspect = 0
     within = [0]  # numbers of the open containers
 
     def end_line() -> None:
         nonlocal linked
         words = " ".join(entities.unescape("".join(text)).split())
         if words:
-            lines.add(words, max(0, len(words) - linked), articles > 0, within[-1], suspect)
+            lines.add(words, max(0, len(words) - linked), within[-1], suspect, article)
         text.clear()
         linked = 0
 
     def gap() -> None:
         end_line()
         for _ in range(WINDOW):
-            lines.add("", 0, articles > 0, 0, suspect)
+            lines.add("", 0, 0, suspect, article)
 
     def pop() -> None:
-        nonlocal stripped, articles, links, suspect
+        nonlocal stripped, article, links, suspect
         tag, cut, suspected = stack.pop()
         open_tags[tag] -= 1
         stripped -= cut
@@ -140,12 +177,12 @@ def lines_of(page: str) -> Lines:
             end_line()
         if tag in CONTAINERS:
             within.pop()
-        if suspected:
-            suspect = lines.around[suspect]
         if tag in ARTICLES:
             end_line()
-            articles -= 1
+            article = lines.outer[article]
             gap()
+        if suspected:
+            suspect = lines.around[suspect]
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -173,20 +210,21 @@ def lines_of(page: str) -> Lines:
         elif tag not in VOID and not m["rest"].endswith("/"):
             while stack and stack[-1][0] in ENDS.get(tag, ()):
                 pop()
-            cut = tag in STRIPPED and not (tag == "header" and articles > 0)
-            words = set() if cut or stripped or tag in NEVER_STRIPPED else _suspect_words(tag, m["rest"])
-            if tag in ARTICLES:
-                lines.holds_article[suspect] = True
-                gap()
-                articles += 1
+            cut = tag in STRIPPED and not (tag == "header" and article > 0)
+            names = _words(tag, m["rest"]) if m["rest"] and not cut and not stripped else set()
+            words = names & (COMMENTS if tag in NEVER_STRIPPED else STRIPPED_WORDS)
             if cut and not stripped:
                 gap()
             if words:
                 gap()
                 lines.around.append(suspect)
-                lines.holds_article.append(False)
-                lines.comments.append(bool(words & COMMENTS))
+                lines.layout.append(words <= LAYOUT)
                 suspect = len(lines.around) - 1
+            if tag in ARTICLES:
+                gap()
+                for column, value in ((lines.outer, article), (lines.within, suspect), (lines.is_article, tag == "article"), (lines.open, not names & CARDS)):
+                    column.append(value)
+                article = len(lines.outer) - 1
             if tag in CONTAINERS:
                 end_line()
                 opened += 1
@@ -205,12 +243,14 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not page:
         return ""
     lines = lines_of(page)
-    gone = lines.taken_out()
+    gone, inside, articles = lines.decided()
     # The gap before a suspect stands outside it and stays.
     left = [k for k, at in enumerate(lines.suspect) if not gone[at]]
-    inside = sum(len(lines.text[k]) for k in left if lines.inside[k])
-    marked = inside > 0 and inside >= sum(lines.plain[k] for k in left if not lines.inside[k])
-    sizes = [(len(lines.text[k]) if lines.inside[k] else 0) if marked else lines.plain[k] for k in left]
+    marked = any(inside)
+    own = [k for k in left if lines.text[k] and inside[lines.article[k]]]
+    if articles:
+        return "\n\n".join(lines.text[k] for k in own)
+    sizes = [(len(lines.text[k]) if inside[lines.article[k]] else 0) if marked else lines.plain[k] for k in left]
     runs: list[tuple[int, int, int, int]] = []  # first line, line after the last, largest window, whole size
     i = 0
     while i < len(sizes):
@@ -225,7 +265,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     kept = [r for r in runs if r[2] >= surge] or [max(runs, key=lambda r: r[3])] if runs else []
     places = {lines.container[left[k]] for a, b, *_ in kept for k in range(a, b) if sizes[k]}
     chosen = {k for a, b, *_ in kept for k in range(a, b)} | {k for a, b, *_ in runs for k in range(a, b) if lines.container[left[k]] in places}
-    return "\n\n".join(lines.text[left[k]] for k in sorted(chosen) if lines.text[left[k]] and (lines.inside[left[k]] or not marked))
+    return "\n\n".join(lines.text[left[k]] for k in sorted(chosen) if lines.text[left[k]] and (not marked or inside[lines.article[left[k]]]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 import time
 
+import duckdb
+import pytest
+
+from ragloom.llm import queries
 from ragloom.llm.html_text import extract, lines_of, main_text
 
 PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>A title</title><style>p{margin:0}</style>
@@ -60,7 +64,49 @@ def test_reader_comments_go_even_if_they_are_longer():
     assert main_text(f"<body><div id='text'><p>{STORY}</p></div><div class='comments'>" + f"<p>{STORY} Says a reader.</p>" * 5 + "</div>") == STORY
 
 
-def test_surge_and_dive_decide_in_an_article_too():
+@pytest.mark.parametrize("around", [
+    f"<div class='ad'>{STORY} {STORY}</div>", f"<div class='ads top'><p>{STORY}</p><p>{STORY}</p></div>", f"<div class='sidebar'><p>{STORY}</p><p>{STORY}</p></div>",
+    f"<section id='comments'><article><p>{STORY}</p></article><article><p>{STORY}</p></article></section>", f"<div class='share-box'><p>{STORY}</p></div>", f"<div><p>{STORY}</p><p>{STORY}</p></div>",
+    "<article class='card'><a href='/x'>Read this next, it is much longer than the story.</a></article>",
+])
+def test_a_short_article_is_the_text_whatever_is_longer(around):
+    short = "<article><h1>Brief.</h1><p>So it is.</article>"
+    assert main_text(f"<body>{around}{short}<footer>f</footer></body>") == main_text(f"<body>{short}{around}</body>") == "Brief.\n\nSo it is."
+
+
+def test_all_of_an_article_is_kept_but_what_is_taken_out():
+    page = f"<article><p>{STORY}</p><aside>No.</aside><section><p>Short.</p></section><div class='comments'><p>No.</p></div><blockquote><a href='/'>Linked.</a></blockquote><article class='comment'>No.</article></article>"
+    assert main_text(page) == f"{STORY}\n\nShort.\n\nLinked."
+
+
+def test_several_articles_are_cards():
+    cards = "".join(f"<article><p>Card {k}, with a line of text.</p></article>" for k in range(4))
+    assert main_text(f"<body><div id='text'><p>{STORY}</p><p>{STORY}</p></div><div><a href='/'>a</a></div><hr><div>{cards}</div></body>").startswith(f"{STORY}\n\n{STORY}")
+    assert main_text(f"<body>{cards}<article><p>{STORY}</p><p>{STORY}</p></article></body>") == f"{STORY}\n\n{STORY}"
+
+
+def menu(n, word="Topic"):
+    return "<div class='x1'>" + "".join(f"<div><a href='/{k}'>{word} {k}</a></div>" for k in range(n)) + "</div>"
+
+
+@pytest.mark.parametrize("before,after", [(menu(8), menu(5, "More") + "<div>Legal notes</div>"), ("<div>Site name</div>" + menu(6), menu(4) + "<div>Imprint</div><div>Contact</div>"), (menu(30), "<p></p>" + menu(30) + "<div>2021 the site</div>")])
+def test_surge_and_dive_find_a_story_without_any_known_tag_or_class(before, after):
+    story = f"<div class='x2'><div>{STORY}</div><div>Short line.</div><div>{STORY}</div><div>{STORY}</div></div>"
+    wanted = f"{STORY}\n\nShort line.\n\n{STORY}\n\n{STORY}"
+    page = f"<body>{before}{story}{after}</body>"
+    assert main_text(page) == wanted
+    assert main_text(page, window=10**6, surge=0) != wanted  # a window over the whole page decides nothing
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_equals_sql_on_every_page(sf):
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '/root/testdata/{sf}/pages.parquet'")
+    wanted = dict(con.sql(f"select page_id, text from ({queries.ORACLE_SQL['op6_html_text']})").fetchall())
+    assert [i for i, page in con.sql("select page_id, html from pages").fetchall() if main_text(page) != wanted[i]] == []
+
+
+def test_surge_and_dive_decide_in_main_too():
     page = f"<main><div><a href='/'>Home</a></div><p>By.</p><section><h1>Title</h1><p>{STORY}</p></section>" + "<nav>n</nav><div><p>Tags: x</p></div></main>"
     assert main_text(page) == f"Home\n\nBy.\n\nTitle\n\n{STORY}"
 
