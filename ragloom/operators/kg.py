@@ -88,11 +88,11 @@ def quotas(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     Relations without a property id share one bucket.
     """
     keys = keys or ["qid"]
-    nth = F.row_number().over(Window.partitionBy(*keys, "pid", "h").orderBy("pos"))
-    rows = rows.withColumn("nth", nth).where(~F.col("pid").isin(*T.TAXONOMIC) | (F.col("nth") <= 1))
+    nth, most = fresh("nth", rows), fresh("most", rows)
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(*keys, "pid", "h").orderBy("pos"))).where(~F.col("pid").isin(*T.TAXONOMIC) | (F.col(nth) <= 1))
     total = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = rows.withColumn("most", F.greatest(F.floor(total * F.lit(T.RELATION_SHARE)), F.lit(1)))
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "pid").orderBy("pos"))).where("nth <= most").drop("nth", "most")
+    rows = rows.withColumn(most, F.greatest(F.floor(total * F.lit(T.RELATION_SHARE)), F.lit(1)))
+    return rows.withColumn(nth, F.row_number().over(Window.partitionBy(*keys, "pid").orderBy("pos"))).where(F.col(nth) <= F.col(most)).drop(nth, most)
 
 
 def entity_score(entity: Column, question: Column) -> Column:
@@ -122,14 +122,15 @@ def triple_score(h: Column, r: Column, t: Column, pid: Column, question: Column)
 
 def taxonomic_cap(rows: DataFrame, keep: int = 30) -> DataFrame:
     """Of the best ``2 * keep`` rows of a question, at most a fifth taxonomic; then the best ``keep``, with ``rank``."""
+    place, taxonomic, most, nth = (fresh(x, rows) for x in ("place", "taxonomic", "most", "nth"))
     by_score = Window.partitionBy("qid").orderBy(F.col("score").desc(), "pos")
-    best = rows.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= 2 * keep)
-    best = best.withColumn("taxonomic", F.col("pid").isin(*T.TAXONOMIC))
+    best = rows.withColumn(place, F.row_number().over(by_score)).where(F.col(place) <= 2 * keep)
+    best = best.withColumn(taxonomic, F.col("pid").isin(*T.TAXONOMIC))
     total = F.least(F.lit(keep), F.count(F.lit(1)).over(Window.partitionBy("qid")))
-    best = best.withColumn("most", F.floor(total * F.lit(T.TAXONOMIC_SHARE)))
-    best = best.withColumn("nth", F.row_number().over(Window.partitionBy("qid", "taxonomic").orderBy("place"))).where("not taxonomic or nth <= most")
-    last = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("taxonomic").desc(), "place")
-    return best.withColumn("rank", F.row_number().over(last).cast("long")).where(F.col("rank") <= keep).drop("place", "taxonomic", "most", "nth")
+    best = best.withColumn(most, F.floor(total * F.lit(T.TAXONOMIC_SHARE)))
+    best = best.withColumn(nth, F.row_number().over(Window.partitionBy("qid", taxonomic).orderBy(place))).where(~F.col(taxonomic) | (F.col(nth) <= F.col(most)))
+    last = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(taxonomic).desc(), place)
+    return best.withColumn("rank", F.row_number().over(last).cast("long")).where(F.col("rank") <= keep).drop(place, taxonomic, most, nth)
 
 
 def filter_and_rank(candidates: DataFrame, questions: DataFrame, keep: int = 30) -> DataFrame:

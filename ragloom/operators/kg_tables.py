@@ -14,15 +14,15 @@ META_LABELS = (
     "Wikipedia disambiguation page",
 )
 # Relations that are dropped.
-STOP_RELATIONS = tuple(
-    "topic's main category|category's main topic|on focus list of Wikimedia project|described by source|properties for this type|"
-    "said to be the same as|different from|Wikimedia import URL|Freebase ID|Quora topic ID|Google Knowledge Graph ID|"
-    "external data available at|page banner|located on street|street address|postal code|official website|Commons category|image|"
-    "logo image|locator map image|detail map|coat of arms image|flag image|seal image|has list|related image|audio|video|"
-    "pronunciation audio|described at URL|reference URL|ISBN-13|ISBN-10|DOI|PubMed ID|arXiv ID|Library of Congress authority ID|"
-    "VIAF ID|GND ID|BNF ID|ORCID ID|ISNI|IMDb ID|MusicBrainz artist ID|Discogs artist ID|AllMusic artist ID|X username|"
-    "Facebook username|Instagram username|YouTube channel ID|LinkedIn company ID|GitHub username|Stack Exchange tag|Twitter username|subreddit".split("|")
-)
+STOP_RELATIONS = (
+    "topic's main category", "category's main topic", "on focus list of Wikimedia project", "described by source", "properties for this type", "said to be the same as",
+    "different from", "Wikimedia import URL", "Freebase ID", "Quora topic ID", "Google Knowledge Graph ID", "external data available at", "page banner",
+    "located on street", "street address", "postal code", "official website", "Commons category", "image", "logo image", "locator map image", "detail map",
+    "coat of arms image", "flag image", "seal image", "has list", "related image", "audio", "video", "pronunciation audio", "described at URL", "reference URL",
+    "ISBN-13", "ISBN-10", "DOI", "PubMed ID", "arXiv ID", "Library of Congress authority ID", "VIAF ID", "GND ID", "BNF ID", "ORCID ID", "ISNI", "IMDb ID",
+    "MusicBrainz artist ID", "Discogs artist ID", "AllMusic artist ID", "X username", "Facebook username", "Instagram username", "YouTube channel ID",
+    "LinkedIn company ID", "GitHub username", "Stack Exchange tag", "Twitter username", "subreddit",
+)
 # Property ids of relation labels.
 RELATION_PIDS = {
     "instance of": "P31", "subclass of": "P279", "part of": "P361", "has part(s)": "P527", "country": "P17", "country of citizenship": "P27",

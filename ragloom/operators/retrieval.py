@@ -17,6 +17,8 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Rows of (query, term) up to which they are broadcast.
 BROADCAST_ROWS = 200_000
+#: Marks in the place of a word that a document's length goes by, so that all documents don't share one.
+MARKS = 64
 
 
 def ranked_hits(scored: DataFrame, k: int, places: int = 6) -> DataFrame:
@@ -33,6 +35,7 @@ class Postings(NamedTuple):
     asked: DataFrame  # qid, term, q
     whole: DataFrame  # n, avgdl: one row
     small: bool  # whether ``asked`` may be broadcast
+    df: DataFrame | None = None  # term, df: where they are known
 
 
 def postings(docs: DataFrame, queries: DataFrame) -> Postings:
@@ -43,18 +46,20 @@ def postings(docs: DataFrame, queries: DataFrame) -> Postings:
     """
     asked = cut(queries.select("qid", F.explode(ascii_terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("q")))
     small = asked.count() <= BROADCAST_ROWS
-    terms = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term")))  # no word is empty
-    sized = docs.select("doc_id", ascii_terms(F.col("text")).alias("terms")).select("doc_id", F.size("terms").alias("dl"), F.concat(F.coalesce("terms", F.array()), F.array(F.lit(""))).alias("terms"))
+    mark = lambda n: F.concat(F.lit(" "), F.pmod(n, F.lit(MARKS)).cast("string"))  # noqa: E731; no word has a space
+    terms = asked.select("term").distinct().unionByName(asked.sparkSession.range(MARKS).select(mark(F.col("id")).alias("term")))
+    sized = docs.select("doc_id", ascii_terms(F.col("text")).alias("terms"))
+    sized = sized.select("doc_id", F.size("terms").alias("dl"), F.concat(F.coalesce("terms", F.array()), F.array(mark(F.xxhash64("doc_id")))).alias("terms"))
     posts = sized.select("doc_id", "dl", F.explode("terms").alias("term")).join(F.broadcast(terms) if small else terms, "term", "left_semi")
     posts = cut(posts.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    whole = posts.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl"))
-    return Postings(posts.where("term <> ''"), asked, whole, small)
+    whole = posts.where("term like ' %'").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl"))
+    return Postings(posts.where("term not like ' %'"), asked, whole, small)
 
 
 def bm25_scored(p: Postings, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """Top ``k`` by BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)), from ``postings``."""
-    df = p.posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(p.whole))
-    idf = df.select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    df = p.posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if p.df is None else p.df
+    idf = df.crossJoin(F.broadcast(p.whole)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     weighed = p.asked.join(idf, "term")
     scored = p.posts.join(F.broadcast(weighed) if p.small else weighed, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("q") * F.col("idf") * weight).alias("score"))

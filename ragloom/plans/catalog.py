@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ragloom.plans import agent_queries, kg_queries, more_queries, pipeline_queries, retrieval_queries, text_queries, trace_queries, training_queries
+from ragloom.plans import agent_queries, kg_queries, more_queries, pipeline_queries, prompt_queries, retrieval_queries, search_queries, text_queries, trace_queries, training_queries
 
-_PARTS = (kg_queries, text_queries, retrieval_queries, training_queries, pipeline_queries, more_queries, trace_queries, agent_queries)
+_PARTS = (kg_queries, text_queries, retrieval_queries, training_queries, pipeline_queries, more_queries, trace_queries, agent_queries, prompt_queries, search_queries)
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

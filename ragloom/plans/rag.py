@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ragloom.functions import metrics as M
 from ragloom.functions import text as X
+from ragloom.operators import index as I
 from ragloom.operators import retrieval as R
 from ragloom.session import cut
 
@@ -46,19 +47,20 @@ def prompts(packed: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(joined, "qid", "left").select("qid", F.concat(F.lit("Question: "), "text", F.lit("\nPassage: "), F.coalesce("passages", F.lit(""))).alias("prompt"))
 
 
-def sequential(docs: DataFrame, queries: DataFrame, generate: Step = first_sentence, k: int = 5, budget: int = 600) -> DataFrame:
-    """Retrieve, rerank, pack, prompt, generate: qid, answer."""
+def sequential(docs: DataFrame, queries: DataFrame, generate: Step = first_sentence, k: int = 5, budget: int = 600, search: I.Search | None = None) -> DataFrame:
+    """Retrieve, rerank, pack, prompt, generate: qid, answer. Without a ``search`` the texts are read for this one time."""
     texts = docs.select("doc_id", F.col("text"))
-    hits = R.bm25(docs, queries, k).join(texts, "doc_id").join(queries.withColumnRenamed("text", "query"), "qid")
+    hits = (search(queries, k) if search else R.bm25(docs, queries, k)).join(texts, "doc_id").join(queries.withColumnRenamed("text", "query"), "qid")
     order = R.lexical_rerank(hits, k).select("qid", "doc_id", "rank").join(texts, "doc_id")
     return generate(prompts(R.pack_budget(order, budget), queries)).select("qid", "answer")
 
 
-def iterative(docs: DataFrame, queries: DataFrame, generate: Step = first_sentence, rounds: int = 2, done: Column | None = None, k: int = 3) -> DataFrame:
-    """Rounds of retrieval in which each answer joins the next query; a query leaves when ``done`` holds for its answer. qid, round, answer."""
+def iterative(docs: DataFrame, queries: DataFrame, generate: Step = first_sentence, rounds: int = 2, done: Column | None = None, k: int = 3, search: I.Search | None = None) -> DataFrame:
+    """Rounds of retrieval in which each answer joins the next query; a query leaves when ``done`` holds for its answer. qid, round, answer. All rounds ask one stored index."""
+    search = search or I.searcher(docs)
     active, out = queries, None
     for n in range(rounds):
-        answered = cut(sequential(docs, active, generate, k).withColumn("round", F.lit(n)))
+        answered = cut(sequential(docs, active, generate, k, search=search).withColumn("round", F.lit(n)))
         out = answered if out is None else out.unionByName(answered)
         going = answered if done is None else answered.where(~F.coalesce(done, F.lit(False)))
         active = queries.join(going.select("qid", "answer"), "qid").select("qid", F.concat_ws(" ", "text", "answer").alias("text"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ragloom.functions import metrics as M
+from ragloom.operators import index as I
 from ragloom.operators import retrieval as R
 from ragloom.plans.text_queries import _toolkit
+from ragloom.session import scratch_path
 from ragloom.tables import table
 
 
@@ -28,6 +30,20 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir))
 
 
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a stored index of the English documents, after the others were appended, and after the segments were merged."""
+    rows, asked, path = table(spark, sf_dir, "documents", spread=True), _asked(spark, sf_dir), scratch_path(spark, "index")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    I.create(rows.where(english).select("doc_id", "text"), path, buckets=16)
+    found = [I.bm25(spark, path, asked)]
+    I.append(rows.where(~english).select("doc_id", "text"), path)
+    found.append(I.bm25(spark, path, asked))
+    I.merge(spark, path)
+    found.append(I.bm25(spark, path, asked))
+    first, second, third = (hits.withColumn("state", F.lit(state)) for hits, state in zip(found, ("created", "appended", "merged")))
+    return first.unionByName(second).unionByName(third)
+
+
 def _two_settings(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Hits of two parameter settings from the same postings."""
     p = R.postings(_docs(spark, sf_dir), _asked(spark, sf_dir))
@@ -116,7 +132,7 @@ def best_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, rrf_fuse, hits_concat, lexical_rerank, pack_budget, recall_precision_at_k, retrieval_cache_aside, dense_topk, knn_label_vote, document_vote, answer_vote, replug_mix,
+        bm25_topk, bm25_stored, rrf_fuse, hits_concat, lexical_rerank, pack_budget, recall_precision_at_k, retrieval_cache_aside, dense_topk, knn_label_vote, document_vote, answer_vote, replug_mix,
         max_score_merge, best_chain,
     )
 }
@@ -144,6 +160,9 @@ s as (select qid, vec_id as doc_id, label, round(list_sum(list_transform(range(1
 hits as (select * from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from s) where rank <= 10)"""
 ORACLE_SQL = {
     "bm25_topk": f"{_HITS} select qid, doc_id, rank, score from hits",
+    "bm25_stored": f"""
+select qid, doc_id, rank, score, 'created' as state from (with {_POSTS.replace("from documents", "from documents where lang = 'en'")}, {_bm25('hits', 10)} select * from hits)
+union all select qid, doc_id, rank, score, state from (with {_POSTS}, {_bm25('hits', 10)} select * from hits), (values ('appended'), ('merged')) as s(state)""",
     "rrf_fuse": f"""with {_POSTS}, {_bm25('a', 10)}, {_bm25('b', 10, 0.9, 0.4)},
 f as (select qid, doc_id, round(sum(1.0::double / (60 + rank)), 12) as score from (select qid, doc_id, rank from a union all select qid, doc_id, rank from b) group by qid, doc_id)
 select * from (select qid, doc_id, row_number() over (partition by qid order by score desc, doc_id) as rank, score from f) where rank <= 10""",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.functions import fuzzy, parsers
-from ragloom.operators import joins, reward, traces
+from ragloom.operators import joins, kg, reward, traces
 
 
 @pytest.mark.parametrize("cutoff", [70.0, 85.0])
@@ -83,6 +83,30 @@ def test_long_trajectories_keep_their_digits(spark):
         assert got[i] == pytest.approx(cum, rel=1e-9)
 
 
+@pytest.mark.parametrize("gamma,lam,n", [(0.95, 0.0, 5), (0.95, 0.05, 300), (0.0, 0.9, 5), (0.01, 1.0, 700), (1.0, 1.0, 2000), (0.99, 0.95, 10_000)])
+def test_returns_and_advantages_for_any_gamma_and_lambda(spark, gamma, lam, n):
+    steps = [("a", i, float(i % 5) - 1, float(i % 3)) for i in range(n)] + [("b", 0, 2.0, 0.5), ("c", 1, None, 1.0), ("c", 2, 3.0, 0.0)]
+    df = spark.createDataFrame(steps, "key string, step int, reward double, value double").withColumn("delta", F.lit("kept"))
+    got = {(r.key, r.step): r.ret for r in reward.discounted_returns(df, gamma).collect()}
+    adv = {(r.key, r.step): (r.advantage, r.delta) for r in reward.gae(df.na.fill(0.0, ["reward"]), gamma, lam).collect()}
+    ret, total, after = {}, {}, {}
+    for key, step, r, v in reversed(steps):
+        ret[key] = (r or 0.0) + gamma * ret.get(key, 0.0)
+        total[key] = (r or 0.0) + gamma * after.get(key, 0.0) - v + gamma * lam * total.get(key, 0.0)
+        after[key] = v
+        assert got[key, step] == pytest.approx(ret[key], rel=1e-9, abs=1e-12) and adv[key, step] == (pytest.approx(total[key], rel=1e-9, abs=1e-9), "kept")
+    with pytest.raises(ValueError):
+        reward.discounted_returns(df, 1.5)
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = spark.createDataFrame([("q", 1, "P1", "h", "r", "t", 1.0, "a", "b", "c", "d")], "qid string, pos int, pid string, h string, r string, t string, score double, nth string, most string, place string, taxonomic string")
+    assert kg.quotas(rows).select("nth", "most").collect() == [("a", "b")]
+    assert kg.taxonomic_cap(rows).select("nth", "most", "place", "taxonomic").collect() == [("a", "b", "c", "d")]
+    named = rows.select("qid", "score", F.col("nth").alias("mean"), F.col("most").alias("var"), F.col("place").alias("std"))
+    assert reward.whitened(named, "score").select("mean", "var").collect() == reward.group_advantage(named, "qid", "score").select("mean", "var").collect() == [("a", "b")]
+
+
 def test_parsers(spark):
     df = spark.createDataFrame([("Thought: a\nAction: Look[x]\nAction: Find[y z]\nObservation: o", "Action: ```python\nprint(1)\n```", "none")], "a string, b string, c string")
     r = df.select(*[parsers.action(F.col(c)).alias(c) for c in "abc"], parsers.compression_distance("a", "a").alias("same"), parsers.compression_distance("a", "b").alias("other"), parsers.rating(F.col("c")).alias("none")).first()
