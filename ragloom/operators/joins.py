@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ragloom.functions.fuzzy import fuzzy_link
 from ragloom.operators import kg
-from ragloom.operators.retrieval import ranked_hits
+from ragloom.operators.retrieval import cosine, ranked_hits
 
 
 def cached_subgraphs(seeds: DataFrame, cache: DataFrame) -> DataFrame:
@@ -63,6 +63,21 @@ def link_confidence(mentions: DataFrame, entities: DataFrame, cutoff: float = 85
     return found.select("mention", F.col("qid_linked").alias("entity_id"), F.lit(1.0).alias("confidence")).unionByName(near)
 
 
+def context_confidence(steps: DataFrame, vectors: DataFrame, contexts: DataFrame, exact: DataFrame) -> DataFrame:
+    """``key`` and ``confidence`` of each step: the mean over its entities of (cos + 1) / 2, cut at 0, of the entity's vector and the step's context vector.
+
+    ``steps``: key, entities (array); ``vectors``: entity, v; ``contexts``: key, v; ``exact``: entity, confidence, which counts where a vector is missing (0 where that is too). A step without
+    entities has 0; an entity that a step has twice counts twice.
+    """
+    each = steps.select("key", F.explode("entities").alias("entity"))
+    rows = each.join(vectors.select("entity", F.col("v").alias("own")), "entity", "left").join(contexts.select("key", F.col("v").alias("around")), "key", "left")
+    rows = rows.join(exact.select("entity", F.col("confidence").alias("known")), "entity", "left")
+    near = F.greatest(F.lit(0.0), (cosine(F.col("own"), F.col("around")) + 1.0) / 2.0)
+    score = F.when(F.col("own").isNotNull() & F.col("around").isNotNull(), near).otherwise(F.coalesce("known", F.lit(0.0)))
+    means = rows.groupBy("key").agg(F.avg(score).alias("confidence"))
+    return steps.select("key").distinct().join(means, "key", "left").select("key", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
 def merged_graphs(static: DataFrame, dynamic: DataFrame) -> DataFrame:
     """The triples of both graphs, each once for a question."""
     columns = ["qid", "h", "r", "t"]

@@ -14,6 +14,11 @@ from pyspark.sql.window import Window
 from ragloom.operators import kg_tables as T
 from ragloom.session import fresh
 
+# What a known link scores.
+OVERRIDE_SCORE, OVERRIDE_MARGIN = 0.95, 0.50
+#: Known links up to which they are broadcast.
+OVERRIDE_ROWS = 100_000
+
 
 def one_hop(seeds: DataFrame, edges: DataFrame, limit: int = 30, relations: list[str] | None = None) -> DataFrame:
     """``qid``, ``hop``, ``pos``, ``h``, ``r``, ``t``: the first ``limit`` edges of each seed by relation and tail.
@@ -198,6 +203,23 @@ def link_decisions(scored: DataFrame, least_score: float = 0.15, least_margin: f
     return rows.select("mention", F.when(reason.isNull(), F.col("entity_id")).alias("entity_id"), "score", margin.alias("margin"), reason.alias("abstained"))
 
 
+def overridden(decisions: DataFrame, mentions: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``link_decisions`` with a table of known links before them: mention, entity_id, score, margin, abstained.
+
+    ``mentions``: mention, expected_types (array or null); ``overrides``: mention (cleaned), kind, entity_id. Of a mention's overrides the one of its first expected type that has one counts, else the
+    kind ``default``; a mention with neither is left to its decision, and one without a decision has no candidates.
+    """
+    clean = F.lower(F.trim(F.regexp_replace("mention", r"\s+", " ")))
+    table = overrides.groupBy(F.col("mention").alias("known")).agg(F.map_from_entries(F.collect_list(F.struct("kind", "entity_id"))).alias("fixes"))
+    rows = mentions.join(F.broadcast(table) if overrides.count() <= OVERRIDE_ROWS else table, clean == F.col("known"), "left").join(decisions, "mention", "left")
+    kinds = F.concat(F.coalesce("expected_types", F.array().cast("array<string>")), F.array(F.lit("default")))
+    fix = F.get(F.filter(F.transform(kinds, lambda k: F.try_element_at("fixes", k)), lambda x: x.isNotNull()), F.lit(0))
+    rows = rows.withColumn("fix", fix)
+    pick = lambda known, found: F.when(F.col("fix").isNotNull(), known).otherwise(found)
+    reason = F.coalesce("abstained", F.when(F.col("score").isNull(), "no candidates"))
+    return rows.select("mention", pick(F.col("fix"), F.col("entity_id")).alias("entity_id"), pick(F.lit(OVERRIDE_SCORE), F.col("score")).alias("score"), pick(F.lit(OVERRIDE_MARGIN), F.col("margin")).alias("margin"), pick(F.lit(None), reason).alias("abstained"))
+
+
 def relevant_triples(triples: DataFrame, contexts: DataFrame, top: int) -> DataFrame:
     """The ``top`` triples of each question by words shared with its context, ties by position; in their own order if none shares any.
 

@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ragloom.session import fresh
 
 
 def summary(rows: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
@@ -113,28 +116,54 @@ def _uniform(keys: np.ndarray, draw: int, seed: int) -> np.ndarray:
 
 
 def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, resamples: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Mean difference, its bootstrap interval and a two-sided p, by Poisson resampling.
+    """Mean difference, its bootstrap interval and a two-sided p, by Poisson resampling: ``paired_bootstrap_by`` of one group."""
+    return paired_bootstrap_by(rows, [], key, a, b, resamples, seed, level).select("low", "high", "p", "mean_diff")
+
 
-    Each task draws a Poisson(1) weight for each of its rows and resamples, from the row's key, and gives ``resamples`` sums; these are added up.
-    No task sees all rows, and the result doesn't depend on the partitions.
+def paired_bootstrap_by(rows: DataFrame, groups: list[str], key: str, a: str, b: str, resamples: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """``paired_bootstrap`` of every group (a data set, a metric) in one pass: the groups, n, mean_diff, low, high, p.
+
+    Each task draws a Poisson(1) weight for each item and resample, from the item's key alone, so all groups share the weights of an item, and adds up ``resamples`` sums for each of its groups;
+    tasks' sums are added up. No task sees all rows, and the result doesn't depend on the partitions. A pair of which one value is missing is left out. Groups are few: a task holds their sums.
     """
     steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    one, name, code_of = fresh("one", rows), fresh("group", rows), fresh("code", rows)
+    d = rows.select(F.xxhash64(key).alias("k"), (F.col(a).cast("double") - F.col(b).cast("double")).alias("d"), F.to_json(F.struct(*groups, F.lit(1).alias(one))).alias(name), *groups).where("d is not null")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, total = np.zeros(resamples), np.zeros(resamples)
+        weight: dict[str, np.ndarray] = {}
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             keys, d = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            coded = batch.column(2).dictionary_encode()
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            w_of, s_of = np.empty((len(names), resamples)), np.empty((len(names), resamples))
             for i in range(resamples):
-                w = np.searchsorted(steps, _uniform(keys, i, seed))
-                weight[i] += w.sum()
-                total[i] += (w * d).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(weight), pa.array(total)], names=["i", "w", "s"])
-
-    d = rows.select(F.xxhash64(key).alias("k"), (F.col(a).cast("double") - F.col(b).cast("double")).alias("d")).where("d is not null")
-    sums = d.mapInArrow(draw, "i long, w double, s double").groupBy("i").agg((F.sum("s") / F.sum("w")).alias("mean"))
+                w = np.searchsorted(steps, _uniform(keys, i, seed)).astype(np.float64)
+                w_of[:, i], s_of[:, i] = np.bincount(code, w, len(names)), np.bincount(code, w * d, len(names))
+            for g, w_row, s_row in zip(names, w_of, s_of):
+                weight[g] = weight.get(g, 0.0) + w_row
+                total[g] = total.get(g, 0.0) + s_row
+        for g in weight:
+            yield pa.RecordBatch.from_arrays([pa.array([g] * resamples, pa.string()), pa.array(np.arange(resamples)), pa.array(weight[g]), pa.array(total[g])], names=["g", "i", "w", "s"])
+
+    sums = d.select("k", "d", name).mapInArrow(draw, "g string, i long, w double, s double").groupBy(F.col("g").alias(code_of), "i").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
     low, high = (1 - level) / 2, (1 + level) / 2
     tails = F.least(F.avg((F.col("mean") <= 0).cast("double")), F.avg((F.col("mean") >= 0).cast("double")))
-    return sums.agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(high)).alias("high"), F.least(F.lit(1.0), 2 * tails).alias("p")).crossJoin(F.broadcast(d.agg(F.avg("d").alias("mean_diff"))))
+    ends = sums.groupBy(code_of).agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(high)).alias("high"), F.least(F.lit(1.0), 2 * tails).alias("p"))
+    means = d.groupBy(name, *groups).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"))
+    return means.join(F.broadcast(ends), F.col(name) == F.col(code_of)).select(*groups, "n", "mean_diff", "low", "high", "p")
+
+
+def adjusted(tests: DataFrame, p: str = "p", families: list[str] | None = None) -> DataFrame:
+    """``tests``, a row for each, with ``p_holm`` (the family's error rate) and ``p_bh`` (the rate of false discoveries) for all tests of a family."""
+    n, place = fresh("n", tests), fresh("place", tests)
+    family = Window.partitionBy(*(families or [F.lit(0)]))  # tests are few
+    rows = tests.withColumn(n, F.count(p).over(family)).withColumn(place, F.row_number().over(family.orderBy(F.col(p).asc_nulls_last())))
+    holm = F.max(F.col(p) * (F.col(n) - F.col(place) + 1)).over(family.orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    bh = F.min(F.col(p) * F.col(n) / F.col(place)).over(family.orderBy(F.col(place).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    known = lambda x: F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), x))
+    return rows.withColumn("p_holm", known(holm)).withColumn("p_bh", known(bh)).drop(n, place)
 
 
 def calibration_loss(rows: DataFrame, label: Column, chance: Column, weight: float = 0.1) -> DataFrame:

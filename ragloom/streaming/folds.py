@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ragloom.operators import curate
 from ragloom.session import scratch_path
+from ragloom.sources import sinks
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -30,21 +32,50 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def last_wins(stream: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """Fold an append-only stream to the last value of each key, a batch at a time, each into a new version of the table."""
+def keyed_last(stream: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """The changes of each key's last value: key, value, ``at`` (the order, as numbers), with one value for each key as state.
+
+    Order columns are timestamps or integers. A batch of a key is read in pieces, of which only the last row counts, so a hot key's batch isn't held as a whole; a row no later than the state changes nothing.
+    """
+    as_number = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if stream.schema[c].dataType.typeName().startswith("timestamp") else F.col(c).cast("long")
+    rows = stream.select(F.col(key).alias("key"), F.col(value).cast("string").alias("value"), *[as_number(c).alias(f"at{i}") for i, c in enumerate(order)])
+    places = [f"at{i}" for i in range(len(order))]
+
+    def fold(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get if state.exists else None
+        changed = False
+        for frame in frames:
+            top = frame.sort_values(places).iloc[-1]
+            at = tuple(int(top[c]) for c in places)
+            if last is None or at > tuple(last[1:]):
+                last, changed = (None if pd.isna(top["value"]) else str(top["value"]), *at), True
+        if changed:
+            state.update(last)
+            yield pd.DataFrame({"key": [keys[0]], "value": pd.Series([last[0]], dtype="object"), **{c: [last[1 + i]] for i, c in enumerate(places)}})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    of = ", ".join(f"{c} long" for c in places)
+    changes = rows.groupBy("key").applyInPandasWithState(fold, f"key {kind}, value string, {of}", f"value string, {of}", "update", GroupStateTimeout.NoTimeout)
+    back = F.col("value").cast(stream.schema[value].dataType)
+    return changes.select(F.col("key").alias(key), back.alias(value), F.struct(*places).alias("at"))
+
+
+def last_wins(stream: DataFrame, key: str, value: str, order: list[str], base: str | None = None) -> DataFrame:
+    """Fold an append-only stream to the last value of each key: a batch writes what it changed, and the changes are folded once at the end.
+
+    With the ``base`` of an earlier run it goes on from there: state, changes and the place in the source are kept. A batch that is run again after a failure overwrites its own changes.
+    """
     spark = stream.sparkSession
-    base = scratch_path(spark, "fold")
+    base = base or scratch_path(spark, "fold")
 
-    def fold(batch: DataFrame, number: int) -> None:
-        new = batch.select(key, value, F.struct(*order).alias("at"))
-        if number:
-            new = new.unionByName(spark.read.parquet(f"{base}/{number - 1}"))
-        new.groupBy(key).agg(F.max_by(value, "at").alias(value), F.max("at").alias("at")).write.mode("overwrite").parquet(f"{base}/{number}")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/changes/batch={number}")
 
-    query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start()
+    query = keyed_last(stream, key, value, order).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = max((p["batchId"] for p in query.recentProgress), default=0)
-    return spark.read.parquet(f"{base}/{last}").select(key, value)
+    folded = f"{base}/folded-{uuid.uuid4().hex}"
+    sinks.compact(f"{base}/changes", folded, spark, key, value, "at")
+    return spark.read.parquet(folded).select(key, value)
 
 
 def windowed(stream: DataFrame, time: str, keys: list[str], value: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
