@@ -32,6 +32,21 @@ def test_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 250
 
 
+def test_blocks_are_bounded_by_bytes_and_change_no_score(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 8 * 32 * 50)  # 50 rows of 32 dimensions
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 32)).astype(np.float32)
+    rows = [(i, x[i].tolist()) for i in range(1500)]
+    hits = 0
+    found = ann.neighbours(spark.createDataFrame([(i, v, "s") for i, v in rows], SCHEMA)).collect()
+    for q in range(0, 1500, 100):
+        exact = dict(brute(rows, q, 1499))
+        own = [r for r in found if r.query_id == q]
+        assert all(r.score == pytest.approx(exact[r.vec_id], abs=1e-12) for r in own) and len(own) == 10
+        hits += len({r.vec_id for r in own} & {i for i, _ in brute(rows, q)})
+    assert hits >= 0.9 * 150
+
+
 def test_equal_vectors_tie_to_smaller_ids(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(i, [float(i), 1.0, 0.0]) for i in range(401, 431)]
     found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.neighbours(spark.createDataFrame([(i, v, "s") for i, v in rows], SCHEMA)).collect())
