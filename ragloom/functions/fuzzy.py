@@ -52,52 +52,57 @@ def word_sorted(text: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), " ")
 
 
-def _segment_keys(text: Column, cutoff: float, whole: bool) -> Column:
-    """Keys of which every pair of texts at the cutoff shares one.
+#: The least ratio at which a text is known to keep a pair of neighbouring letters of every text like it.
+LEAST_CUTOFF = 67.0
+#: Labels of a key that are compared in one task; more are dealt over parts.
+KEY_ROWS = 4096
 
-    For lengths a and b the cutoff allows d = (1 - cutoff / 100) (a + b) insertions and deletions. Of d + 1 segments of the one text at least one is left whole, so it
-    stands in the other, d places away at most. A key names both lengths and a segment: ``whole`` gives the segments of a text for each length of the other,
-    otherwise the substrings where they may stand.
-    """
-    share = 1.0 - cutoff / 100.0
-    size = F.length(text)
-    low = F.ceil(size * F.lit((1 - share) / (1 + share)) - 1e-9).cast("int")
-    others = F.sequence(F.greatest(F.lit(1), low), F.greatest(F.lit(1), F.floor(size * F.lit((1 + share) / (1 - share)) + 1e-9).cast("int")))
 
-    def keys(other: Column) -> Column:
-        a, b = (size, other) if whole else (other, size)
-        d = F.floor(F.lit(share) * (a + b) + 1e-9).cast("int")
-        n = F.least(d + 1, a)
-        begin = lambda k: F.floor(k * a / n).cast("int")
+def _prefix_size(size: Column, cutoff: float) -> Column:
+    """How many of a text's letter pairs, in one order for all texts, have to be looked at so that two texts at the cutoff share one of those.
 
-        def segment(k: Column) -> Column:
-            at, length = begin(k), begin(k + 1) - begin(k)
-            name = F.concat_ws("|", a, b, k)
-            if whole:
-                return F.array(F.concat_ws("|", name, F.substring(text, at + 1, length)))
-            first, last = F.greatest(F.lit(0), at - d), F.least(b - length, at + d)
-            places = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.expr("cast(array() as array<int>)"))
-            return F.transform(places, lambda p: F.concat_ws("|", name, F.substring(text, p + 1, length)))
+    Texts of a and b letters at a ratio c have L >= c (a + b) / 2 letters in common in order. A letter of the one that isn't costs two of its pairs, one of the other's at most one, so at most
+    2 (a - L) + (b - L) of the a + 1 pairs (the ends count as letters) aren't shared; over all b that the ratio allows that is largest for the shortest.
+    """
+    c = cutoff / 100.0
+    shortest = F.ceil(size * F.lit(c / (2 - c)) - 1e-9)
+    return F.floor(size * F.lit(2 - 1.5 * c) + shortest * F.lit(1 - 1.5 * c) + 1e-9).cast("int") + 1
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), segment))
 
-    return F.array_distinct(F.flatten(F.transform(others, keys)))
+def _letter_pairs(texts: DataFrame) -> DataFrame:
+    """``text``, ``size``, ``key``: each pair of neighbouring letters of a text (the ends marked), with a number for each repeat."""
+    marked = F.concat(F.lit("\x02"), "text", F.lit("\x03"))
+    each = texts.select("text", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") + 1), lambda i: F.substring(marked, i, F.lit(2)))).alias("pair"))
+    counted = each.groupBy("text", "pair").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("text", F.length("text").alias("size"), F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: F.concat("pair", i.cast("string")))).alias("key"))
 
 
 def fuzzy_link(mentions: DataFrame, labels: DataFrame, cutoff: float = 85.0) -> DataFrame:
-    """The best label for each mention at a ratio of ``cutoff`` (over 50) or more, ties to the smaller label: mention, label, ratio.
+    """The best label for each mention at a ratio of ``cutoff`` (67 or more) or over, ties to the smaller label: mention, label, ratio.
 
-    Complete: candidates share a segment that no pair at the cutoff can be without. Empty texts are linked to none.
+    Complete: candidates share a letter pair among the rarest of each, of as many as no pair of texts at the cutoff can all miss; lengths that the ratio rules out aren't compared. Pairs of letters
+    that many labels still have are dealt over parts. Empty texts are linked to none.
     """
-    left = mentions.select("mention").distinct().withColumn("a", word_sorted(F.col("mention"))).where("a <> ''")
-    right = labels.select("label").distinct().withColumn("b", word_sorted(F.col("label"))).where("b <> ''")
-    left = left.select("mention", F.explode(_segment_keys(F.col("a"), cutoff, False)).alias("key"))
-    right = right.select("label", F.explode(_segment_keys(F.col("b"), cutoff, True)).alias("key"))
-    pairs = left.join(right, "key").select("mention", "label").distinct()
-    scored = pairs.withColumn("ratio", token_sort("mention", "label")).where(F.col("ratio") >= cutoff)
+    if cutoff < LEAST_CUTOFF:
+        raise ValueError(f"the cutoff is at least {LEAST_CUTOFF}")
+    left = mentions.select("mention").distinct().withColumn("text", word_sorted(F.col("mention"))).where("text <> ''")
+    right = labels.select("label").distinct().withColumn("text", word_sorted(F.col("label"))).where("text <> ''")
+    pairs = [_letter_pairs(side.select("text").distinct()) for side in (left, right)]
+    often = pairs[0].unionByName(pairs[1]).groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    rarest = Window.partitionBy("text").orderBy("often", "key")
+    a, b = (p.join(often, "key").withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= _prefix_size(F.col("size"), cutoff)).select("text", "size", "key") for p in pairs)
+    hot = b.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_ROWS).cast("int").alias("parts")).where("parts > 1")
+    part_of = lambda rows, part: rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)
+    a = part_of(a, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "part", F.col("text").alias("a"), F.col("size").alias("a_size"))
+    b = part_of(b, F.pmod(F.xxhash64("text"), F.col("parts")).cast("int")).select("key", "part", F.col("text").alias("b"), F.col("size").alias("b_size"))
+    # 2 L / (a + b) is at most 2 min(a, b) / (a + b).
+    near = 2 * F.least("a_size", "b_size") >= F.lit(cutoff / 100.0 - 1e-9) * (F.col("a_size") + F.col("b_size"))
+    found = a.join(b, ["key", "part"]).where(near).select("a", "b").distinct()
+    found = found.withColumn("ratio", token_sort("a", "b")).where(F.col("ratio") >= cutoff)
+    scored = left.join(found, left["text"] == found["a"]).join(right.select("label", F.col("text").alias("b")), "b").select("mention", "label", "ratio")
     best = Window.partitionBy("mention").orderBy(F.col("ratio").desc(), "label")
-    found = scored.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
-    return mentions.join(found, "mention", "left")
+    first = scored.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+    return mentions.join(first, "mention", "left")
 
 
 def pooled(vectors: np.ndarray, mask: np.ndarray, method: str = "mean") -> np.ndarray:

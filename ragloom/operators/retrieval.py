@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,20 +84,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), 0.0).otherwise(dot(a, b) / norms)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = 4096) -> DataFrame:
-    """Exact top ``k`` by inner product: ``vectors`` has doc_id, v; ``queries`` qid, v.
+#: Rows of vectors and of queries that are multiplied at a time, queries in a block, and blocks that are broadcast at a time.
+VECTOR_ROWS, QUERY_ROWS, BLOCK_ROWS, BLOCKS = 2048, 512, 4096, 4
 
-    The queries are dealt into blocks of a bounded size and the vectors into parts. A block meets each part in a task of its own, where only the ``k`` best of each
-    query go on; so neither many queries nor one block gathers all vectors.
+
+def _packed(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of (id, vector) as blocks of up to ``most``: ``ids`` in order and ``m``, their vectors as doubles. Rows without a vector are left out."""
+    id_col, v_col = rows.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                some = batch.slice(at, most)
+                some = some.take(pc.sort_indices(some.column(0)))
+                m = some.column(1).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0)), pa.array([m.tobytes()], pa.binary())], names=["ids", "m"])
+
+    return rows.where(F.col(v_col).isNotNull()).select(id_col, F.col(v_col).cast("array<double>")).mapInArrow(pack, f"ids array<{rows.schema[id_col].dataType.simpleString()}>, m binary")
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top ``k`` by inner product: ``vectors`` has doc_id, v; ``queries`` qid, v; all vectors have one length.
+
+    The vectors stay where they are and are packed into blocks; queries are dealt into blocks of about ``query_rows``, ``BLOCKS`` of which are broadcast at a time, so a broadcast is bounded and more queries
+    read the vectors again. A task multiplies block by block, and of each product only the ``k`` best of each query go on, ties to the smaller doc_id.
     """
-    blocks = max(1, -(-queries.count() // query_rows))
-    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), vectors.sparkSession.sparkContext.defaultParallelism)
-    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    asked = queries.select("qid", F.col("v").alias("q"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")).select("*", each(parts, "part"))
-    found = vectors.select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")).select("*", each(blocks, "block"))
-    scored = found.join(asked, ["block", "part"]).select("qid", "doc_id", "part", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
-    best = Window.partitionBy("qid", "part").orderBy(F.col("score").desc(), "doc_id")
-    return ranked_hits(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), k)
+    n_blocks = max(1, -(-queries.count() // query_rows))
+    blocks = cut(_packed(queries.select("qid", "v").repartition(n_blocks, F.xxhash64("qid")), 2 * query_rows).withColumn("block", F.spark_partition_id()))
+    found = _packed(vectors.select("doc_id", "v"), VECTOR_ROWS)
+    qid, doc = queries.schema["qid"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                docs, asked = batch.column("ids")[i].values, batch.column("q_ids")[i].values
+                v, q = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(len(ids), -1) for c, ids in (("m", docs), ("q_m", asked)))
+                least = min(k, len(docs))
+                for at in range(0, len(q), QUERY_ROWS):
+                    score = np.round(q[at : at + QUERY_ROWS] @ v.T, 6)
+                    # Documents are in order of id, so a stable sort leaves ties to the smaller one.
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :least]
+                    rows = np.repeat(np.arange(at, at + len(score)), least)
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows)), docs.take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())], names=["qid", "doc_id", "score"])
+
+    scored = None
+    for first in range(0, n_blocks, BLOCKS):
+        some = blocks.where(F.col("block").between(first, first + BLOCKS - 1)).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+        part = found.crossJoin(F.broadcast(some)).mapInArrow(multiply, f"qid {qid}, doc_id {doc}, score double")
+        scored = part if scored is None else scored.unionByName(part)
+    return ranked_hits(scored, k)
 
 
 def rrf(hits: DataFrame, k: int = 50, constant: int = RRF_K) -> DataFrame:

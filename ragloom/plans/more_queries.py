@@ -116,7 +116,20 @@ w as (select *, lower(label) as l, lower(mention) as m, lower(description) as d,
 s as (select mention, entity_id, round(greatest(0.0, least(1.0, (case when l = m then 0.30 when contains(l, m) or contains(m, l) then 0.20 else 0.10 end)::double
   + 0.30::double * least(1.0, len(list_intersect(dw, qw))::double / greatest(1, len(dw))) + (case when contains(d, 'steel') or contains(d, 'brass') then 0.20 else 0.0 end)::double
   - (case when d = 'wikimedia list' then 0.50 else 0.0 end)::double)), 9) as score from w)"""
+_ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLE_SQL = {
+    "answer_extractors": rf"""
+with m as (select conv_id, turn, case turn % 4 when 0 then 'Question: x' || chr(10) || text || chr(10) || 'So the final answer is: Rome ' || chr(10) || 'end' when 1 then text || ' So the answer is: Oslo' || chr(10)
+  when 2 then '<ANSWER> Bonn ' || chr(10) || '</answer>' || text else 'Answer: B or C' || chr(10) || text end as p from conversations where text is not null),
+l as (select *, string_split(p, chr(10)) as raw, list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x, {_ENDS})), lambda x: x <> '') as lines from m)
+select conv_id, turn,
+  coalesce(trim(string_split(list_filter(raw, lambda x: contains(x, 'So the final answer is: '))[1], 'So the final answer is: ')[2], {_ENDS}), '') as self_ask,
+  sha256(case when contains(p, 'So the answer is:') then trim(string_split(p, 'So the answer is:')[2], {_ENDS}) else p end) as chain,
+  sha256(trim(raw[1], {_ENDS})) as first_line,
+  sha256(coalesce(list_filter(lines, lambda x: not starts_with(x, 'Question:') and not starts_with(x, 'Answer:') and length(x) > 3)[1], lines[1], '')) as content_line,
+  sha256(case when regexp_matches(p, '(?is)<answer>.*?</answer>') then trim(regexp_extract(p, '(?is)<answer>\s*(.*?)\s*</answer>', 1), {_ENDS})
+    else coalesce(trim(regexp_replace(list_filter(lines, lambda x: regexp_matches(x, '(?i)^(answer|final answer)\s*[:：]'))[1], '(?i)^(answer|final answer)\s*[:：]\s*', ''), {_ENDS}), lines[-1], '') end) as tagged,
+  coalesce(regexp_extract_all(p, '[A-D]')[-1], '') as choice from l""",
     "bleu_corpus": f"""with {text_queries._PAIRS},
 c as (select row_number() over () as id, list_filter(string_split_regex(regexp_replace(pred, '[^a-zA-Z ]', ' ', 'g'), ' +'), lambda w: w <> '') as p,
   list_filter(string_split_regex(regexp_replace(gold, '[^a-zA-Z ]', ' ', 'g'), ' +'), lambda w: w <> '') as g from pairs),

@@ -107,7 +107,17 @@ QUERIES = {
 
 _U = {n: f"(l_partkey % {n} + 1)::double" for n in (2, 3, 4, 5, 6, 7, 8, 9, 10, 11)}
 _WHOLE = f"({_U[4]} + {_U[6]} + {_U[8]} + {_U[9]} + {_U[10]})"
+_RAG = f"""
+with {retrieval_queries._POSTS}, {retrieval_queries._bm25("hits", 5)}, {retrieval_queries._TEXTS}, {retrieval_queries._RERANKED},
+r as (select qid, doc_id, rank, d.text from (select qid, doc_id, row_number() over (partition by qid order by score desc, doc_id) as rank from s) join documents d using (doc_id) where rank <= 5),
+p as (select qid, rank, text, text[1:1200] as part, length(text[1:1200]) // 4 as tokens from r),
+b as (select *, sum(tokens) over (partition by qid order by rank) as upto, row_number() over (partition by qid order by rank) as nth from p),
+k as (select qid, rank, case when nth = 1 and upto > 600 then part[1:2400] when upto <= 600 then text when upto - tokens <= 600 and 600 - (upto - tokens) > 200 then part[1:(600 - (upto - tokens)) * 4] || ' ...' end as packed from b),
+j as (select qid, string_agg(packed, chr(10) order by rank) as passages from k where packed is not null group by qid),
+answers as (select item_id as qid, string_split_regex(regexp_replace(trim(coalesce(passages, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1] as answer
+  from benchmark left join j on j.qid = item_id)"""
 ORACLE_SQL = {
+    "rag_sequential": f"{_RAG} select qid, answer from answers",
     "sure_pairwise": """
 select a.l_orderkey as qid, a.l_linenumber as i, sum(case when a.l_quantity > b.l_quantity then 1.0 when a.l_quantity = b.l_quantity then 0.5 else 0.0 end)::double as wins
 from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber <> b.l_linenumber group by 1, 2""",

@@ -154,6 +154,13 @@ whole as (select count(*) as n, avg(len(terms)) as avgdl from sized),
 posts as (select doc_id, term, any_value(dl) as dl, count(*) as tf from (select doc_id, len(terms) as dl, unnest(terms) as term from sized) group by doc_id, term)"""
 _HITS = f"with {_POSTS}, {_bm25('hits', 10)}"
 _TEXTS = "texts as (select h.qid, h.doc_id, h.rank, d.text, b.text as query from hits h join documents d using (doc_id) join benchmark b on b.item_id = h.qid)"
+_RERANKED = """
+w as (select qid, doc_id, lower(text) as t, greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))) as len,
+  unnest(list_filter(string_split_regex(lower(query), '\\s+'), lambda x: x <> '')) as term from texts),
+c as (select qid, doc_id, term, any_value(len) as len, count(*) as q, any_value((length(t) - length(replace(t, term, ''))) / length(term)) as tf from w group by qid, doc_id, term),
+d as (select qid, term, count(*) filter (tf > 0) as df from c group by qid, term),
+n as (select qid, count(distinct doc_id) as n from hits group by qid),
+s as (select qid, doc_id, round(sum(q * (tf / len) * (ln((n + 1)::double / (df + 1)) + 1)), 6) as score from c join d using (qid, term) join n using (qid) group by qid, doc_id)"""
 _DENSE = """
 with q as (select label as qid, arg_min(embedding, vec_id) as v from embeddings group by label),
 s as (select qid, vec_id as doc_id, label, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i]::double * embedding[i]::double)), 6) as score from q, embeddings),
@@ -170,13 +177,7 @@ select * from (select qid, doc_id, row_number() over (partition by qid order by
 u as (select qid, doc_id, rank, 'a' as source from a union all select qid, doc_id, rank, 'b' from b),
 f as (select * from (select *, row_number() over (partition by qid, doc_id order by source, rank) as nth from u) where nth = 1)
 select qid, doc_id, row_number() over (partition by qid order by source, rank) as rank, source from f""",
-    "lexical_rerank": f"""{_HITS}, {_TEXTS},
-w as (select qid, doc_id, lower(text) as t, greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))) as len,
-  unnest(list_filter(string_split_regex(lower(query), '\\s+'), lambda x: x <> '')) as term from texts),
-c as (select qid, doc_id, term, any_value(len) as len, count(*) as q, any_value((length(t) - length(replace(t, term, ''))) / length(term)) as tf from w group by qid, doc_id, term),
-d as (select qid, term, count(*) filter (tf > 0) as df from c group by qid, term),
-n as (select qid, count(distinct doc_id) as n from hits group by qid),
-s as (select qid, doc_id, round(sum(q * (tf / len) * (ln((n + 1)::double / (df + 1)) + 1)), 6) as score from c join d using (qid, term) join n using (qid) group by qid, doc_id)
+    "lexical_rerank": f"""{_HITS}, {_TEXTS}, {_RERANKED}
 select * from (select qid, doc_id, row_number() over (partition by qid order by score desc, doc_id) as rank, score from s) where rank <= 10""",
     "pack_budget": f"""{_HITS}, {_TEXTS},
 p as (select qid, rank, text, text[1:1200] as part, length(text[1:1200]) // 4 as tokens from texts),

@@ -180,6 +180,12 @@ _MENTIONS = rf"list_filter(regexp_extract_all({_ASCII}, '\b([A-Z][a-z]+(?:\s+[A-
 _DISTINCT = lambda e: f"list_filter({e}, lambda m, i: list_position({e}, m) = i)"
 
 ORACLE_SQL = {
+    "passage_pool_dedup": r"""
+with p as (select item_id, string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as p from benchmark),
+s as (select item_id, unnest(range(len(p))) as pos, unnest(p) as passage from p),
+f as (select passage, min((item_id, pos)) as place from s where length(passage) >= 1 group by passage)
+select row_number() over (order by place) - 1 as id, passage from f""",
+
     "norm_answer_core": f"select doc_id, sha256({_core('text')}) as norm_sha256 from documents",
     "norm_answer_toolkit": f"select item_id, {_toolkit('text')} as norm from benchmark",
     "em_f1_pairs": f"""with {_PAIRS},

@@ -46,10 +46,16 @@ def prefix_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_labels_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of steps from their text: every edge of a question is cited in a step of its own, every third with a tail that no graph has."""
+    """Labels of steps from their text: every edge of a question is cited in a step of its own, every third with a tail that no graph has, and the step after that with such a tail beside its own.
+
+    Of five steps one concludes what the next one denies, so each is against the earlier of them.
+    """
     graph = kg.one_hop(kg_queries.questions(spark, sf_dir).select("qid", "seed"), kg_queries.edges(spark, sf_dir))
-    tail = F.when(F.col("pos") % 3 == 0, F.concat("t", F.lit(WRONG))).otherwise(F.col("t"))
-    body = F.concat(F.lit("Reasoning: we look at "), "h", F.lit(" and go on.\nConclusion: it was found\nKnowledge Used: ("), "h", F.lit(", "), "r", F.lit(", "), tail, F.lit(")"))
+    cite = lambda tail: F.concat(F.lit("("), "h", F.lit(", "), "r", F.lit(", "), tail, F.lit(")"))
+    right, wrong = cite(F.col("t")), cite(F.concat("t", F.lit(WRONG)))
+    cited = F.when(F.col("pos") % 3 == 0, wrong).when(F.col("pos") % 3 == 1, F.concat(right, F.lit(" "), wrong)).otherwise(right)
+    told = F.when(F.col("pos") % 5 == 3, "the bridge stands over water").when(F.col("pos") % 5 == 4, "the bridge never stands over water").otherwise("it was found")
+    body = F.concat(F.lit("Reasoning: we look at "), "h", F.lit(" and go on.\nConclusion: "), told, F.lit("\nKnowledge Used: "), cited)
     steps = graph.select("qid", F.col("pos").alias("index"), body.alias("body"), F.lit(False).alias("discourse"))
     return T.labelled_steps(steps, graph, least_graph=1).select("qid", "index", F.col("label").cast("double").alias("label"))
 
@@ -208,7 +214,8 @@ select conv_id, (n >= 3 and conv_id % 5 <> 0 and seq and filled) as valid, (n <
     "prefix_prompts": """
 select conv_id, row_number() over (partition by conv_id order by turn) - 1 as place,
   sha256('Question' || coalesce(chr(10) || string_agg(text, chr(10)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), '')) as prompt_sha256 from conversations where text is not null""",
-    "step_labels_text": f"with {kg_queries._GRAPH} select qid, pos as index, (case when pos % 3 = 0 then 0.0 else 1.0 end)::double as label from one",
+    "step_labels_text": f"""with {kg_queries._GRAPH}
+select qid, pos as index, (case when pos % 5 = 4 or pos % 5 = 3 and pos > 4 then -1.0 when pos % 3 = 0 then 0.0 when pos % 3 = 1 then 0.5 else 1.0 end)::double as label from one""",
     "hallucination_rates": """
 select l_orderkey as qid, case when max(l_orderkey % 4) > 0 then round(avg((l_partkey % 3 - 1 = -1)::int::double), 9) end as rate from lineitem group by 1""",
     "graph_fallback": """

@@ -30,7 +30,8 @@ def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def entity_cache(spark: SparkSession, path: str) -> DataFrame:
     """label, qid: blank and malformed lines are passed over; of a label's lines the last one in its file counts."""
     lines = spark.read.schema("label string, qid string, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    rows = lines.withColumn("at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    # Splits of a file needn't be numbered in their order, so its place in the file comes first.
+    rows = lines.withColumn("at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     rows = rows.where("_corrupt_record is null and label is not null").withColumn("label", F.lower(F.trim("label")))
     return rows.groupBy("label").agg(F.max_by("qid", "at").alias("qid"))
 

@@ -58,11 +58,6 @@ def csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def index(rows: DataFrame, path: str, bucket: str) -> None:
-    """Postings or vectors, partitioned by a bucket column."""
-    rows.write.mode("overwrite").partitionBy(bucket).parquet(path)
-
-
 def markdown(rows: DataFrame) -> str:
     """A small table as Markdown; more than ``REPORT_ROWS`` rows raise."""
     found = rows.limit(REPORT_ROWS + 1).collect()
