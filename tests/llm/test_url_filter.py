@@ -95,8 +95,8 @@ def test_words_held_out_as_well_as_sites():
 
 def test_host_path_and_rule_equal_sql(spark):
     sql = r"""
-    with u as (select page_id, coalesce(url, '') as url, strpos(coalesce(url, ''), '://') as at from pages),
-    r as (select page_id, case when at > 0 then substr(url, at + 3) else '' end as rest from u),
+    with u as (select page_id, coalesce(url, '') as url, strpos(coalesce(url, ''), '://') as mark from pages),
+    r as (select page_id, case when mark > 0 then substr(url, mark + 3) else '' end as rest from u),
     p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) as path from r),
     rules(verdict, rule, h, start) as (values ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'),
       ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/'))
