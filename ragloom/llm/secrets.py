@@ -52,7 +52,8 @@ BASE_RULES = (
 )
 # Further rules of the method, listed after the base rules.
 MORE_RULES = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN "),
+    # A private key to its END line, or its header alone where there is none; version 1 took the header of every key.
+    Rule("pem", 3, r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?", 0, 1, "-----BEGIN "),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, "gh"),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -65,7 +66,7 @@ PEM = (
     rf"|(?:(?:{_BREAK}*+[A-Za-z][A-Za-z-]*+: [^\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{32,}}+={{0,2}}+)++"
     rf"""(?:{_BREAK}++=?[A-Za-z0-9+/]{{1,63}}+={{0,2}}+(?=\s*(?:[\n"'\\]|$)))*+)?)"""
 )
-#: The rules of redaction. Version 1 of pem, which the scan's SQL fixes, matches the header of a key only.
+#: The rules of redaction. Their pem goes on to the last line of base64 where the END line is missing, which patterns without possessive parts and lookahead (those of the scan's SQL) can't say.
 CURRENT_RULES = BASE_RULES + tuple(Rule("pem", 2, PEM, 0, 1, "-----BEGIN ") if r.kind == "pem" else r for r in MORE_RULES)
 
 LEDGER = "blob string, scanned array<string>, findings array<struct<start:bigint,rule:string,stop:bigint>>"

@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from ragloom.llm import secrets
+import duckdb
+
+from ragloom.llm import queries, secrets
 
 PATTERNS = {
     "assign": (re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
@@ -58,7 +60,7 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert secrets.scan(docs_of(spark, TEXTS[:4]), "text", ledger, secrets.BASE_RULES).count() == 0
     # A new rule is run on old blobs, alone.
     added = secrets.scan(docs_of(spark, TEXTS[:4]), "text", ledger, secrets.RULES).collect()
-    assert {tuple(r.scanned) for r in added} == {("pem@1", "github@1")}
+    assert {tuple(r.scanned) for r in added} == {("pem@3", "github@1")}
     both = sorted(secrets.secret_spans(more, path).collect())
     assert both == sorted(secrets.secret_spans(more).collect())
 
@@ -107,9 +109,26 @@ def spans_of(spark, texts, path, rules):
 def test_a_report_takes_the_rule_versions_it_asks_for(spark, tmp_path):
     path = str(tmp_path / "ledger")
     key = "-----BEGIN PRIVATE KEY-----\n" + "A1b+" * 16 + "\n-----END PRIVATE KEY-----"
-    assert spans_of(spark, [key], path, secrets.RULES) == ["pem:0:27"]
-    assert spans_of(spark, [key], path, secrets.CURRENT_RULES) == [f"pem:0:{len(key)}"]
-    assert spans_of(spark, [key], path, secrets.RULES) == ["pem:0:27"]
+    cut = key[:80]
+    assert spans_of(spark, [key, cut], path, secrets.RULES) == [f"pem:0:{len(key)}", "pem:0:27"]
+    assert spans_of(spark, [key, cut], path, secrets.CURRENT_RULES) == [f"pem:0:{len(key)}", f"pem:0:{len(cut)}"]
+    first = secrets.BASE_RULES + (secrets.Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN "),)
+    assert spans_of(spark, [key, cut], path, first) == ["pem:0:27", "pem:0:27"]
+    assert spans_of(spark, [key, cut], path, secrets.RULES) == [f"pem:0:{len(key)}", "pem:0:27"]
+
+
+def test_spans_equal_sql_on_planted_keys(spark, tmp_path):
+    body = "\n" + "Ab1+/" * 30 + "\n"
+    texts = [f"a -----BEGIN {k} KEY-----{body}-----END {k} KEY----- token: abcdefghijkl" for k in ("PRIVATE", "RSA PRIVATE", "EC2 PRIVATE")] + [
+        "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n" + body + "-----END PGP PRIVATE KEY BLOCK-----é", "-----BEGIN PRIVATE KEY-----" * 3 + body, "-----BEGIN PUBLIC KEY-----", f"é -----BEGIN PRIVATE KEY-----{body}", None, "",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/docs/*.parquet'")
+    wanted = con.sql(f"select doc_id, n_assign, n_access, n_hex, base_sha256, spans from ({queries.ORACLE_SQL['op2_secret_scan']})").fetchall()
+    assert sorted(map(tuple, secrets.secret_spans(docs).collect())) == sorted(wanted)
+    assert [s.startswith("pem:") for *_, s in sorted(wanted)] == [True] * 5 + [False, True, False, False]
 
 
 def test_version_bump_reordered_and_removed_rules(spark, tmp_path):
