@@ -10,8 +10,8 @@ different lengths mostly sample the same steps, without a bound on the length. E
 
 ``near_classes`` finds similar documents: bands of sampled digits are join keys, and candidates are verified on the whole fingerprints.
 
-Edge cases: a null text is empty; an empty text's fingerprint is all zeros; equal texts have equal fingerprints; the next document of a single one is itself; a null doc_id comes
-first, and rows with the same doc_id are ordered by text; an empty table gives an empty result. Only doc_id and text are read.
+Edge cases: a null text is empty; an empty text's fingerprint is all zeros; equal texts have equal fingerprints; the next document of a single one is itself; null doc_ids come
+first, dealt over buckets by a hash of their text and ordered by text in each, and rows with the same doc_id are ordered by text; an empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -154,7 +154,10 @@ def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     bounds = sorted(set(rows.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
     limits = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.expr("cast(array() as array<double>)")
-    place = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(limits, lambda b: b <= F.col("doc_id").cast("double"))))
+    # Rows without an id come first, dealt by a hash of their text over as many buckets of their own as is their share.
+    n, unknown = rows.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    own = -(-buckets * unknown // n) if unknown else 0
+    place = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(max(own, 1)))).otherwise(own + F.size(F.filter(limits, lambda b: b <= F.col("doc_id").cast("double"))))
     placed = rows.withColumn("bucket", place.cast("int"))
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
     firsts = placed.groupBy("bucket").agg(F.min(key).alias("key")).select(F.col("bucket").alias("b"), "key")
@@ -164,7 +167,7 @@ def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     before = F.coalesce(F.lag("bucket").over(turn), F.max("bucket").over(Window.partitionBy()))
     extra = heads.select("doc_id", "text", before.alias("bucket"), F.lit(True).alias("extra"))
     both = placed.withColumn("extra", F.lit(False)).unionByName(extra)
-    return both.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    return both.repartitionById(buckets + own, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def compare(docs: DataFrame, buckets: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ragloom.llm import edit_print
 
@@ -79,6 +80,39 @@ def test_nulls_repeats_and_small_tables(spark):
     assert edit_print.compare(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_a_majority_without_an_id_is_spread(spark):
+    many = [t for t in texts(120, seed=5) if t]
+    docs = spark.createDataFrame([(None, t) for t in many] + [(7, "seven"), (3, "three")], "doc_id long, text string")
+    rows = edit_print.compare(docs, buckets=6).collect()
+    assert len(rows) == len(many) + 2 and sorted(r.n_chars for r in rows if r.doc_id is None) == sorted(map(len, many))
+    parts = edit_print.in_order(docs, buckets=6).where("doc_id is null and not extra").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 6 and max(r["count"] for r in parts) < len(many) / 2
+    # Every document but one is followed by another one, so each text's start ends one other's edited text.
+    print_of = {r.fingerprint for r in rows}
+    assert {edit_print.digits(edit_print.prints_of([t]))[0] for t in many} <= print_of
+
+
+def test_recall_of_banding(spark):
+    """Pairs whose fingerprints agree in 0.8 of the digits and more are put into one class; documents without such a partner stay alone."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        base = [rng.choice("abcdefghijklmnop ") for _ in range(800)]
+        rows.append((10 * i, "".join(base)))
+        for j in range(1, 3):
+            near = list(base)
+            for _ in range(rng.randint(1, 30)):
+                near[rng.randrange(len(near))] = rng.choice("xyz")
+            rows.append((10 * i + j, "".join(near)))
+    prints = edit_print.prints_of([t for _, t in rows])
+    pairs = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if (prints[a] == prints[b]).mean() >= 0.8]
+    near = edit_print.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), 0.8)
+    found = {r.doc_id: r.class_id for r in near.collect()}
+    assert len(pairs) > 100 and sum(found[a] == found[b] for a, b in pairs) >= 0.995 * len(pairs)
+    linked = {x for p in pairs for x in p}
+    assert all(found[i] == i for i, _ in rows if i not in linked)
+
+
 def test_near_pairs(spark):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(1500)) for _ in range(30)]
