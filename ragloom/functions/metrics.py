@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as X
+from ragloom.session import fresh
 
 
 def let(fn: Callable[..., Column], *values: Column) -> Column:
@@ -47,6 +48,19 @@ def em(pred: Column, golds: Column, norm: Callable[[Column], Column] = X.norm_co
     return let(lambda p: F.when(F.exists(golds, lambda g: norm(g) == p), 1.0).otherwise(0.0), norm(pred))
 
 
+def em_pattern(pred: Column, golds: Column) -> Column:
+    """Whether the whole normalised prediction matches a golden answer taken as a pattern, case aside."""
+    return let(lambda p: F.when(F.exists(golds, lambda g: F.rlike(p, F.concat(F.lit(r"(?i)\A(?:"), g, F.lit(r")\z")))), 1.0).otherwise(0.0), X.norm_toolkit(pred))
+
+
+def data_set_golds(rows: DataFrame, choices: str = "choices", indexes: str = "indexes", answers: str = "golden_answers", out: str = "golds") -> DataFrame:
+    """``rows`` with the golden answers to score against: the texts of the chosen choices if every row has choices, else every row's own answers."""
+    mixed = fresh("mixed", rows)
+    whole = rows.agg(F.coalesce(F.bool_or(F.coalesce(F.size(choices), F.lit(0)) <= 0), F.lit(False)).alias(mixed))
+    chosen = F.transform(indexes, lambda i: F.get(choices, i))
+    return rows.crossJoin(F.broadcast(whole)).withColumn(out, F.when(F.col(mixed), F.col(answers)).otherwise(chosen)).drop(mixed)
+
+
 def f1(pred: Column, golds: Column) -> Column:
     """Multiset word F1 with the best golden answer."""
     return let(lambda p: F.coalesce(F.array_max(F.transform(golds, lambda g: token_scores(p, X.norm_core(g))["f1"])), F.lit(0.0)), X.norm_core(pred))

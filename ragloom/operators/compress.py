@@ -33,3 +33,26 @@ def scaled(rows: DataFrame, key: str, value: str, levels: int = 8) -> DataFrame:
     ends = rows.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     share = (F.col(value) - F.col("low")) / (F.col("high") - F.col("low"))
     return rows.join(ends, key).withColumn("level", F.when(F.col("high") > F.col("low"), F.floor(share * (levels - 1) + 0.5)).otherwise(F.lit(0)).cast("long")).drop("low", "high")
+
+
+# The weights of BM25 over a question's own contexts, and the share of the mean idf that stands in for a negative one.
+K1, B, FLOOR_SHARE = 1.5, 0.75, 0.25
+
+
+def bm25_order(contexts: DataFrame, questions: DataFrame, key: str = "key", place: str = "i") -> DataFrame:
+    """``key``, ``place``, ``score``, ``rank``: each question's contexts by BM25 among themselves, best first, ties by place.
+
+    Words are what single spaces part, as they are; a word that more than half of the contexts have gets a quarter of the mean idf of all the contexts' words. ``contexts``: key, place, text; ``questions``: key, text.
+    """
+    words = contexts.select(key, place, F.split(F.coalesce("text", F.lit("")), " ").alias("words"))
+    each = words.select(key, place, F.size("words").alias("dl"), F.explode("words").alias("word")).groupBy(key, place, "dl", "word").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = words.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"))
+    df = each.groupBy(key, "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, key)
+    idf = df.select(key, "word", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = F.avg("idf").over(Window.partitionBy(key))
+    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, F.lit(FLOOR_SHARE) * mean).otherwise(F.col("idf")))
+    asked = questions.select(key, F.explode(F.split("text", " ")).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("q"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
+    scored = each.join(asked, [key, "word"]).join(idf, [key, "word"]).groupBy(key, place).agg(F.sum(F.col("q") * F.col("idf") * weight).alias("score"))
+    rows = words.select(key, place).join(scored, [key, place], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), place)))

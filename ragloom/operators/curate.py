@@ -57,9 +57,10 @@ def stratified_quota(rows: DataFrame, stream: str, order: str) -> DataFrame:
     return dealt.mapInArrow(fold, StructType([*rows.schema.fields, StructField("accepted", BooleanType())]))
 
 
-def resume(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Work that isn't done yet."""
-    return work.join(done.select(key), key, "left_anti")
+def resume(work: DataFrame, done: DataFrame, key: str, most: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """Work that isn't done yet; with ``most`` only so much of it, the first in ``order`` (the key by default), so a cap counts new work alone."""
+    left = work.join(done.select(key), key, "left_anti")
+    return left if most is None else left.orderBy(*(order or [key])).limit(most)
 
 
 def overlap_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

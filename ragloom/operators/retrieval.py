@@ -214,6 +214,21 @@ def answer_vote(answers: DataFrame) -> DataFrame:
     return summed.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 
 
+def neighbour_judgement(hits: DataFrame, judged: DataFrame, k: int) -> DataFrame:
+    """``qid`` and ``retrieve``: whether retrieval helps, by how it did for the ``k`` nearest judged questions against how it did for all of them.
+
+    ``hits``: qid, doc_id, rank; ``judged``: doc_id, better (true, false or null for neither). More of the neighbours than their share of the whole surplus decide; a surplus of the whole that is negative
+    asks the neighbours to be at least as bad before retrieval is left out. Shares are cut to whole numbers towards zero.
+    """
+    point = F.when(F.col("better"), 1).when(~F.col("better"), -1).otherwise(0)
+    whole = judged.agg(F.coalesce(F.sum(point), F.lit(0)).alias("surplus"), F.count(F.lit(1)).alias("n"))
+    own = hits.where(F.col("rank") <= k).join(judged, "doc_id").groupBy("qid").agg(F.sum(point).alias("own"))
+    rows = hits.select("qid").distinct().join(own, "qid", "left").withColumn("own", F.coalesce("own", F.lit(0))).crossJoin(F.broadcast(whole))
+    share = (F.col("surplus") * k / F.greatest(F.col("n"), F.lit(1))).cast("long")  # a cast cuts towards zero
+    helps = F.when(F.col("surplus") < 0, ~((F.col("own") < 0) & (F.col("own") <= share))).otherwise((F.col("own") > 0) & (F.col("own") >= share))
+    return rows.select("qid", helps.alias("retrieve"))
+
+
 def replug_mix(rows: DataFrame) -> DataFrame:
     """Token scores weighted by each document's share of its query's scores and summed: qid, doc_id, doc_score, token, score."""
     share = F.col("doc_score") / F.sum("doc_score").over(Window.partitionBy("qid", "token"))

@@ -166,6 +166,27 @@ def adjusted(tests: DataFrame, p: str = "p", families: list[str] | None = None)
     return rows.withColumn("p_holm", known(holm)).withColumn("p_bh", known(bh)).drop(n, place)
 
 
+# The bands of the divergence from the first policy, and when a reward counts as gone: so many last rows at most this, after one over that.
+KL_BANDS = ((0.0, 50.0), (1.0, 12.0))
+LAST_ROWS, GONE, WAS, LEAST_ROWS = 4, 1e-6, 0.05, 8
+
+
+def kl_verdict(kl: Column) -> Column:
+    """nan, diverging, healthy, very low or high; null without a value."""
+    (low, most), (least, good) = KL_BANDS
+    return F.when(F.isnan(kl), "nan").when((kl < low) | (kl > most), "diverging").when((kl >= least) & (kl <= good), "healthy").when(kl < least, "very low").when(kl.isNotNull(), "high")
+
+
+def reward_collapse(rows: DataFrame, key: str, order: str, reward: str) -> DataFrame:
+    """``key``, ``n``, ``collapsed``: whether a run of eight rows or more has had a reward and has none in its last four."""
+    back = fresh("back", rows)
+    placed = rows.withColumn(back, F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc())))
+    was = F.max(F.when(F.col(back) > LAST_ROWS, F.col(reward)))
+    now = F.max(F.when(F.col(back) <= LAST_ROWS, F.col(reward)))
+    out = placed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), was.alias("was"), now.alias("now"))
+    return out.select(key, "n", F.coalesce((F.col("n") >= LEAST_ROWS) & (F.col("was") > WAS) & (F.col("now") <= GONE), F.lit(False)).alias("collapsed"))
+
+
 def calibration_loss(rows: DataFrame, label: Column, chance: Column, weight: float = 0.1) -> DataFrame:
     """Weighted mean binary cross entropy; logarithms are at least -100."""
     ln = lambda c: F.greatest(F.coalesce(F.ln(c), F.lit(-100.0)), F.lit(-100.0))

@@ -79,6 +79,14 @@ def severed_answers(graph: DataFrame, answers: DataFrame, cutoff: float = 70.0)
     return severed(rows, F.col("near"), "key", T.NOISE_ENTITIES, T.NOISE_RELATIONS).select("qid", "h", "r", "t", "severed")
 
 
+def severed_items(items: DataFrame, graph: DataFrame, most: int) -> DataFrame:
+    """A row for each item (qid): ``n_original``, ``n_severed`` triples of its graph (qid, severed), ``n_kept`` (what of it fits ``most``), and whether it has none; 0 for an item without a graph."""
+    counts = graph.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.count_if("severed").alias("gone"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    rows = items.select("qid").distinct().join(counts, "qid", "left")
+    return rows.select("qid", zero("n").alias("n_original"), zero("gone").alias("n_severed"), F.least(zero("n"), F.lit(most)).alias("n_kept"), F.col("n").isNull().alias("no_graph"))
+
+
 def route_of(scores: DataFrame, key: str, route: str = "route", logit: str = "logit") -> DataFrame:
     """The route with the greatest share of a classifier's exponentiated logits, and that share; ties to the first by name."""
     whole = Window.partitionBy(key)
