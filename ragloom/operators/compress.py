@@ -56,3 +56,26 @@ def bm25_order(contexts: DataFrame, questions: DataFrame, key: str = "key", plac
     scored = each.join(asked, [key, "word"]).join(idf, [key, "word"]).groupBy(key, place).agg(F.sum(F.col("q") * F.col("idf") * weight).alias("score"))
     rows = words.select(key, place).join(scored, [key, place], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), place)))
+
+
+def token_rates(tokens: DataFrame, segments: DataFrame, window: int, key: str = "key") -> DataFrame:
+    """Compression rates of a text's tokens, from the rates of its segments, in windows of ``window`` tokens: key, window, run, n (tokens), rate.
+
+    ``tokens``: key, i (from 0), n_chars; ``segments``: key, s, n_chars, rate, compress; both in order make up the text. A token in one segment has its rate; one that reaches into others has the least of
+    theirs, or 1 if one of them isn't to be compressed. A token without characters, and one beyond the last segment, goes with the segment that follows the text so far, or else the last one. Neighbours with one rate in a
+    window are a run.
+    """
+    along = lambda order: Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    t = tokens.select(key, "i", "n_chars", (F.sum("n_chars").over(along("i")) - F.col("n_chars")).alias("start"))
+    s = segments.where("n_chars > 0").select(key, "s", "rate", "compress", F.sum("n_chars").over(along("s")).alias("stop"), F.col("n_chars").alias("size"))
+    parts = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", (F.col("stop") - F.col("size")).alias("start"), "stop", "rate", "compress"))).alias("parts"))
+    rows = t.join(parts, key)
+    met = F.filter("parts", lambda p: (p["start"] < F.greatest(F.col("start") + F.col("n_chars"), F.col("start") + 1)) & (p["stop"] > F.col("start")))
+    rows = rows.withColumn("met", met).withColumn("met", F.when(F.size("met") > 0, F.col("met")).otherwise(F.slice("parts", -1, 1)))
+    least = F.array_min(F.transform("met", lambda p: p["rate"]))
+    rate = F.when((F.size("met") > 1) & F.exists("met", lambda p: ~p["compress"]), 1.0).otherwise(least)
+    rows = rows.select(key, "i", F.floor(F.col("i") / window).alias("window"), rate.alias("rate"))
+    own = Window.partitionBy(key, "window").orderBy("i")
+    rows = rows.withColumn("new", F.coalesce((F.col("rate") != F.lag("rate").over(own)).cast("int"), F.lit(0)))
+    rows = rows.withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(key, "window", "run").agg(F.count(F.lit(1)).alias("n"), F.first("rate").alias("rate"))

@@ -68,9 +68,32 @@ def neighbour_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.neighbour_judgement(retrieval_queries.dense_topk(spark, sf_dir), judged, 10)
 
 
-QUERIES = {f.__name__: f for f in (pattern_em, choice_golds, resume_capped, severed_items, context_bm25, kl_verdicts, reward_collapse, neighbour_judgement)}
+def token_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each part's name, type and brand as segments with rates, cut into tokens of three characters, in windows of five tokens."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    each = rows.select("key", F.posexplode(F.split("text", " ")).alias("s", "word"), F.size(F.split("text", " ")).alias("n"))
+    size = F.length("word") + F.when(F.col("s") < F.col("n") - 1, 1).otherwise(0)
+    rate = F.when((F.col("key") + F.col("s")) % 4 == 0, 1.0).otherwise(F.col("s") % 3 / 4.0 + 0.25)
+    segments = each.select("key", "s", size.alias("n_chars"), rate.alias("rate"), ((F.col("key") + F.col("s")) % 4 != 0).alias("compress"))
+    place = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 3).cast("int"))
+    tokens = rows.select("key", F.length("text").alias("whole"), F.explode(place).alias("i")).select("key", "i", F.least(F.lit(3), F.col("whole") - 3 * F.col("i")).alias("n_chars"))
+    return compress.token_rates(tokens, segments, 5)
+
+
+QUERIES = {f.__name__: f for f in (pattern_em, choice_golds, resume_capped, severed_items, context_bm25, kl_verdicts, reward_collapse, neighbour_judgement, token_rates)}
 
 ORACLE_SQL = {
+    "token_rates": """
+with t as (select p_partkey as key, p_name || ' ' || p_type || ' ' || p_brand as text from part),
+w as (select key, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as s from t),
+z as (select key, s, case when (key + s) % 4 = 0 then 1.0::double else s % 3 / 4.0::double + 0.25::double end as rate, (key + s) % 4 <> 0 as compress,
+  sum(length(word) + 1) over (partition by key order by s) as stop, length(word) + 1 as size from w),
+k as (select key, unnest(range((length(text) + 2) // 3)) as i from t),
+m as (select k.key, i, case when count(*) > 1 and not bool_and(compress) then 1.0 else min(rate) end as rate
+  from k join t using (key) join z on z.key = k.key and stop - size < least(3 * i + 3, length(text)) and stop > 3 * i group by k.key, i),
+l as (select *, i // 5 as win, case when rate <> lag(rate) over (partition by key, i // 5 order by i) then 1 else 0 end as new from m),
+r as (select *, sum(new) over (partition by key, win order by i) as run from l)
+select key, win as window, run::bigint as run, count(*) as n, any_value(rate)::double as rate from r group by key, win, run""",
     "pattern_em": f"""
 with p as (select p_partkey, {_toolkit("'The ' || p_type || '!'")} as pred, p_type from part)
 select p_partkey, case when regexp_full_match(pred, '(?i)[0-9]+') or regexp_full_match(pred, '(?i)econ.* ' || string_split(p_type, ' ')[-1]) or regexp_full_match(pred, '(?i)(small|large) PLATED [a-z]+') then 1.0 else 0.0 end::double as em from p""",
