@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,14 +102,3 @@ def fuzzy_link(mentions: DataFrame, labels: DataFrame, cutoff: float = 85.0) ->
     best = Window.partitionBy("mention").orderBy(F.col("ratio").desc(), "label")
     first = scored.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
     return mentions.join(first, "mention", "left")
-
-
-def pooled(vectors: np.ndarray, mask: np.ndarray, method: str = "mean") -> np.ndarray:
-    """Sentence vectors from token vectors: mean over the mask, or the first token; then unit length."""
-    if method == "mean":
-        out = (vectors * mask[..., None]).sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-9)[:, None]
-    elif method == "cls":
-        out = vectors[:, 0]
-    else:
-        raise ValueError(f"unknown pooling: {method}")
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)

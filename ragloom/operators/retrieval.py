@@ -84,6 +84,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), 0.0).otherwise(dot(a, b) / norms)
 
 
+def pooled(tokens: Column, mask: Column, method: str = "mean") -> Column:
+    """A unit vector from token vectors (an array of arrays): the mean of those whose ``mask`` (an array of 0 and 1) is set, or the first one; zeros stay zeros."""
+    if method == "mean":
+        masked = F.zip_with(tokens, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
+        total = F.aggregate(masked, F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+        whole = F.aggregate(mask, F.lit(0.0), lambda s, m: s + m.cast("double"))
+        out = let(lambda t, n: F.transform(t, lambda x: x / F.greatest(n, F.lit(1e-9))), total, whole)
+    elif method == "cls":
+        out = F.transform(F.get(tokens, F.lit(0)), lambda x: x.cast("double"))
+    else:
+        raise ValueError(f"unknown pooling: {method}")
+    return let(lambda v, norm: F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-12))), out, F.sqrt(dot(out, out)))
+
+
 #: Rows of vectors and of queries that are multiplied at a time, queries in a block, and blocks that are broadcast at a time.
 VECTOR_ROWS, QUERY_ROWS, BLOCK_ROWS, BLOCKS = 2048, 512, 4096, 4
 

@@ -38,6 +38,15 @@ def vector_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(first, "label").select("vec_id", F.round(R.cosine(own, F.col("first")), 6).alias("cosine"))
 
 
+def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as sixteen tokens of four components: the mean of those that its id's mask leaves, and the first one."""
+    rows = table(spark, sf_dir, "embeddings").where("size(embedding) = 64")
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.slice(F.col("embedding"), t * 4 + 1, F.lit(4)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: ((F.col("vec_id") + t) % 3 != 0).cast("int"))
+    each = rows.select("vec_id", F.explode(F.arrays_zip(R.pooled(tokens, mask).alias("mean"), R.pooled(tokens, mask, "cls").alias("first"))).alias("x"))
+    return each.groupBy("vec_id").agg(F.round(F.sum("x.mean"), 6).alias("mean_sum"), F.round(F.max("x.mean"), 6).alias("mean_max"), F.round(F.sum("x.first"), 6).alias("first_sum"))
+
+
 def path_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line of each order with the highest discount, ties to the first."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("path"), F.col("l_discount").alias("score"))
@@ -63,7 +72,7 @@ def long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join("s", "|"), 256).alias("sentences_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (text_flags, entropies, vector_cosines, path_choice, relation_whitelist, accepted_traces, long_sentences)}
+QUERIES = {f.__name__: f for f in (text_flags, entropies, vector_cosines, pooled_vectors, path_choice, relation_whitelist, accepted_traces, long_sentences)}
 
 ORACLE_SQL = {
     "relation_whitelist": f"""with {kg_queries._GRAPH.split("one as (")[0].rstrip().rstrip(",")}
@@ -76,6 +85,12 @@ select l_orderkey, round(case when l_orderkey % 5 = 0 then 1.0 else greatest(0.0
     "vector_cosines": """
 with f as (select label, arg_min(embedding, vec_id) as first from embeddings group by 1)
 select vec_id, case when vec_id % 7 = 0 then 0.0 else round(list_cosine_similarity(embedding::double[], first::double[]), 6) end as cosine from embeddings join f using (label)""",
+    "pooled_vectors": """
+with t as (select vec_id, unnest(range(16)) as t, embedding from embeddings where len(embedding) = 64),
+d as (select vec_id, t, unnest(range(1, 5)) as d, unnest(embedding[t * 4 + 1:t * 4 + 4])::double as x from t),
+m as (select vec_id, d, sum(x * ((vec_id + t) % 3 <> 0)::int) / greatest(count(*) filter ((vec_id + t) % 3 <> 0), 1e-9) as m, max(x) filter (t = 0) as f from d group by 1, 2),
+n as (select vec_id, greatest(sqrt(sum(m * m)), 1e-12) as nm, greatest(sqrt(sum(f * f)), 1e-12) as nf from m group by 1)
+select vec_id, round(sum(m / nm), 6) as mean_sum, round(max(m / nm), 6) as mean_max, round(sum(f / nf), 6) as first_sum from m join n using (vec_id) group by 1""",
     "path_choice": """
 select qid, path, score from (select l_orderkey as qid, l_linenumber as path, l_discount as score, row_number() over (partition by l_orderkey order by l_discount desc, l_linenumber) as nth from lineitem) where nth = 1""",
     "accepted_traces": "select doc_id, source from documents where doc_id % 3 = 0",

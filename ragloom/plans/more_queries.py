@@ -27,10 +27,9 @@ def answer_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BLEU-2 of each assistant text against the turn before it, ASCII letters only."""
-    clean = lambda c: F.regexp_replace(c, "[^a-zA-Z ]", " ")
-    pairs = text_queries.answer_pairs(spark, sf_dir).select(clean(F.col("pred")).alias("pred"), clean(F.col("gold")).alias("gold"))
-    out = M.bleu(pairs, most=2)
+    """BLEU of each assistant text, as it stands, against its own start and the turn before it."""
+    pairs = text_queries.answer_pairs(spark, sf_dir).select("pred", F.concat(F.substring("pred", 1, 60), F.lit("-\n&quot;1,5-2.&quot; "), "gold").alias("gold"))
+    out = M.bleu(pairs)
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
@@ -116,6 +115,17 @@ w as (select *, lower(label) as l, lower(mention) as m, lower(description) as d,
 s as (select mention, entity_id, round(greatest(0.0, least(1.0, (case when l = m then 0.30 when contains(l, m) or contains(m, l) then 0.20 else 0.10 end)::double
   + 0.30::double * least(1.0, len(list_intersect(dw, qw))::double / greatest(1, len(dw))) + (case when contains(d, 'steel') or contains(d, 'brass') then 0.20 else 0.0 end)::double
   - (case when d = 'wikimedia list' then 0.50 else 0.0 end)::double)), 9) as score from w)"""
+def _bleu_tokens(text: str) -> str:
+    """DuckDB: the tokens of ``metrics.bleu_tokens``."""
+    out = f"replace(replace(replace({text}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for name, sign in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        out = f"replace({out}, '{name}', '{sign}')"
+    out = f"' ' || {out} || ' '"
+    for pattern, repl in ((r"([{-~\[-` -&(-+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        out = f"regexp_replace({out}, '{pattern}', '{repl}', 'g')"
+    return f"list_filter(string_split_regex({out}, '\\s+'), lambda w: w <> '')"
+
+
 _ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLE_SQL = {
     "answer_extractors": rf"""
@@ -131,12 +141,14 @@ select conv_id, turn,
     else coalesce(trim(regexp_replace(list_filter(lines, lambda x: regexp_matches(x, '(?i)^(answer|final answer)\s*[:：]'))[1], '(?i)^(answer|final answer)\s*[:：]\s*', ''), {_ENDS}), lines[-1], '') end) as tagged,
   coalesce(regexp_extract_all(p, '[A-D]')[-1], '') as choice from l""",
     "bleu_corpus": f"""with {text_queries._PAIRS},
-c as (select row_number() over () as id, list_filter(string_split_regex(regexp_replace(pred, '[^a-zA-Z ]', ' ', 'g'), ' +'), lambda w: w <> '') as p,
-  list_filter(string_split_regex(regexp_replace(gold, '[^a-zA-Z ]', ' ', 'g'), ' +'), lambda w: w <> '') as g from pairs),
-b as (select id, list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]) as p, list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]) as g from c),
-u as (select sum(coalesce({text_queries._MACROS_SAME}, 0))::double as m, sum(len(p))::double as lp, sum(len(g))::double as lg from c),
-v as (select sum(coalesce({text_queries._MACROS_SAME}, 0))::double as m, sum(len(p))::double as n from b)
-select round(exp(ln(u.m / u.lp) / 2 + ln(v.m / v.n) / 2) * case when u.lp > u.lg then 1.0 else exp(1 - u.lg / u.lp) end, 9) as bleu, round(u.lp / u.lg, 9) as ratio, round(u.m / u.lp, 9) as p1, round(v.m / v.n, 9) as p2 from u, v""",
+raw as (select row_number() over () as id, pred, pred[1:60] || '-' || chr(10) || '&quot;1,5-2.&quot; ' || gold as gold from pairs),
+t as (select id, {_bleu_tokens("pred")} as tp, {_bleu_tokens("gold")} as tg from raw),
+n as (select unnest([1, 2, 3, 4]) as n),
+grams as (select id, n, list_transform(range(1, len(tp) - n + 2), lambda i: array_to_string(tp[i:i + n - 1], ' ')) as p, list_transform(range(1, len(tg) - n + 2), lambda i: array_to_string(tg[i:i + n - 1], ' ')) as g from t, n),
+s as (select n, sum(coalesce({text_queries._MACROS_SAME}, 0))::double / sum(len(p)) as p from grams group by n),
+l as (select sum(len(tp))::double / sum(len(tg)) as ratio from t)
+select round(case when min(p) > 0 then exp(avg(ln(p))) else 0.0 end * any_value(case when ratio > 1 then 1.0 else exp(1 - 1 / ratio) end), 9) as bleu, round(any_value(ratio), 9) as ratio,
+  round(max(p) filter (n = 1), 9) as p1, round(max(p) filter (n = 2), 9) as p2, round(max(p) filter (n = 3), 9) as p3, round(max(p) filter (n = 4), 9) as p4 from s, l""",
     "link_candidates": f"with {_CAND} select mention, entity_id, score from s",
     "link_decisions": f"""with {_CAND},
 r as (select *, lead(score) over (partition by mention order by score desc, entity_id) as second, row_number() over (partition by mention order by score desc, entity_id) as nth from s),

@@ -69,8 +69,8 @@ def stream_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly sums by type; the complete result, so no window waits for the watermark."""
-    stream = folds.table_stream(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    rows = stream.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    stream = folds.table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = folds.windowed(stream, "ts", ["event_type"], "value").withColumn("total", F.round("total", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
     path = folds.scratch_path(spark, "windows")
 
     def keep(batch: DataFrame, number: int) -> None:

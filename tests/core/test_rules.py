@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ragloom.functions import metrics
+from ragloom.functions import fuzzy, metrics
 from ragloom.operators import compress, curate, retrieval, stats, training
 
 
@@ -98,3 +98,19 @@ def test_resume_and_severed_items(spark):
     graph = spark.createDataFrame([("a", True), ("a", False), ("a", False)], "qid string, severed boolean")
     got = training.severed_items(spark.createDataFrame([("a",), ("b",)], "qid string"), graph, 2).collect()
     assert sorted(map(tuple, got)) == [("a", 3, 1, 2, False), ("b", 0, 0, 0, True)]
+
+
+def test_rouge_l_equals_a_table(spark):
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    rng = random.Random(6)
+    pairs = [(" ".join(rng.choice("A b c d".split()) for _ in range(rng.randint(0, 12))), " ".join(rng.choice("a B c e".split()) for _ in range(rng.randint(0, 12)))) for _ in range(60)] + [(None, "a"), ("a", None), ("a a", "A")]
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, p string, g string").select("i", fuzzy.rouge_l("p", "g").alias("r")).collect()
+    for r in got:
+        a, b = ((x or "").lower().split() for x in pairs[r.i])
+        assert r.r == pytest.approx(2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0)
