@@ -29,3 +29,10 @@ def ranked(rows: DataFrame, group: str, order: list[Column], rank: str = "rank",
         starts = starts.join(about, F.col(g).eqNullSafe(F.col("own_group"))).drop("own_group")
     joined = placed.join(starts, (F.col(part) == F.col(p)) & F.col(group).eqNullSafe(F.col(g)))
     return joined.withColumn(rank, F.col(place) + F.col(shift)).drop(g, p, shift, part, place)
+
+
+def batched(rows: DataFrame, size: int, order: list[Column], batch: str = "batch") -> DataFrame:
+    """``rows`` with the number of their batch, from 0: ``size`` rows in ``order`` each, the last may have fewer. Rows of a batch are where ``batch`` is equal; a union of batches' results is the whole."""
+    one, rank = fresh("one", rows), fresh("rank", rows)
+    placed = ranked(rows.withColumn(one, F.lit(0)), one, order, rank)
+    return placed.withColumn(batch, F.floor((F.col(rank) - 1) / size)).drop(one, rank)

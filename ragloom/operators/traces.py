@@ -74,6 +74,11 @@ def needs_retry(n_steps: Column, n_cited: Column, n_graph: Column, least_steps:
     return (n_steps < least_steps) | ((n_graph > 0) & (n_cited == 0))
 
 
+def capped(steps: Column, most: int) -> Column:
+    """The first ``most`` steps of a trace."""
+    return F.slice(steps, 1, most)
+
+
 def rendered(steps: Column, answer: Column) -> Column:
     """Steps (label, body) as text, those labelled -1 left out and the others numbered anew, then the answer if there is one."""
     kept = F.filter(steps, lambda s: F.coalesce(s["label"] != -1, F.lit(True)))

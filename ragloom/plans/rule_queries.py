@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.functions import metrics as M
-from ragloom.operators import compress, curate
+from ragloom.operators import compress, curate, traces
 from ragloom.operators import retrieval as R
 from ragloom.operators import stats as S
 from ragloom.operators import training as G
-from ragloom.plans import agent_queries, kg_queries, retrieval_queries
+from ragloom.operators.ranks import batched
+from ragloom.plans import agent_queries, evaluation, kg_queries, retrieval_queries
 from ragloom.plans.text_queries import _toolkit
+from ragloom.session import scratch_path
+from ragloom.sources import readers
 from ragloom.tables import table
 
 
@@ -80,9 +83,56 @@ def token_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress.token_rates(tokens, segments, 5)
 
 
-QUERIES = {f.__name__: f for f in (pattern_em, choice_golds, resume_capped, severed_items, context_bm25, kl_verdicts, reward_collapse, neighbour_judgement, token_rates)}
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names answered by their name with a lead-in, or by their type; one metric is plugged in, one is unknown and one needs a column that isn't there. Read back from the written report."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.when(k % 2 == 0, F.concat(F.lit("So: the "), "p_name", F.lit("."))).otherwise(F.col("p_type")).alias("pred"), F.array("p_name").alias("golden_answers"))
+    path = scratch_path(spark, "report")
+    extra = {"n_chars": lambda p, g: F.length(p), "broken": lambda p, g: F.col("no_such_column")}
+    report = evaluation.run(rows, ["em", "acc", "n_chars", "nothing", "broken"], process=lambda r: r.withColumn("pred", F.regexp_replace("pred", "^So: ", "")), path=path, extra=extra)
+    written = readers.key_values(spark, f"{path}/metric_score").select("name", F.round("number", 9).alias("score"), F.lit(False).alias("failed"))
+    return written.unionByName(spark.createDataFrame([(n, None, True) for n in report.failed], "name string, score double, failed boolean"))
+
+
+def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean discount by line number, as scores by size."""
+    out = evaluation.curve(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_discount")
+    return out.select(F.col("N").cast("long").alias("N"), *[F.round(c, 9).alias(c) for c in ("mean", "std", "gain")])
+
+
+def document_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 64 documents, longest first."""
+    out = batched(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 64, [F.col("n_chars").desc(), F.col("doc_id")])
+    return out.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("longest"), F.min("n_chars").alias("shortest"))
+
+
+def capped_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three turns of each conversation as its steps, with a text reward by a backend that is plugged in for this."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("steps"))
+    steps = rows.select("conv_id", F.explode(traces.capped(F.col("steps"), 3)).alias("s")).select("conv_id", "s.turn", F.lit("").alias("prompt"), F.coalesce("s.text", F.lit("")).alias("step"))
+    evaluation.BACKENDS["by_length"] = evaluation.nll_backend(lambda prompt, step: F.length(step) / 100.0)
+    scored = evaluation.text_rewards(evaluation.text_rewards(steps, "by_length"), "dummy", out="nothing")
+    return scored.select("conv_id", "turn", F.round("text_reward", 9).alias("text_reward"), "nothing")
+
+
+QUERIES = {f.__name__: f for f in (pattern_em, choice_golds, resume_capped, severed_items, context_bm25, kl_verdicts, reward_collapse, neighbour_judgement, token_rates, evaluation_report, learning_curve, document_batches, capped_steps)}
 
 ORACLE_SQL = {
+    "evaluation_report": f"""
+with p as (select case when p_partkey % 2 = 0 then 'the ' || p_name || '.' else p_type end as pred, p_name from part),
+s as (select avg((trim(regexp_replace(lower(replace(pred, '.', '')), '^the ', '')) = lower(p_name))::int::double) as em,
+  avg(contains({_toolkit("pred")}, {_toolkit("p_name")})::int::double) as acc, avg(length(pred)) as n_chars from p)
+select 'em' as name, round(em, 9) as score, false as failed from s union all select 'acc', round(acc, 9), false from s union all select 'n_chars', round(n_chars, 9), false from s
+union all select 'nothing', null, true union all select 'broken', null, true""",
+    "learning_curve": """
+with p as (select l_linenumber as n, avg(l_discount) as mean, coalesce(stddev_samp(l_discount), 0) as std from lineitem group by 1)
+select n::bigint as "N", round(mean, 9) as mean, round(std, 9) as std, round(mean - lag(mean) over (order by n), 9) as gain from p""",
+    "document_batches": """
+with r as (select n_chars, (row_number() over (order by n_chars desc, doc_id) - 1) // 64 as batch from documents)
+select batch, count(*) as n, max(n_chars) as longest, min(n_chars) as shortest from r group by 1""",
+    "capped_steps": """
+with r as (select conv_id, turn, coalesce(text, '') as step, row_number() over (partition by conv_id order by turn) as nth from conversations)
+select conv_id, turn, round(tanh((2.5 - length(step) / 100.0::double) / 1.5::double), 9) as text_reward, 0.0::double as nothing from r where nth <= 3""",
     "token_rates": """
 with t as (select p_partkey as key, p_name || ' ' || p_type || ' ' || p_brand as text from part),
 w as (select key, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as s from t),
