@@ -60,5 +60,19 @@ def test_each_stage_takes_effect_on_its_input(spark, tmp_path):
     assert max(fills.values()) <= 2048
 
 
+def test_long_texts_and_columns_of_any_name(spark, tmp_path):
+    names = ["blob", "row", "at", "same", "keeper", "rest", "language", "mix_key", "mix_copies", "pieces", "tail", "fingerprint", "component_id", "size", "node"]
+    long = " ".join(f"the and of word{i}" for i in range(40_000)) + " token: abcdefghijklmnopq the end"
+    rows = [(1, long, "en", "src0", 1), (2, long, "en", "src0", 1), (3, "und der die ein ich über nicht zum eine gut", "de", "src1", 1), (4, "the and of this with for that are was in", "en", "src1", 1)]
+    docs = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names]) for r in rows], ", ".join([COLUMNS, *[f"`{n}` string" for n in names]]))
+    *stages, packed = run(spark, docs, tmp_path)
+    assert all(x.columns == docs.columns for x in stages)
+    assert all(r[n] == f"{n}{r.doc_id}" for x in stages for r in x.collect() for n in names)
+    assert {r.doc_id for r in stages[1].collect()} == {1, 3, 4}
+    text = next(r.text for r in stages[2].collect() if r.doc_id == 1)
+    assert text == long.replace("token: abcdefghijklmnopq", "[secret]")
+    assert sum(r.length for r in packed.where("doc_id = 1").collect()) > 160_000 * packed.where("doc_id = 1 and start = 0").count()
+
+
 def test_empty_documents(spark, tmp_path):
     assert [x.count() for x in run(spark, spark.createDataFrame([], COLUMNS), tmp_path)] == [0] * 5
