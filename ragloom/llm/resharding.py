@@ -2,7 +2,7 @@
 
 Old shards are sources, new ones sinks; a byte that stays in the shard of the same number costs nothing, any other costs 1 (or what ``cost`` says). The cheapest flow from the old shards'
 sizes to the capacities says how many bytes of each old shard go where, and the rows of a shard follow it by their place in the running sum of bytes, largest first: a row goes where its middle lies. So large rows
-stay, and what moves is cut between small ones. As a row can't be cut, flows are solved level by level, from rows of an eighth of the mean shard or more down to those under 1/4096 of it: the flow of all that is left
+stay, and what moves is cut between small ones. Equal texts are neighbours in that order, and a cut that would part a small group of them is moved to its end. As a row can't be cut, flows are solved level by level, from rows of an eighth of the mean shard or more down to those under 1/4096 of it: the flow of all that is left
 says where the level's rows go, and the next one's capacities are what they really left, so a later level makes up for what an earlier one was off.
 
 The driver sees shard sizes by level (old shards x levels), new sizes and flows, all bounded by the numbers of shards, and no row. Sizes come from the scan; only ids, sizes and
@@ -28,6 +28,8 @@ from ragloom.operators.ranks import ranked
 from ragloom.session import cut, fresh
 
 OLD_SHARDS, NEW_SHARDS, ROW_BYTES = 32, 40, 16
+#: The largest group that is kept together, as a share of the mean shard.
+GROUP_SHARE = 1 / 64
 #: Least sizes of the rows of each level, as shares of the mean shard.
 LEVELS = (1 / 8, 1 / 64, 1 / 512, 1 / 4096, 0.0)
 
@@ -95,10 +97,11 @@ def stay_free(old: int, new: int) -> np.ndarray:
     return 1.0 - np.eye(old, new)
 
 
-def assign(rows: DataFrame, new: int = NEW_SHARDS, old: int = OLD_SHARDS, weight: Sequence[float] | None = None, cost: np.ndarray | None = None) -> DataFrame:
+def assign(rows: DataFrame, new: int = NEW_SHARDS, old: int = OLD_SHARDS, weight: Sequence[float] | None = None, cost: np.ndarray | None = None, group: Sequence[str] = ()) -> DataFrame:
     """``rows`` (``old_shard`` from 0, ``size`` and columns that identify a row) with ``shard`` and ``level``, cut off from their lineage.
 
-    ``weight``: the new shards' capacities in proportion; equal ones by default.
+    ``weight``: the new shards' capacities in proportion; equal ones by default. ``group``: the first of the other columns that rows of a group agree in, as they do in their size. Rows of a group in one old shard
+    stay together unless they are over ``GROUP_SHARE`` of the mean shard.
     """
     cost = stay_free(old, new) if cost is None else cost
     weight = np.ones(new) if weight is None else np.array(weight, dtype=np.float64)
@@ -137,6 +140,8 @@ def assign(rows: DataFrame, new: int = NEW_SHARDS, old: int = OLD_SHARDS, weight
             for j in sorted(np.flatnonzero(flow[i]), key=lambda j: (cost[i, j], j)):
                 at += 2 * int(flow[i, j])
                 ends.append((at, int(j)))
+        if group:
+            _keep_together(summed.where(F.col("level") == k), arcs, k * old, ["old_shard", "size", *group], GROUP_SHARE * total / new)
         target = _shard(arcs, old)
         for r in summed.where(F.col("level") == k).groupBy(target.alias("shard")).agg(F.sum("size").alias("bytes")).collect():
             used[r["shard"]] += r["bytes"]
@@ -144,6 +149,22 @@ def assign(rows: DataFrame, new: int = NEW_SHARDS, old: int = OLD_SHARDS, weight
     return summed.select("old_shard", "size", *(F.col(f"`{c}`") for c in names), "level", shard.alias("shard"))
 
 
+def _keep_together(rows: DataFrame, arcs: dict[int, list[tuple[int, int]]], first: int, keys: list[str], most: float) -> None:
+    """Moves the ends of arcs that would cut a group of up to ``most`` bytes to the nearer end of the group. Looks at a group for each end, no more."""
+    spark = rows.sparkSession
+    ends = [(key - first, n, float(at)) for key, list_ in arcs.items() if key >= first for n, (at, _) in enumerate(list_[:-1])]
+    if not ends:
+        return
+    cuts = spark.createDataFrame(ends, "cut_shard int, n int, at double")
+    at_cut = (F.col("old_shard") == F.col("cut_shard")) & (F.col("middle") - F.col("size") < F.col("at")) & (F.col("middle") + F.col("size") > F.col("at"))
+    hit = rows.join(F.broadcast(cuts), at_cut).select("n", "at", *keys)
+    found = rows.join(F.broadcast(cut(hit)), keys).groupBy("n", "at", *keys).agg(F.min(F.col("middle") - F.col("size")).alias("low"), F.max(F.col("middle") + F.col("size")).alias("high"))
+    for r in found.collect():  # at most one for each end
+        if r["high"] - r["low"] <= 2 * most:
+            own = arcs[first + r["old_shard"]]
+            own[r["n"]] = (int(r["low"] if r["at"] - r["low"] <= r["high"] - r["at"] else r["high"]), own[r["n"]][1])
+
+
 def _shard(arcs: dict[int, list[tuple[int, int]]], old: int) -> Column:
     """The shard of the first arc of the row's level and old shard that ends after the row's middle; the last one takes the end."""
     made = F.create_map(*[F.lit(x) if not isinstance(x, list) else F.array(*[F.struct(F.lit(e).cast("long").alias("to"), F.lit(j).alias("shard")) for e, j in x]) for key in sorted(arcs) for x in (key, arcs[key])])
@@ -152,15 +173,16 @@ def _shard(arcs: dict[int, list[tuple[int, int]]], old: int) -> Column:
 
 
 def sized(docs: DataFrame, old: int = OLD_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ``doc_id``, ``size``, ``text_crc32`` and ``old_shard``, by a hash of its id."""
+    """Each document's ``doc_id``, ``size``, ``text_crc32`` and ``old_shard``, by a hash of its text: equal texts start in one shard."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    place = F.pmod(F.xxhash64(id_col), F.lit(old)).cast("int")
+    place = F.pmod(F.xxhash64(text), F.lit(old)).cast("int")
     return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), place.alias("old_shard"))
 
 
 def shards(docs: DataFrame, new: int = NEW_SHARDS, old: int = OLD_SHARDS) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``, ``old_shard``: a row for each row of ``docs``; the law is ``bytes``."""
-    placed = ranked(assign(sized(docs, old), new, old), "shard", [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size"), F.col("old_shard")], "slot")
+    sizes = sized(docs, old).select("old_shard", "size", "text_crc32", "doc_id")
+    placed = ranked(assign(sizes, new, old, group=["text_crc32"]), "shard", [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size"), F.col("old_shard")], "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("slot") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

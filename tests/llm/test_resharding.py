@@ -79,6 +79,18 @@ def test_near_equal_sizes_and_few_bytes_moved(spark, old, new):
     assert all(r.size == len((by_id[r.doc_id] if r.doc_id is not None else "").encode()) + 16 for r in got)
 
 
+def test_equal_texts_stay_together_unless_they_are_many(spark):
+    rows = texts(700) + [(1000 + i, f"copy {i % 150} " * 12, None, None) for i in range(900)] + [(5000 + i, "hot " * 30, None, None) for i in range(2500)]
+    got = resharding.shards(spark.createDataFrame(rows, SCHEMA), 9, 5).collect()
+    where = {}
+    for r in got:
+        where.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    split = [key for key, shards in where.items() if len(shards) > 1]
+    assert {size for size, _ in split} == {len("hot " * 30) + 16}
+    size = totals(got, 9)
+    assert max(size) - min(size) <= 0.02 * min(size)
+
+
 def test_rows_over_the_mean_take_a_shard_each(spark):
     rows = [(i, "x" * 50_000, None, None) for i in range(3)] + texts(400)
     size = sorted(totals(resharding.shards(spark.createDataFrame(rows, SCHEMA), 10, 4).collect(), 10))
