@@ -10,8 +10,7 @@ import __spark_entry__ as entry_module
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 catalog = pytest.importorskip("ragloom.plans.catalog")
-#: Those that take longest here are compared by the driver.
-NAMES = [n for n in catalog.ORACLE_SQL if n not in ("retrieval_cache_aside", "hits_concat", "rrf_fuse", "kg_index_counts")]
+NAMES = list(catalog.ORACLE_SQL)
 
 
 def canonical(rows):
