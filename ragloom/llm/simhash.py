@@ -242,6 +242,8 @@ COPY_RADIUS = 80
 SHARD_BLOCK = 2048
 #: Candidate pairs for each member up to which a group gives out its pairs, to be decided one by one; of a group with more, the members meet with their shingle sets.
 PAIRS_EACH = 4
+#: Members of a shard's tree up to which it is walked for one member at a time.
+TREE_ROWS = 128
 #: Texts that are signed at a time.
 SIGNED = 256
 
@@ -386,31 +388,73 @@ def _members(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
         yield out
 
 
+def _apart(words: np.ndarray, some: np.ndarray, node: int) -> np.ndarray:
+    """Bits in which the fingerprints of some members, columns of 64-bit words, differ from that of one."""
+    return np.bitwise_count(words[:, some] ^ words[:, node, None]).sum(axis=0, dtype=np.int64)
+
+
+def tree_pairs(words: np.ndarray, members: np.ndarray, asked: np.ndarray, radius: int, later: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """The BK-tree of ``members``, entered in their order, and a walk of all ``asked`` through it at once: each node that some of them have within the radius, with these.
+
+    A node's children are keyed by their Hamming distance to it, and only those of the asked whose distance to the node is within the radius of an edge follow it. With ``later`` the members are
+    asked for one another, each for those before it only, so a pair comes once. Few members are one ``BKTree``; of more, the nodes are made on the way and their distances found as arrays.
+    """
+    if len(members) + len(asked) <= 2 * TREE_ROWS:
+        tree, whole = BKTree(), [int.from_bytes(x.tobytes(), "little") for x in words.T]
+        near: list[list[int]] = [[] for _ in members]
+        if not later:
+            for member in members.tolist():
+                tree.add(whole[member])
+        for one in asked.tolist():
+            for node in tree.within(whole[one], radius):
+                near[node].append(one)
+            if later:
+                tree.add(whole[one])
+        yield from ((int(node), np.array(x)) for node, x in zip(members, near) if x)
+        return
+    stack = [(members, asked)]
+    while stack:
+        members, asked = stack.pop()
+        node, below = members[0], members[1:]
+        asked = asked[asked > node] if later else asked
+        if not len(asked):
+            continue
+        d = _apart(words, asked, node)
+        near = asked[d <= radius]
+        if len(near):
+            yield int(node), near
+        if len(below):
+            edge = _apart(words, below, node)
+            order = np.argsort(edge, kind="stable")
+            below, edge = below[order], edge[order]
+            starts = np.flatnonzero(np.concatenate(([True], edge[1:] != edge[:-1])))
+            for low, high in zip(starts, [*starts[1:], len(below)]):
+                stack.append((below[low:high], asked[np.abs(d - edge[low]) <= radius]))
+
+
 def undecided(m: dict[str, np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray | None]:
     """The members of a group that have another within the radius in another class, with a number of shingles that allows the similarity; and all such pairs, or
     None if there are more than ``PAIRS_EACH`` for a member of the group.
 
-    Members of one side are compared with each other, those of two sides with those of the other side only.
+    Members of one side are compared with each other, those of two sides with those of the other side only; both along the BK-tree of a side.
     """
     fp, side, size, root = m["fp"], m["side"], m["size"], m["root"]
     sides = np.unique(side)
     left, right = np.flatnonzero(side == sides[0]), np.flatnonzero(side == sides[-1])
     found, pairs, count = np.zeros(len(fp), dtype=bool), [], 0
-    step = max(1, (1 << 20) // max(1, len(right)))
-    for low in range(0, len(left), step):
-        some = left[low : low + step]
-        d = sum(np.bitwise_count(fp[some, None, k] ^ fp[None, right, k]).astype(np.uint16) for k in range(fp.shape[1]))
-        a, b = size[some][:, None], size[right][None, :]
-        near = (d <= radius) & (root[some][:, None] != root[right][None, :]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
-        found[some] |= near.any(axis=1)
-        found[right] |= near.any(axis=0)
-        if len(sides) == 1:
-            near &= some[:, None] > right[None, :]
-        count += int(near.sum())
+    for node, near in tree_pairs(np.ascontiguousarray(fp.T), right, left, radius, len(sides) == 1):
+        a, b = size[near], size[node]
+        near = near[(root[near] != root[node]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)]
+        if not len(near):
+            continue
+        found[near] = found[node] = True
+        count += len(near)
         if count <= PAIRS_EACH * len(fp):
-            x, y = np.nonzero(near)
-            pairs.append(np.stack((some[x], right[y]), axis=1))
-    return np.flatnonzero(found), np.concatenate(pairs) if count <= PAIRS_EACH * len(fp) else None
+            pairs.append(np.stack((near, np.full(len(near), node)), axis=1))
+    if count > PAIRS_EACH * len(fp):
+        return np.flatnonzero(found), None
+    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), dtype=np.int64)
+    return np.flatnonzero(found), pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
 
 
 def verified_links(roots: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -461,6 +505,7 @@ def copy_classes(docs: DataFrame, similarity: float = 0.8, words_per_shingle: in
     of at least ``similarity`` share a class, and so do those that a chain of such pairs joins. Texts without words are classes of their own.
 
     Nodes are texts, whatever their doc_ids. Texts that share a shard key are candidates if their fingerprints differ within the radius.
+    Candidates are found along BK-trees, one for each shard or block of it.
     First each member of a shard is held against the shard's first one, and pairs unite once their whole shingle sets have been compared: work in proportion to the members,
     which gathers a large group of copies. Then members of different classes in one shard are compared, in blocks: all those outside the shard's largest class with one
     another and with that class, whose members aren't compared among themselves. Where that leaves few candidate pairs for a member they are decided one by one, each once for all shards;

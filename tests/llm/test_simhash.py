@@ -273,3 +273,28 @@ def test_empty_table(spark):
 def test_radius_is_bounded(spark):
     with pytest.raises(ValueError):
         simhash.fingerprint_links(spark.createDataFrame([], "fp long"), 3)
+
+
+@pytest.mark.parametrize("n, sides", [(1, 1), (9, 1), (40, 2), (600, 1), (600, 2)])
+def test_groups_are_searched_along_trees(monkeypatch, n, sides):
+    """Candidates of a shard equal those of all pairs, and branches beyond the radius are left out."""
+    rng = np.random.default_rng(n + sides)
+    fp = rng.integers(0, 1 << 63, (3, simhash.WORDS), dtype=np.uint64)[rng.integers(0, 3, n)]
+    fp[np.arange(n), rng.integers(0, simhash.WORDS, n)] ^= np.uint64(1) << rng.integers(0, 63, n).astype(np.uint64)
+    m = {"fp": fp, "side": np.arange(n) % sides, "size": rng.integers(90, 130, n), "root": rng.integers(0, n, n)}
+    apart = lambda i, j: int(np.bitwise_count(fp[i] ^ fp[j]).sum())
+    both = [(i, j) for i in range(n) for j in range(n) if (j < i if sides == 1 else (m["side"][i], m["side"][j]) == (0, 1))]
+    alike = lambda i, j: min(m["size"][i], m["size"][j]) >= 0.8 * max(m["size"][i], m["size"][j]) - 1e-9
+    wanted = [(i, j) for i, j in both if m["root"][i] != m["root"][j] and alike(i, j) and apart(i, j) <= 20]
+    walked = []
+    if n > 2 * simhash.TREE_ROWS:
+        count = simhash._apart
+        monkeypatch.setattr(simhash, "_apart", lambda words, some, node: walked.append(len(some)) or count(words, some, node))
+    else:
+        within = simhash.BKTree.within
+        monkeypatch.setattr(simhash.BKTree, "within", lambda tree, value, radius: walked.append(len(tree.values)) or within(tree, value, radius))
+    found, pairs = simhash.undecided(m, 20, 0.8)
+    assert walked  # a tree was asked
+    assert n < 600 or sum(walked) < len(both)
+    assert found.tolist() == sorted({i for pair in wanted for i in pair})
+    assert pairs is None if len(wanted) > simhash.PAIRS_EACH * n else [tuple(x) for x in pairs.tolist()] == wanted
