@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as X
 from ragloom.operators import index as I
+from ragloom.operators import retrieval as R
 from ragloom.plans.rag import Step
 from ragloom.session import cut
 
@@ -29,7 +30,7 @@ def between(text: Column, start: str, stop: str) -> Column:
 
 def _found(docs: DataFrame, search: I.Search, asked: DataFrame, k: int, numbered: Column) -> DataFrame:
     """``qid`` and ``shown``: the hits of each query (qid, text) in order of rank, each as ``numbered`` says of ``rank`` and ``text``."""
-    hits = search(asked, k).join(docs.select("doc_id", "text"), "doc_id")
+    hits = R.with_texts(search(asked, k), docs)
     rows = hits.select("qid", F.struct("rank", numbered.alias("line")).alias("x"))
     return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "").alias("shown"))
 

@@ -74,7 +74,7 @@ def infer(docs: DataFrame, questions: DataFrame, generate: Step, entities: DataF
 
     A question without a graph has no share of hallucinated steps (null), one without steps 0 of both means.
     """
-    hits = (search(questions, k) if search else R.bm25(docs, questions, k)).join(docs.select("doc_id", "text"), "doc_id").select("qid", "rank", "text")
+    hits = R.with_texts(search(questions, k) if search else R.bm25(docs, questions, k), docs).select("qid", "rank", "text")
     graph = cut(question_graph(questions, entities, edges, severed, most))
     graph = graph if with_graph else graph.limit(0)
     raw = cut(generate(prompts(questions.select("qid", "text"), hits, graph)).select("qid", "prompt", F.col("answer").alias("raw")))
