@@ -153,3 +153,29 @@ def test_chains_and_their_choice_equal_loops(spark, tables):
         assert (choice[q].best, choice[q].votes, choice[q].n_chains) == (rows[best][0], max(votes.values()), 5)
         assert choice[q].voted == rows[top][0]
     assert len({tuple(x[0]) for (q, _), x in got.items() if q == 1}) > 1  # chains differ by seed
+
+
+def test_pairwise_wins_make_no_pairs(spark):
+    from ragloom.plans import rag
+
+    nan = float("nan")
+    rows = [(1, 1, 5.0), (1, 2, 5.0), (1, 3, 2.0), (1, 4, None), (1, 5, nan), (1, 1, 1.0), (1, None, 9.0), (2, 1, 3.0), (None, 1, 1.0), (None, 2, 1.0), (3, 7, 0.0), (3, 8, -0.0)]
+    got = rag.pairwise_wins(spark.createDataFrame(rows, "qid long, i long, score double"))
+    place = lambda x: -1 if x is None else float("inf") if x != x else x
+    wanted = {}
+    for q, i, x in rows:
+        for p, j, y in rows:
+            if None not in (q, i, j) and q == p and i != j:
+                point = 0.0 if x is None or y is None else 1.0 if place(x) > place(y) else 0.5 if place(x) == place(y) else 0.0
+                wanted[q, i] = wanted.get((q, i), 0.0) + point
+    assert {(r.qid, r.i): r.wins for r in got.collect()} == wanted
+    many = rag.pairwise_wins(spark.range(20000).selectExpr("1 as qid", "id as i", "double(id) as score"))
+    assert "Join" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert many.where("wins = i").count() == 20000
+
+
+def test_tasks_of_pairwise_wins_grow_with_the_rows(spark, monkeypatch):
+    from ragloom.plans import rag
+
+    monkeypatch.setattr(rag, "TASK_ROWS", 100)
+    assert rag.pairwise_wins(spark.range(5000).selectExpr("id div 5 as qid", "id as i", "double(id) as score")).rdd.getNumPartitions() == 51
