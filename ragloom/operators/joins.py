@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ragloom.functions.fuzzy import fuzzy_link
 from ragloom.operators import kg
-from ragloom.operators.retrieval import BROADCAST_ROWS, cosine, ranked_hits
+from ragloom.operators.retrieval import BROADCAST_ROWS, cosine, ranked_hits, scored_postings
 from ragloom.session import cut
 
 
@@ -36,15 +36,15 @@ TERM_PARTS = 32
 def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Exact top ``k`` by the inner product of sparse vectors: both sides are postings (doc_id or qid, term, weight).
 
-    Up to ``BROADCAST_ROWS`` postings of queries are broadcast; more are joined by term and part of the documents, so a term that all documents have isn't one task.
+    Up to ``BROADCAST_ROWS`` postings of queries go to the tasks, to which the documents' are dealt by document, so that each gives out its best only; more are joined by term and part of the
+    documents, so a term that all documents have isn't one task.
     """
     asked = cut(queries.select("qid", "term", F.col("weight").alias("w")))
     if asked.count() <= BROADCAST_ROWS:
-        joined = docs.join(F.broadcast(asked), "term")
-    else:
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_PARTS)).cast("int")
-        each = F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1)))
-        joined = docs.select("doc_id", "term", "weight", part.alias("part")).join(asked.withColumn("part", each), ["term", "part"])
+        return ranked_hits(scored_postings(docs, asked, k), k)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_PARTS)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1)))
+    joined = docs.select("doc_id", "term", "weight", part.alias("part")).join(asked.withColumn("part", each), ["term", "part"])
     return ranked_hits(joined.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score")), k)
 
 

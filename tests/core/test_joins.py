@@ -66,3 +66,13 @@ def test_fuzzy_links_with_hot_keys(spark, monkeypatch, cutoff):
 def test_fuzzy_cutoff_is_bounded(spark):
     with pytest.raises(ValueError):
         fuzzy.fuzzy_link(spark.createDataFrame([("a",)], "mention string"), spark.createDataFrame([("a",)], "label string"), 60.0)
+
+
+def test_sparse_scores_are_summed_where_the_document_is(spark, monkeypatch):
+    from ragloom.operators import retrieval as R
+
+    monkeypatch.setattr(R, "SCORED_ROWS", 50)
+    docs = spark.range(3000).selectExpr("id as doc_id", "explode(array(1, 2, 3, 4)) as term", "double(1 + (id % 7))").toDF("doc_id", "term", "weight")
+    asked = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5), (2, 3, -1.0), (3, 4, 0.0), (4, 9, 1.0)], "qid long, term int, weight double")
+    got = {(r.qid, r.doc_id, r.rank, r.score) for r in joins.sparse_topk(docs, asked, 2).collect()}
+    assert got == {(1, 6, 1, 7.0), (1, 13, 2, 7.0), (2, 0, 1, -1.0), (2, 7, 2, -1.0), (3, 0, 1, 0.0), (3, 1, 2, 0.0)}
